@@ -5,6 +5,7 @@ from __future__ import annotations
 from vantloom.llm.bpe import op9_bpe_round_trip
 from vantloom.llm.chat import OP1_SQL, op1_chat_format
 from vantloom.llm.matroska import op6_media_columns
+from vantloom.llm.simhash import op10_simhash_groups
 from vantloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
@@ -12,5 +13,6 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_token_counts": op7_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_simhash_groups": op10_simhash_groups,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL}
