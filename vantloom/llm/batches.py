@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from vantloom.runtime import ship
+
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, step: int = 256) -> DataFrame:
     """Apply a function of column lists to ``df`` in slices of ``step`` rows.
@@ -29,4 +31,5 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
                 out = fn(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, parsed)

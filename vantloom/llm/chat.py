@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
-from vantloom.runtime import table
+from vantloom.runtime import ship, table
 
 # The control strings of the template. All begin with < or [ and hold neither later,
 # but for the double bracket of the system marks.
@@ -156,6 +156,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
             yield pd.DataFrame([_close(current, state)], columns=names)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    ship(turns.sparkSession)
     return ordered.mapInPandas(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
 from vantloom.llm.components import components
-from vantloom.runtime import checkpoint, shuffle_width, table
+from vantloom.runtime import checkpoint, ship, shuffle_width, table
 
 WIDTH = 3
 SEED = 42
@@ -238,6 +238,7 @@ def fingerprint_links(codes: DataFrame, bound: int = GROUP_BOUND) -> DataFrame:
     for part in cold:
         keyed = keyed.unionByName(part)
     ordered = _with_rank(keyed).repartition(shuffle_width(spark), "mask", "key").sortWithinPartitions("mask", "key", "rank")
+    ship(spark)
     return ordered.select("mask", "key", "fp").mapInArrow(_link_partition, "a bigint, b bigint")
 
 
