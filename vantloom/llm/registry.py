@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vantloom.llm.bitsliced import OP8_SQL, op8_exact_topk
 from vantloom.llm.bpe import op9_bpe_round_trip
 from vantloom.llm.chat import OP1_SQL, op1_chat_format
 from vantloom.llm.matroska import op6_media_columns
@@ -12,7 +13,8 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op6_media_columns": op6_media_columns,
     "op7_token_counts": op7_token_counts,
+    "op8_exact_topk": op8_exact_topk,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_simhash_groups": op10_simhash_groups,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_exact_topk": OP8_SQL}
