@@ -183,7 +183,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = K, block_rows
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         # One row in each block or group of its own, once for every group or block of the others.
-        return df.withColumn(own, F.pmod(F.xxhash64(id_col, vector_col), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("bigint"))
+        return df.withColumn(own, F.pmod(F.xxhash64(id_col, vector_col), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
 
     left = dealt(rows, "block", n_blocks, "part", n_groups).groupBy("dim", "block", "part")
     right = dealt(asked, "part", n_groups, "block", n_blocks).groupBy("dim", "block", "part")
