@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment.
 
 Lines are hashed, and every line that two documents or more hold is shared. A shared line links
-each of its documents to the first one that holds it; a rare line (in ``RARE`` documents at
+each of its documents to the first one that holds it; a rare line (``RARE`` occurrences at
 most) also links each to the holder just before. So links grow with the lines, never with the
 square of a line's documents, and yet every line of a document that an earlier one holds has a
 partner that holds it. Linked documents are aligned with patience diff over their shared lines,
