@@ -187,7 +187,7 @@ def _keyed(codes: DataFrame, level: dict[int | None, list[int]]) -> DataFrame:
     options = None
     for parent, children in level.items():
         found = F.array(*(F.lit(_signed(m)).cast("bigint") for m in children))
-        options = found if parent is None else (options or F).when(F.col("mask") == _signed(parent), found)
+        options = found if parent is None else (F if options is None else options).when(F.col("mask") == _signed(parent), found)
     return codes.select(F.explode(options).alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
@@ -256,10 +256,15 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one whose id is the component's."""
+    """``docs`` with one document of each group: the one whose id is the component's.
+
+    Rows of equal id are one document, of which one row stays; rows with null id can't be told
+    apart and all stay.
+    """
     groups = simhash_groups(docs, id_col=id_col, text_col=text_col)
     kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    named = docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
