@@ -135,11 +135,11 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, *, id_col: str = "doc_
     counted = checkpoint(leafed.select(F.col(id_col), *LEAF, tokens_of(F.col(text_col)).alias("_tokens")))
     planned = checkpoint(plan(counted, mix))
     leaves = planned.count()
-    ends = checkpoint(planned.join(cuts(counted, planned, mix, leaves, id_col), list(LEAF), "left").select(*LEAF, "epochs", "cut"))
+    ends = checkpoint(planned.join(cuts(counted, planned, mix, leaves, id_col), list(LEAF), "left").select(*LEAF, F.col("epochs").alias("_whole"), F.col("cut").alias("_cut")))
     joined = leafed.join(_sized(ends, leaves), list(LEAF))
-    whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1)).otherwise(F.array().cast("array<bigint>"))
-    part = F.when(order_key(mix.seed, F.col("epochs"), id_col) <= F.col("cut"), F.array("epochs")).otherwise(F.array().cast("array<bigint>"))
-    return joined.withColumn("_epoch", F.explode(F.concat(whole, part))).drop("epochs", "cut")
+    whole = F.when(F.col("_whole") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - 1)).otherwise(F.array().cast("array<bigint>"))
+    part = F.when(order_key(mix.seed, F.col("_whole"), id_col) <= F.col("_cut"), F.array("_whole")).otherwise(F.array().cast("array<bigint>"))
+    return joined.withColumn("_epoch", F.explode(F.concat(whole, part))).drop("_whole", "_cut")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
