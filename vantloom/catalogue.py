@@ -1 +1,3 @@
 """Importing this module registers every query of the library."""
+
+from vantloom.plans import vector_queries  # noqa: F401
