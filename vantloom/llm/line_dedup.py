@@ -129,7 +129,8 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)[id_col]
     lines = checkpoint(_lines(docs, id_col, text_col))
     held = lines.groupBy("h", "words").agg(F.min(_key()).alias("first"), F.max(_key()).alias("final"), F.count(F.lit(1)).alias("n"))
-    common = held.filter("first <> final").select("h", "words", "first", "n")
+    # Written first: a join of two fresh exchanges is one whose crowded lines can be split.
+    common = checkpoint(held.filter("first <> final").select("h", "words", "first", "n"))
     shared = checkpoint(lines.join(common, ["h", "words"]).dropDuplicates(["id", "th", "ordinal"]))
     listed = shared.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line", "h", "words"))).alias("items"))
     to_first = shared.filter(_key() != F.col("first")).select("id", "th", F.col("first.id").alias("other_id"), F.col("first.th").alias("other_th"))
