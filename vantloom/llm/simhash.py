@@ -251,7 +251,8 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     touched = stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
     heads = touched.join(codes, touched.node == codes.fp).groupBy("root").agg(F.min("head").alias("component_id"))
     linked = touched.join(heads, "root").select(F.col("node").alias("fp"), "component_id")
-    settled = codes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "head").alias("component_id"))
+    # Written first: a join of two fresh exchanges is one whose crowded fingerprints can be split.
+    settled = checkpoint(codes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "head").alias("component_id")))
     return prints.join(settled, "fp").select(id_col, "fp", "component_id")
 
 
