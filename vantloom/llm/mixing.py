@@ -8,9 +8,9 @@ documents while they fit, and of the last epoch the token-prefix of its seeded o
 ends with the document that reaches the budget.
 
 The order is that of md5(seed:epoch:id). A prefix is found without sorting a leaf: token sums by
-the first digits of the key give the digits at which the budget ends, and only the documents
-with just those digits are ordered. What is joined back is one row a leaf, broadcast when
-``BROADCAST_LEAVES`` or fewer.
+the first digits of the key give the digits at which the budget ends, sums by the next digits
+narrow that down, and only documents that share all those digits are ordered. What is joined
+back is one row a leaf, broadcast when ``BROADCAST_LEAVES`` or fewer.
 
 Defined results: null or unlisted domains and languages have the default weight, null language
 and source are ``unknown``; null text has no tokens; weight 0 gives nothing; rows of equal id in
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from vantloom.runtime import checkpoint, table
 
 LEAF = ("_domain", "_lang", "_source")
-#: Leading hexadecimal digits of the order key by which tokens are summed.
-DIGITS = 4
+#: Hexadecimal digits of the order key that each round of sums goes on by.
+DIGITS = 3
 BROADCAST_LEAVES = 20_000
 
 
@@ -116,17 +116,22 @@ def _sized(small: DataFrame, rows: int) -> DataFrame:
 
 
 def cuts(counted: DataFrame, planned: DataFrame, mix: Mix, leaves: int, id_col: str) -> DataFrame:
-    """(leaf, epochs, cut): in the epoch after the whole ones, documents with a key up to ``cut`` are in."""
+    """(leaf, cut): in the epoch after the whole ones, documents with a key up to ``cut`` are in.
+
+    Each round sums the tokens of a leaf by the next digits of the key and goes on with the digits
+    at which the budget ends, so a window has 16**DIGITS rows of a leaf at most.
+    """
     keyed = counted.join(_sized(planned.filter("rest > 0").select(*LEAF, "epochs", "rest"), leaves), list(LEAF))
-    keyed = keyed.withColumn("_key", order_key(mix.seed, F.col("epochs"), id_col)).withColumn("_digits", F.substring("_key", 1, DIGITS))
-    sums = keyed.groupBy(*LEAF, "_digits", "rest").agg(F.sum("_tokens").alias("t"), F.max("_key").alias("last"))
-    before = Window.partitionBy(*LEAF).orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0)
-    sums = checkpoint(sums.withColumn("before", F.sum("t").over(before) - F.col("t")).filter("before < rest"))
-    edge = sums.withColumn("_n", F.max("_digits").over(Window.partitionBy(*LEAF))).filter("_digits = _n").select(*LEAF, "_digits", "before")
-    inside = keyed.join(_sized(edge, leaves), [*LEAF, "_digits"]).groupBy(*LEAF, "before", "rest", "_key").agg(F.sum("_tokens").alias("t"))
-    upto = Window.partitionBy(*LEAF).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = inside.withColumn("sofar", F.col("before") + F.sum("t").over(upto) - F.col("t")).filter("sofar < rest")
-    return chosen.groupBy(*LEAF).agg(F.max("_key").alias("cut"))
+    keyed = keyed.withColumn("_key", order_key(mix.seed, F.col("epochs"), id_col)).withColumn("before", F.lit(0).cast("bigint"))
+    upto = Window.partitionBy(*LEAF).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    for digits in (DIGITS, 2 * DIGITS, 32):
+        sums = keyed.groupBy(*LEAF, "rest", "before", F.substring("_key", 1, digits).alias("_at")).agg(F.sum("_tokens").alias("t"), F.max("_key").alias("last"))
+        inside = sums.withColumn("before", F.col("before") + F.sum("t").over(upto) - F.col("t")).filter("before < rest")
+        edge = checkpoint(inside.groupBy(*LEAF).agg(F.max(F.struct("_at", "before", "last")).alias("e")).select(*LEAF, "e.*"))
+        if digits < 32:
+            narrowed = keyed.drop("before").withColumn("_at", F.substring("_key", 1, digits))
+            keyed = narrowed.join(_sized(edge.drop("last"), leaves), [*LEAF, "_at"]).drop("_at")
+    return edge.select(*LEAF, F.col("last").alias("cut"))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
