@@ -40,8 +40,8 @@ class Bloom:
 
     @staticmethod
     def positions(c: Column, bits: int, hashes: int) -> Column:
-        a, b = F.xxhash64(c), F.xxhash64(F.lit(17), c)
-        return F.array(*(F.pmod(a + b * k, F.lit(bits)) for k in range(hashes)))
+        a, b = F.pmod(F.xxhash64(c), F.lit(bits)), F.pmod(F.xxhash64(F.lit(17), c), F.lit(bits))
+        return F.array(*((a + b * k) % bits for k in range(hashes)))
 
     @classmethod
     def build(cls, df: DataFrame, column: str, expected: int, false_rate: float = 0.01) -> Bloom:

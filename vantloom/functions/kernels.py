@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vantloom.functions.binding import let
+
 Kernel = Callable[[Column, Column], Column]
 
 
@@ -105,7 +107,7 @@ def normalize_l2(v: Column) -> Column:
     """Unit vector; a zero vector is an error."""
     norm = l2_norm(v)
     checked = F.when(norm == 0, F.raise_error(F.lit("cannot normalize a zero vector")).cast("double")).otherwise(norm)
-    return F.transform(as_double(v), lambda x: x / checked)
+    return let(checked, lambda n: F.transform(as_double(v), lambda x: x / n))
 
 
 def scaled(v: Column, factor: float) -> Column:

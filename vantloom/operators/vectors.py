@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantloom.functions import kernels
+from vantloom.functions.binding import let
 from vantloom.operators.search import score_matrix
 from vantloom.runtime import ship
 
@@ -25,7 +26,7 @@ def normalized(v: Column, kind: str = "l2") -> Column:
     """Divide by the L1, L2, max or mean of absolutes; zero vectors stay."""
     a = F.transform(kernels.as_double(v), lambda x: F.abs(x))
     by = {"l1": kernels.total(a), "l2": kernels.l2_norm(v), "max": F.array_max(a), "mean": kernels.total(a) / F.size(v)}[kind]
-    return F.when(by == 0, kernels.as_double(v)).otherwise(F.transform(kernels.as_double(v), lambda x: x / by))
+    return let(by, lambda n: F.when(n == 0, kernels.as_double(v)).otherwise(F.transform(kernels.as_double(v), lambda x: x / n)))
 
 
 def weighted(v: Column, weights: list[float]) -> Column:
@@ -69,7 +70,7 @@ def vector_features(v: Column) -> Column:
     s = F.array_sort(x)
     mid = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
     spread = F.get(s, F.floor(n * 3 / 4).cast("int")) - F.get(s, F.floor(n / 4).cast("int"))
-    std = F.sqrt(kernels.total(F.transform(x, lambda y: (y - mean) * (y - mean))) / n)
+    std = F.sqrt(let(mean, lambda m: kernels.total(F.transform(x, lambda y: (y - m) * (y - m)))) / n)
     return F.struct(mean.alias("mean"), std.alias("std"), F.array_min(x).alias("min"), F.array_max(x).alias("max"), mid.alias("median"), spread.alias("iqr"))
 
 
