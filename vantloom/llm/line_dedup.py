@@ -132,7 +132,8 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # Written first: a join of two fresh exchanges is one whose crowded lines can be split.
     common = checkpoint(held.filter("first <> final").select("h", "words", "first", "n"))
     shared = checkpoint(lines.join(common, ["h", "words"]).dropDuplicates(["id", "th", "ordinal"]))
-    listed = shared.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line", "h", "words"))).alias("items"))
+    # Written before the joins for the same reason: one document may be the first of very many.
+    listed = checkpoint(shared.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line", "h", "words"))).alias("items")))
     to_first = shared.filter(_key() != F.col("first")).select("id", "th", F.col("first.id").alias("other_id"), F.col("first.th").alias("other_th"))
     order = Window.partitionBy("h", "words").orderBy("id", "th")
     few = shared.filter(F.col("n") <= rare).select("h", "words", "id", "th").distinct()
