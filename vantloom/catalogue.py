@@ -1,3 +1,3 @@
 """Importing this module registers every query of the library."""
 
-from vantloom.plans import record_queries, text_queries, vector_queries  # noqa: F401
+from vantloom.plans import record_queries, stream_queries, text_queries, vector_queries  # noqa: F401

@@ -152,7 +152,7 @@ def tokenize(c: Column, kind: str = "whitespace", *, case_sensitive: bool = Fals
     if kind == "regex":
         tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     elif kind == "delimiter":
-        tokens = F.filter(F.transform(F.split(text, F.lit("\\Q" + delimiter + "\\E")), F.trim), lambda w: w != "")
+        tokens = F.filter(F.transform(F.split(text, F.lit("\\Q" + delimiter + "\\E")), lambda s: F.trim(s)), lambda w: w != "")
     elif kind == "ngram":
         tokens = char_ngrams(text, low, high)
     else:
