@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from vantloom.runtime import shuffle_width
+
 SHARD_ROWS = 10_000
 
 
@@ -169,12 +171,13 @@ def split(df: DataFrame, key: str, ratios: list[float], seed: int | None = None)
     return [ranked.filter((F.col("_rank") >= a) & (F.col("_rank") < b)).drop("_rank") for a, b in zip(bounds, bounds[1:])]
 
 
-def with_rank(df: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
+def with_rank(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
     """``df`` with _rank, the row's place from 0 in the whole order.
 
     Rows are range-partitioned, numbered within each range, and shifted by the ranges before;
     only one count for each range goes through a single task.
     """
+    parts = parts or max(64, shuffle_width(df.sparkSession))
     keyed = df.withColumn("_order", F.struct(*(c.alias(f"k{k}") for k, c in enumerate(order))))
     dealt = _ranged(keyed, parts)
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -262,3 +265,13 @@ def merge_schemas(schemas: list[StructType], how: str = "relaxed") -> StructType
         nullable = len(kinds) < len(schemas) or any(s[n].nullable for s in schemas if n in s.fieldNames())
         out.append(StructField(n, next((k for k in kinds if k.simpleString() == best), None) or StructType.fromDDL(f"x {best}")["x"].dataType, nullable))
     return StructType(out)
+
+
+def analyze(df: DataFrame) -> DataFrame:
+    """One row about a table: rows, numeric, text and other columns, and the share of null cells."""
+    kinds = dict(df.dtypes)
+    numeric = [c for c, k in kinds.items() if k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")]
+    text = [c for c, k in kinds.items() if k == "string"]
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("rows"), F.lit(len(numeric)).alias("numeric"), F.lit(len(text)).alias("text"), F.lit(len(kinds) - len(numeric) - len(text)).alias("other"), F.when(n == 0, 0.0).otherwise(nulls / (n * len(kinds))).alias("null_share"))

@@ -188,6 +188,11 @@ def range_search(df: DataFrame, vector: list[float], radius: float, metric: str
     return found if max_elements is None else found.limit(max_elements)
 
 
+def dynamic_range_search(df: DataFrame, vector: list[float], wanted: int, metric: str = "euclidean", *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(id, distance) of the ``wanted`` nearest rows: the radius that holds so many, found by one top k."""
+    return exact_knn(df, vector, wanted, metric, id_col=id_col, vector_col=vector_col)
+
+
 def radius_density(df: DataFrame, vector: list[float], radius: float, metric: str = "euclidean", *, vector_col: str = "vector") -> DataFrame:
     """One row: the share of rows within the radius."""
     inside = kernels.distance_with(F.col(vector_col), vector, metric) <= radius

@@ -426,3 +426,54 @@ def top_terms(weights: DataFrame, id_col: str, k: int) -> DataFrame:
     """(id, term, weight, rank): the k heaviest terms of each document."""
     order = Window.partitionBy(id_col).orderBy(F.desc("weight"), "term")
     return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def vocabulary(df: DataFrame, tokens: str, size: int, min_count: int = 1) -> DataFrame:
+    """(term, id): the commonest terms, ids from 2 by count, then by term; 0 pads and 1 is unknown.
+
+    Only the ``size`` rows that stay are numbered in one task.
+    """
+    counts = df.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    top = counts.orderBy(F.desc("n"), "term").limit(size)
+    return top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) + 1).cast("bigint")).select("term", "id")
+
+
+def encode_ids(df: DataFrame, id_col: str, tokens: str, vocabulary: DataFrame, length: int | None = None) -> DataFrame:
+    """(id, ids): each text's term ids in order, cut or padded to ``length`` if given."""
+    at = df.select(id_col, F.posexplode(tokens).alias("p", "term")).join(vocabulary, "term", "left")
+    ids = at.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.coalesce("id", F.lit(1).cast("bigint")).alias("i")))), lambda s: s["i"]).alias("ids"))
+    if length is None:
+        return ids
+    return ids.withColumn("ids", F.slice(F.concat("ids", F.array_repeat(F.lit(0).cast("bigint"), length)), 1, length))
+
+
+def decode_ids(df: DataFrame, id_col: str, ids: str, vocabulary: DataFrame) -> DataFrame:
+    """(id, text): terms of the ids, unknown ones as <unk>, padding left out."""
+    at = df.select(id_col, F.posexplode(ids).alias("p", "id")).filter(F.col("id") > 0).join(vocabulary, "id", "left")
+    words_ = F.transform(F.sort_array(F.collect_list(F.struct("p", F.coalesce("term", F.lit("<unk>")).alias("w")))), lambda s: s["w"])
+    return at.groupBy(id_col).agg(F.array_join(words_, " ").alias("text"))
+
+
+def topics(df: DataFrame, id_col: str, tokens: Column, k: int = 10, size: int = 2_000, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """(id, topics array<double>): topic shares by latent Dirichlet allocation over the commonest terms."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    listed = df.select(id_col, tokens.alias("tokens"))
+    counted = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size).fit(listed).transform(listed)
+    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counted)
+    return model.transform(counted).select(id_col, vector_to_array("topicDistribution").alias("topics"))
+
+
+# Mean text lengths at which the method of feature extraction changes.
+METHOD_LENGTHS = ((50, "bag_of_words"), (200, "char_ngrams"), (1000, "tfidf"))
+
+
+def choose_method(df: DataFrame, text_col: str) -> DataFrame:
+    """One row: the method that suits the mean length, the mean length, the number of texts."""
+    mean = F.avg(F.length(text_col))
+    method = F.lit("tfidf_sublinear")
+    for limit, name in reversed(METHOD_LENGTHS):
+        method = F.when(mean < limit, name).otherwise(method)
+    return df.agg(method.alias("method"), mean.alias("avg_chars"), F.count(F.lit(1)).alias("n"))

@@ -191,3 +191,16 @@ def agglomerative(df: DataFrame, clusters: int, linkage: str = "average", *, id_
 
 def mean_and_std(df: DataFrame, vector_col: str = "vector") -> DataFrame:
     return dimension_stats(df, vector_col).select("dim", "mean", "std")
+
+
+def agglomerate_cells(df: DataFrame, cells: int, clusters: int, linkage: str = "average", *, vector_col: str = "vector", seed: int = 42) -> DataFrame:
+    """``df`` with ``cell`` and ``cluster``: cells by k-means, then their centroids merged bottom-up.
+
+    Merging is quadratic in the cells, never in the rows, so tables of any size have a hierarchy.
+    """
+    centroids = fit_kmeans(df, cells, vector_col=vector_col, seed=seed)
+    spark = df.sparkSession
+    small = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "id int, vector array<double>")
+    merged = {r["id"]: r["cluster"] for r in agglomerative(small, clusters, linkage).collect()}
+    lookup = F.array(*(F.lit(merged[k]) for k in range(len(centroids))))
+    return assign(df, centroids, vector_col=vector_col, out="cell").withColumn("cluster", F.get(lookup, F.col("cell")))

@@ -191,6 +191,17 @@ def r23(spark: SparkSession, sf: str) -> DataFrame:
     return R.declared(steps)(_customer(spark, sf)).withColumn("bal", F.round("bal", 6))
 
 
+@query("r25_text_to_float", "SELECT c_custkey, CAST(c_acctbal AS FLOAT)::DOUBLE AS n, 1.0::DOUBLE AS b, epoch(TIMESTAMP '2024-01-02')::DOUBLE AS t FROM customer")
+def r25(spark: SparkSession, sf: str) -> DataFrame:
+    df = _customer(spark, sf).select("c_custkey", F.col("c_acctbal").cast("string").alias("n"), F.lit("yes").alias("b"), F.lit("2024-01-02").alias("t"))
+    return df.select("c_custkey", *(R.text_to_float(c, k).cast("double").alias(c) for c, k in (("n", "numeric"), ("b", "boolean"))), F.unix_timestamp(F.col("t").try_cast("timestamp")).cast("double").alias("t"))
+
+
+@query("r10_rename_and_prune", "SELECT c_custkey AS id, c_name AS name FROM customer")
+def r10(spark: SparkSession, sf: str) -> DataFrame:
+    return R.declared([R.Transformation("mapping", {"names": {"c_custkey": "id", "c_name": "name"}}, 1), R.Transformation("select", {"columns": ["id", "name"]}, 2)])(_customer(spark, sf))
+
+
 # -- Aggregates ------------------------------------------------------------------------------
 
 
@@ -281,6 +292,16 @@ def a9_category(spark: SparkSession, sf: str) -> DataFrame:
     return A.category_stats(_customer(spark, sf), "c_mktsegment").withColumn("share", F.round("share", 6))
 
 
+@query("a11_analyze", "SELECT count(*) AS rows, 8 AS numeric, 2 AS text, 1 AS other, 0.0::DOUBLE AS null_share FROM lineitem")
+def a11(spark: SparkSession, sf: str) -> DataFrame:
+    return A.analyze(_lineitem(spark, sf))
+
+
+@query("a10_unique_values", "SELECT DISTINCT l_suppkey FROM lineitem")
+def a10(spark: SparkSession, sf: str) -> DataFrame:
+    return _lineitem(spark, sf).select("l_suppkey").distinct()
+
+
 @query("a12_merge_union", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, NULL::VARCHAR AS r_regionkey, NULL::VARCHAR AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_regionkey::VARCHAR, r_name FROM region")
 def a12(spark: SparkSession, sf: str) -> DataFrame:
     return A.merge(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string"), "n_name"), table(spark, sf, "region").select(F.col("r_regionkey").cast("string"), "r_name"))
@@ -297,7 +318,7 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return A.merge(*(p.withColumn("part", F.lit(n)) for p, n in zip(parts, ("train", "validation", "test"))))
 
 
-@query("a14_seeded_shuffle_split")
+@query("a14_seeded_shuffle_split", "SELECT floor(count(*) * 0.8)::BIGINT AS n, 0 AS part FROM orders UNION ALL SELECT count(*) - floor(count(*) * 0.8)::BIGINT, 1 FROM orders")
 def a14_seeded(spark: SparkSession, sf: str) -> DataFrame:
     parts = A.split(_orders(spark, sf).select("o_orderkey"), "o_orderkey", [0.8, 0.2], seed=3)
     return A.merge(*(p.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(k)) for k, p in enumerate(parts)))

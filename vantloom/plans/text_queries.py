@@ -9,6 +9,7 @@ from vantloom.functions import words as W
 from vantloom.operators import text as T
 from vantloom.queries import query
 from vantloom.runtime import table
+from vantloom.streaming import streams
 
 _SOLID = r"[^ \t\n\x0B\f\r]+"
 _WORDS = rf"regexp_extract_all(text, '{_SOLID}')"
@@ -152,12 +153,23 @@ def t15(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select(F.explode(T.char_ngrams(F.col("text"), 2, 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-_VALUE = "CASE x " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W.SENTIMENT.items()) + " END"
+_QUOTED = ", ".join("'" + n.replace("'", "''") + "'" for n in W.NEGATIONS)
+_TIMES = "CASE p[2] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W.INTENSIFIERS.items()) + " ELSE 1.0 END"
+_VALUE = "CASE p[1] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W.SENTIMENT.items()) + f" END * {_TIMES} * CASE WHEN p[2] IN ({_QUOTED}) THEN -1 ELSE 1 END"
 
 
-@query("t16_sentiment")
+@query(
+    "t16_sentiment",
+    f"""WITH w AS (SELECT doc_id, list_transform({_LOWER}, lambda x: regexp_replace(x, '^{_PUNCT}+|{_PUNCT}+$', '', 'g')) AS w FROM documents),
+    h AS (SELECT doc_id, list_filter(list_transform(list_zip(w, list_prepend('', w)[1:len(w)]), lambda p: {{'v': ({_VALUE})::DOUBLE, 't': ({_TIMES})::DOUBLE}}), lambda s: s.v IS NOT NULL) AS h FROM w),
+    n AS (SELECT doc_id, h, len(h) AS n, len(list_filter(h, lambda s: s.v > 0)) AS pos, len(list_filter(h, lambda s: s.v < 0)) AS neg FROM h)
+    SELECT doc_id, round(CASE WHEN n = 0 THEN 0.0 ELSE pos / n END, 6) + 0.0 AS positive, round(CASE WHEN n = 0 THEN 0.0 ELSE neg / n END, 6) + 0.0 AS negative,
+      round(CASE WHEN n = 0 THEN 0.0 ELSE (n - pos - neg) / n END, 6) + 0.0 AS neutral, round(CASE WHEN n = 0 THEN 0.0 ELSE (pos - neg) / n END, 6) + 0.0 AS compound,
+      round(CASE WHEN n = 0 THEN 0.0 ELSE list_sum(list_transform(h, lambda s: abs(s.v))) / n END, 6) + 0.0 AS subjectivity, round(CASE WHEN n = 0 THEN 0.0 ELSE list_sum(list_transform(h, lambda s: s.t)) / n END, 6) + 0.0 AS intensity FROM n""",
+)
 def t16(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", T.sentiment(F.col("text")).alias("s")).select("doc_id", "s.*")
+    df = _docs(spark, sf).select("doc_id", T.sentiment(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return df.select("doc_id", *(F.round(c, 6).alias(c) for c in df.columns[1:]))
 
 
 @query("t17_entities_extracted", rf"SELECT doc_id, unnest(regexp_extract_all(text, '{W.ENTITIES['email']}')) AS email FROM documents")
@@ -165,11 +177,42 @@ def t17(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.explode(T.entities(F.col("text"), "email")).alias("email"))
 
 
-@query("t19_language_marks")
+_MARKS = ", ".join(f"{{'score': len(list_filter(w, lambda x: regexp_matches(x, '{'|'.join(parts)}'))) / len(w)::DOUBLE, 'rank': -{k}, 'code': '{code}'}}" for k, (code, parts) in enumerate(W.LANGUAGE_PARTS.items()))
+
+
+@query("t19_language_marks", f"WITH l AS (SELECT doc_id, text, {_LOWER} AS w FROM documents), b AS (SELECT doc_id, text, list_max([{_MARKS}]) AS best FROM l) SELECT doc_id, CASE WHEN length(text) = 0 THEN 'unknown' WHEN best.score > 0 THEN best.code WHEN {_count('[A-Za-z]')} / length(text)::DOUBLE > 0.5 THEN 'en' ELSE 'unknown' END AS language FROM b")
 def t19(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
+@query("t18_topic_model")
+def t18(spark: SparkSession, sf: str) -> DataFrame:
+    weights = T.topics(_docs(spark, sf), "doc_id", T.words(F.lower("text")), k=4)
+    return weights.select("doc_id", F.size("topics").alias("n_topics"))
+
+
+@query("t22_vocabulary_ids", rf"WITH w AS (SELECT doc_id, {_LOWER} AS w FROM documents), c AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM w) GROUP BY term), v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) + 1 AS id FROM c QUALIFY id <= 501), i AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM w) SELECT doc_id, count(v.id)::BIGINT AS known, sum(coalesce(v.id, 1))::BIGINT AS id_sum FROM i LEFT JOIN v USING (term) GROUP BY doc_id")
+def t22(spark: SparkSession, sf: str) -> DataFrame:
+    df = _docs(spark, sf).select("doc_id", T.words(F.lower("text")).alias("tokens"))
+    vocabulary = T.vocabulary(df, "tokens", 500)
+    ids = T.encode_ids(df, "doc_id", "tokens", vocabulary)
+    return ids.select("doc_id", F.size(F.filter("ids", lambda x: x > 1)).cast("bigint").alias("known"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+@query("t25_method_choice", r"SELECT CASE WHEN avg(length(text)) < 50 THEN 'bag_of_words' WHEN avg(length(text)) < 200 THEN 'char_ngrams' WHEN avg(length(text)) < 1000 THEN 'tfidf' ELSE 'tfidf_sublinear' END AS method, round(avg(length(text)), 4) AS avg_chars, count(*) AS n FROM documents")
+def t25(spark: SparkSession, sf: str) -> DataFrame:
+    return T.choose_method(_docs(spark, sf), "text").withColumn("avg_chars", F.round("avg_chars", 4))
+
+
+@query("t26_incremental_vocabulary", f"SELECT term, count(*) AS n FROM (SELECT unnest({_LOWER}) AS term FROM documents) GROUP BY term")
+def t26(spark: SparkSession, sf: str) -> DataFrame:
+    df = _docs(spark, sf).select("doc_id", T.words(F.lower("text")).alias("tokens"))
+    none = spark.createDataFrame([], "term string, n bigint")
+    for part in (df.filter("doc_id % 2 = 0"), df.filter("doc_id % 2 = 1")):  # two batches that make up the whole
+        none = streams.merge_vocabulary(none, part, "tokens")
+    return none
+
+
 @query("t20_hash_embeddings")
 def t20(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", T.hash_embedding(T.words(F.lower("text")), 16).alias("v"))
