@@ -7,7 +7,7 @@ away than all but a small share of the language's own training texts, by a margi
 rejected: ``rejected`` is true, and ``language`` is ``und``.
 
 The fit reads every labelled row's language to set the sampling rates, and draws about
-``SAMPLE_PER_LANGUAGE`` rows of each by hash; vectors, not texts, come to the driver (at most
+``SAMPLE_PER_LANGUAGE`` rows of each by hash, ``SAMPLE_ROWS`` in all; vectors, not texts, come to the driver (at most
 ``BUCKETS`` counts each). Languages are a label vocabulary: the model has
 languages x CLUSTERS x BUCKETS floats, and a fit over ``MAX_LANGUAGES`` is refused.
 
@@ -30,6 +30,8 @@ from vantloom.runtime import table
 
 BUCKETS = 8_192
 SAMPLE_PER_LANGUAGE = 500
+#: Rows of the whole sample, shared by many languages.
+SAMPLE_ROWS = 20_000
 CLUSTERS = 4
 MAX_LANGUAGES = 500
 #: Similarities are sharpened by this factor before they are normalised to a score.
@@ -144,6 +146,7 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return train([])
+    per_language = min(per_language, max(20, SAMPLE_ROWS // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000))
     rate = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1_000_000, 1_000_000 * per_language // n + 1)))), F.col(lang_col))
 

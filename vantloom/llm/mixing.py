@@ -103,8 +103,8 @@ def plan(counted: DataFrame, mix: Mix) -> DataFrame:
     c3 = leaves.withColumn("cap3", F.when((F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0), F.col("tokens") * mix.max_epochs).otherwise(0))
     c2 = c3.groupBy("_domain", "_lang").agg(F.sum("cap3").alias("cap"), F.first("w2").alias("w"))
     c1 = c2.groupBy("_domain").agg(F.sum("cap").alias("cap")).withColumn("w", _weight("_domain", mix.domains, mix.default))
-    total = leaves.agg(F.coalesce(F.floor(F.sum("tokens") * mix.budget_percent / 100), F.lit(0)).cast("double").alias("b0"))
-    top = share(c1.withColumn("_root", F.lit(0)).join(F.broadcast(total)), ["_root"], "b0", "b1").select("_domain", "b1")  # one row of one number
+    total = leaves.agg(F.coalesce(F.floor(F.sum("tokens") * mix.budget_percent / 100), F.lit(0)).cast("double")).scalar()
+    top = share(c1.withColumns({"_root": F.lit(0), "b0": total}), ["_root"], "b0", "b1").select("_domain", "b1")
     middle = share(c2.join(top, "_domain"), ["_domain"], "b1", "b2").select("_domain", "_lang", "b2")
     bottom = share(c3.withColumnsRenamed({"w3": "w", "cap3": "cap"}).join(middle, ["_domain", "_lang"]), ["_domain", "_lang"], "b2", "target")
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.col("tokens"))).otherwise(0).cast("bigint")

@@ -10,7 +10,8 @@ Labels mark documents, so line labels are learned in rounds: lines start with th
 label; after each fit, lines of bad documents that the field takes for good are relabelled good,
 but for the document's worst line. The fit uses a bounded sample: about ``SAMPLE_PER_CLASS``
 labelled documents of each class, drawn by hash, weighted back to all labelled rows. Their
-feature codes, one byte for each line and feature, come to the driver, not their texts.
+feature codes, one byte for each line and feature and ``FIT_LINES`` lines at most, come to the driver,
+not their texts.
 
 Defined results: null and empty texts are one empty line; a document labelled twice with
 different labels teaches both; without labels of both classes the score is the share of label 1
@@ -32,6 +33,8 @@ from vantloom.llm.langid import fold
 from vantloom.runtime import table
 
 SAMPLE_PER_CLASS = 1_500
+#: Documents of more lines teach nothing; they are scored like any other.
+FIT_LINES = 20_000
 THRESHOLD = 0.3
 ROUNDS = 3
 STEPS = 150
@@ -272,7 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rate = {k: min(1_000_000, 1_000_000 * per_class // n + 1) for k, n in counts.items()}
     drawn = marked.filter(draw < F.when(F.col("_label") == 1, rate[1]).otherwise(rate[0]))
     # The sample has about 2 * per_class rows of a few bytes, whatever the tables' sizes.
-    rows = docs.select(id_col, text_col).join(F.broadcast(drawn), docs[id_col] == F.col("_label_id")).select("_label", text_col)
+    short = docs.select(id_col, text_col).filter(F.coalesce(F.regexp_count(text_col, F.lit("\n")), F.lit(0)) < FIT_LINES)
+    rows = short.join(F.broadcast(drawn), short[id_col] == F.col("_label_id")).select("_label", text_col)
 
     def make():
         def fn(marks, texts):
