@@ -70,7 +70,7 @@ def _text_normalize_query(name: str, method: str, stats: str, sql: str) -> None:
 
 
 _text_normalize_query("r4_unit_vector", "unit", "sqrt(sum(c_acctbal * c_acctbal)) AS n", "c_acctbal / n")
-_text_normalize_query("r4_percentile", "percentile", "list_sort(list(c_acctbal)) AS l, count(*) AS n", "(c_acctbal - l[(n * 0.25)::BIGINT + 1]) / (l[(n * 0.75)::BIGINT + 1] - l[(n * 0.25)::BIGINT + 1])")
+_text_normalize_query("r4_percentile", "percentile", "list_sort(list(c_acctbal)) AS l, count(*) AS n", "(c_acctbal - l[floor(n * 0.25)::BIGINT + 1]) / (l[floor(n * 0.75)::BIGINT + 1] - l[floor(n * 0.25)::BIGINT + 1])")
 
 
 @query("r5_field_transforms", "SELECT p_partkey, upper(replace(p_name, 'a', 'x')) AS p_name, round(p_retailprice * 2 + 3, 6) AS p_retailprice FROM part")
