@@ -397,3 +397,48 @@ def v8(spark: SparkSession, sf: str) -> DataFrame:
 def v12(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "embeddings").select("vec_id", V.feature_quality(F.col("embedding").cast("array<double>")).alias("q")).select("vec_id", "q.*")
     return df.select("vec_id", *(F.round(c, 6).alias(c) for c in df.columns[1:]))
+
+
+@query("v1_type_rules", "SELECT p_partkey, (CASE WHEN TRY_CAST(p_brand AS DOUBLE) IS NULL THEN 1 ELSE 0 END)::INTEGER AS n FROM part")
+def v1(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [V.Rule("p_size", "type", {"type": "numeric"}), V.Rule("p_brand", "type", {"type": "numeric", "parse": True}), V.Rule("p_name", "type", {"type": "text"})]
+    return V.validate(_part(spark, sf), rules).select("p_partkey", F.size("errors").alias("n"))
+
+
+@query("v5_first_error_only", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'c_acctbal' WHEN c_nationkey > 20 THEN 'c_nationkey' ELSE '' END AS field FROM customer")
+def v5(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [V.Rule("c_acctbal", "range", {"min": 0}), V.Rule("c_nationkey", "range", {"max": 20})]
+    return V.validate(_customer(spark, sf), rules, stop_on_first=True).select("c_custkey", F.coalesce(F.get("errors", F.lit(0))["field"], F.lit("")).alias("field"))
+
+
+@query("v7_substring_rule", "SELECT c_custkey FROM customer WHERE NOT contains(c_mktsegment, 'U')")
+def v7(spark: SparkSession, sf: str) -> DataFrame:
+    return V.split_valid(_customer(spark, sf), [V.Rule("c_mktsegment", "substring", {"text": "U"})])[1].select("c_custkey")
+
+
+@query("v9_open_bounds_and_sizes", "SELECT vec_id, (CASE WHEN label <= 0 OR label >= 9 THEN 1 ELSE 0 END + CASE WHEN len(embedding) > 32 THEN 1 ELSE 0 END)::INTEGER AS n FROM embeddings")
+def v9(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [V.Rule("label", "range", {"min": 0, "max": 9, "open": True}), V.Rule("embedding", "size", {"max": 32})]
+    return V.validate(table(spark, sf, "embeddings"), rules).select("vec_id", F.size("errors").alias("n"))
+
+
+@query("v6_rules_of_schema", "SELECT 'o_totalprice' AS field, 'range' AS rule, count(*) AS n FROM orders WHERE o_totalprice > 300000 HAVING count(*) > 0 UNION ALL SELECT 'o_orderstatus', 'enum', count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F') HAVING count(*) > 0")
+def v6_schema(spark: SparkSession, sf: str) -> DataFrame:
+    df = _orders(spark, sf)
+    return V.error_report(df, V.rules_of(df.schema, {"o_totalprice": {"max": 300000}, "o_orderstatus": {"allowed": ["O", "F"]}}))
+
+
+@query("a3_grouped_batch_aggregates", "SELECT l_linestatus, round(sum(l_quantity), 2) AS total, strftime(max(l_shipdate), '%Y-%m-%d') AS latest, count(*) AS n FROM lineitem GROUP BY l_linestatus")
+def a3(spark: SparkSession, sf: str) -> DataFrame:
+    return _lineitem(spark, sf).groupBy("l_linestatus").agg(F.round(A.aggregate("sum", F.col("l_quantity")), 2).alias("total"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("latest"), F.count(F.lit(1)).alias("n"))
+
+
+@query("u5_custom_stages", "SELECT o_orderkey, round(o_totalprice * 1.2, 4) AS gross FROM orders WHERE o_orderstatus = 'O'")
+def u5(spark: SparkSession, sf: str) -> DataFrame:
+    run = R.pipeline(lambda df: df.filter("o_orderstatus = 'O'"), lambda df: df.withColumn("gross", F.round(F.col("o_totalprice") * 1.2, 4)), lambda df: df.select("o_orderkey", "gross"))
+    return run(_orders(spark, sf))
+
+
+@query("r17_extract_fields", "SELECT n_name, n_regionkey FROM nation")
+def r17(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").transform(R.declared([R.Transformation("select", {"columns": ["n_name", "n_regionkey"]})]))

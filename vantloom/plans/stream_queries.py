@@ -135,6 +135,49 @@ def x15(spark: SparkSession, sf: str) -> DataFrame:
     return t.get("customer", "v1").filter(F.startswith("c_name", F.lit("Customer#00000001")))
 
 
+@query("x8_format_detection", "SELECT * FROM (VALUES ('csv', 'csv'), ('json', 'jsonl'), ('orc', 'orc'), ('parquet', 'parquet')) AS t(written, found)")
+def x8(spark: SparkSession, sf: str) -> DataFrame:
+    rows = []
+    for kind in ("csv", "json", "orc", "parquet"):
+        out = scratch(spark, "plain")  # no extension: told by content
+        files.write(table(spark, sf, "nation").select("n_nationkey", "n_name").coalesce(1), out, kind)
+        rows.append((kind, files.detect_format(spark, out)))
+    return spark.createDataFrame(rows, "written string, found string")
+
+
+@query("x9_tensor_files", "SELECT count(*) AS n, 64 AS size FROM embeddings")
+def x9(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    df = table(spark, sf, "embeddings").select("embedding")
+
+    @F.pandas_udf("binary")
+    def raw(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: x.astype("<f4").tobytes())
+
+    decoded = files.decode_tensors(df.select(raw("embedding").alias("content")), "content", "<f4")
+    return decoded.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("data")).alias("size"))
+
+
+@query("x13_memory_records", "SELECT 1 AS id, 'a' AS name UNION ALL SELECT 2, 'b'")
+def x13(spark: SparkSession, sf: str) -> DataFrame:
+    return files.read_memory(spark, [{"id": 1, "name": "a"}, {"id": 2, "name": "b"}], "id int, name string")
+
+
+@query("x14_split_export", "SELECT count(*) AS n, true AS split FROM orders")
+def x14(spark: SparkSession, sf: str) -> DataFrame:
+    out = scratch(spark, "export")
+    files.write(table(spark, sf, "orders").select("o_orderkey").coalesce(1), out, "json", rows_per_file=1000)
+    back = spark.read.schema("o_orderkey bigint").json(out).select("o_orderkey", F.input_file_name().alias("f"))
+    return back.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("f") > 1).alias("split"))
+
+
+@query("w4_stream_progress", "SELECT count(*) AS rows, 0 AS errors FROM events")
+def w4(spark: SparkSession, sf: str) -> DataFrame:
+    p = streams.Processor(lambda batch, number: None)
+    p.start(_stream(spark, sf), scratch(spark, "checkpoint")).awaitTermination()
+    return spark.createDataFrame([(p.progress.rows, p.progress.errors)], "rows bigint, errors int")
+
+
 # -- User-defined surfaces --------------------------------------------------------------------
 
 

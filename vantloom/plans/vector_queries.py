@@ -446,6 +446,38 @@ def c13(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("id", *(F.round(c, 6).alias(c) for c in df.columns[1:]))
 
 
+@query("c14_batch_transform", f"WITH {_E} SELECT id, list_transform(v, lambda x: round(x * x, 6)) AS z FROM e")
+def c14(spark: SparkSession, sf: str) -> DataFrame:
+    return _emb(spark, sf).select("id", F.transform(kernels.as_double(F.col("vector")), lambda x: F.round(x * x, 6)).alias("z"))
+
+
+@query("c7_transform_chain", f"{_STATS}, z AS (SELECT id, d, (x - m) / sqrt(p) AS z FROM c JOIN s USING (d)) SELECT id, list(round(z.z / n, 6) ORDER BY d) AS z FROM z JOIN (SELECT id, sqrt(sum(z * z)) AS n FROM z GROUP BY id) USING (id) GROUP BY id")
+def c7(spark: SparkSession, sf: str) -> DataFrame:
+    df = _emb(spark, sf)
+    return df.select("id", F.transform(vectors.normalized(vectors.standard_scaler(df).apply(df.vector)), lambda x: F.round(x, 6)).alias("z"))
+
+
+@query("i12_hierarchical_levels")
+def i12(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.agglomerate_cells(_emb(spark, sf), 16, 4, "centroid").groupBy("cluster", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i7_recall_by_probes")
+def i7(spark: SparkSession, sf: str) -> DataFrame:
+    df = _emb(spark, sf)
+    asked = df.filter("id % 50 = 0")
+    truth = search.knn_join(asked, df, 10)
+    found = [ann.recall(ann.Ivf(df, ann.IndexConfig("ivf", lists=16, probes=p)).join(asked, 10), truth).withColumn("probes", F.lit(p)) for p in (2, 8, 16)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("u7_custom_distance", f"{_Q} SELECT id, round(list_sum(list_transform(list_zip(v, qv), lambda p: abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2]) + 1e-9))), 6) + 0.0 AS distance FROM e, q")
+def u7(spark: SparkSession, sf: str) -> DataFrame:
+    canberra = lambda a, b: kernels.total(kernels._pairs(a, b, lambda x, y: F.abs(x - y) / (F.abs(x) + F.abs(y) + 1e-9)))
+    q = F.array(*(F.lit(x) for x in _vector(spark, sf)))
+    return _emb(spark, sf).select("id", F.round(canberra(F.col("vector"), q), 6).alias("distance"))
+
+
 # -- Hashes -------------------------------------------------------------------------------
 
 

@@ -43,13 +43,28 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return winners[0] if best and len(winners) == 1 else ","
 
 
+def _head(spark: SparkSession, path: str, size: int = 8) -> bytes:
+    """First bytes of a file, or of a folder's first data file, by Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(where).isDirectory():
+        names = sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", ".")))
+        if not names:
+            return b""
+        where = spark._jvm.org.apache.hadoop.fs.Path(names[0])
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def detect_format(spark: SparkSession, path: str) -> str:
     """By extension, else by content: magic bytes, then the look of the first lines."""
     known = EXTENSIONS.get(path.rstrip("/").rsplit(".", 1)[-1].lower())
     if known:
         return known
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8).alias("h")).first()
-    raw = bytes(head["h"]) if head else b""
+    raw = _head(spark, path)
     if raw.startswith(b"PAR1"):
         return "parquet"
     if raw.startswith(b"ORC"):
@@ -58,7 +73,7 @@ def detect_format(spark: SparkSession, path: str) -> str:
     if first.startswith(("{", "[")):
         try:
             json.loads(first)
-            return "jsonl"
+            return "jsonl" if first.startswith("{") else "json"
         except ValueError:
             return "json"
     if first.startswith("<"):
@@ -100,15 +115,20 @@ def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> D
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def read_tensors(spark: SparkSession, path: str, dtype: str = "<f4", pattern: str | None = None) -> DataFrame:
-    """(path, data array<double>): files of numbers of one kind and byte order."""
-    ship(spark)
+def decode_tensors(df: DataFrame, column: str, dtype: str = "<f4") -> DataFrame:
+    """``df`` with data array<double>: the bytes of a column as numbers of one kind and byte order."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: np.frombuffer(b, dtype).astype(float))
 
-    return read_binary(spark, path, pattern).select("path", decode("content").alias("data"))
+    return df.withColumn("data", decode(column))
+
+
+def read_tensors(spark: SparkSession, path: str, dtype: str = "<f4", pattern: str | None = None) -> DataFrame:
+    """(path, data array<double>) of binary files."""
+    return decode_tensors(read_binary(spark, path, pattern), "content", dtype).select("path", "data")
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
