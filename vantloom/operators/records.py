@@ -296,3 +296,28 @@ def text_to_float(column: str, kind: str) -> Column:
     """Numbers, booleans or timestamps in text as floats; what does not parse is null."""
     c = F.col(column)
     return {"numeric": c.try_cast("float"), "boolean": scalars.convert(c, "string", "boolean", strict=False).cast("float"), "datetime": F.unix_timestamp(c.try_cast("timestamp")).cast("float")}[kind]
+
+
+def mixed_features(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, features array<double>): numbers standardised (null counts as the mean), flags as 0 and 1, text by bytes, words and capitals.
+
+    Columns go in the table's order; other types are passed over.
+    """
+    cells: list[Column] = []
+    numeric = [c for c, k in df.dtypes if c != id_col and (k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal"))]
+    stats = df.agg(F.struct(*(x for c in numeric for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))))).scalar() if numeric else None
+    for c, k in df.dtypes:
+        if c in numeric:
+            m, s = stats[f"m_{c}"], stats[f"s_{c}"]
+            cells.append(F.coalesce((F.col(c) - m) / F.when(s == 0, 1.0).otherwise(s), F.lit(0.0)))
+        elif k == "boolean":
+            cells.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        elif k == "string" and c != id_col:
+            text = F.coalesce(c, F.lit(""))
+            cells += [F.octet_length(text).cast("double"), F.regexp_count(text, F.lit(r"\S+")).cast("double"), F.regexp_count(text, F.lit("[A-Z]")).cast("double")]
+    return df.select(id_col, F.array(*cells).alias("features"))
+
+
+def filter_by_field(column: str, value) -> Stage:
+    """Rows whose field equals the value."""
+    return lambda df: df.filter(F.coalesce(F.col(column) == F.lit(value), F.lit(False)))

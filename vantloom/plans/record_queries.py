@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from vantloom.functions import scalars
 from vantloom.operators import aggregates as A
+from vantloom.operators import database
 from vantloom.operators import records as R
 from vantloom.operators import validation as V
+from vantloom.plans.predicates import connector_condition
 from vantloom.queries import query
 from vantloom.runtime import table
 
@@ -442,3 +444,40 @@ def u5(spark: SparkSession, sf: str) -> DataFrame:
 @query("r17_extract_fields", "SELECT n_name, n_regionkey FROM nation")
 def r17(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").transform(R.declared([R.Transformation("select", {"columns": ["n_name", "n_regionkey"]})]))
+
+
+@query("f15_declared_filters", "SELECT c_custkey FROM customer WHERE c_acctbal >= 1000 AND c_mktsegment NOT IN ('BUILDING') AND NOT contains(c_name, '99')")
+def f15(spark: SparkSession, sf: str) -> DataFrame:
+    df = _customer(spark, sf)
+    for column, op, value in (("c_acctbal", "greater_than_or_equal", 1000), ("c_mktsegment", "not_in", ["BUILDING"]), ("c_name", "not_contains", "99")):
+        df = df.filter(connector_condition(column, op, value))
+    return df.select("c_custkey")
+
+
+@query("f16_filter_by_field", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+def f16(spark: SparkSession, sf: str) -> DataFrame:
+    return R.filter_by_field("o_orderstatus", "P")(_orders(spark, sf)).select("o_orderkey")
+
+
+@query("a18_schema_merge", "SELECT * FROM (VALUES ('n_name', 'string'), ('n_nationkey', 'int'), ('n_regionkey', 'int'), ('r_name', 'string'), ('r_regionkey', 'int')) AS t(field, type)")
+def a18(spark: SparkSession, sf: str) -> DataFrame:
+    merged = A.merge_schemas([table(spark, sf, "nation").schema, table(spark, sf, "region").schema])
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in merged], "field string, type string")
+
+
+@query("v10_custom_rules", "SELECT o_orderkey, (CASE WHEN length(o_orderpriority) > 6 THEN 1 ELSE 0 END + CASE WHEN NOT o_totalprice > 50000 THEN 1 ELSE 0 END)::INTEGER AS n FROM orders")
+def v10(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [V.Rule("o_orderpriority", "length", {"max": 6}), V.Rule("o_totalprice", "expression", {"sql": "o_totalprice > 50000"})]
+    return V.validate(_orders(spark, sf), rules).select("o_orderkey", F.size("errors").alias("n"))
+
+
+@query("t24_mixed_features", "WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part) SELECT p_partkey, [round(strlen(p_brand)::DOUBLE, 6), round(len(string_split(p_brand, ' '))::DOUBLE, 6), round(len(regexp_extract_all(p_brand, '[A-Z]'))::DOUBLE, 6), round((p_size - m1) / s1, 6), round((p_retailprice - m2) / s2, 6)] AS features FROM part, s")
+def t24(spark: SparkSession, sf: str) -> DataFrame:
+    df = R.mixed_features(_part(spark, sf).select("p_partkey", "p_brand", "p_size", "p_retailprice"), "p_partkey")
+    return df.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
+
+
+@query("w5_chunked_iterator", "SELECT count(*) AS n FROM nation")
+def w5(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = [len(c) for c in database.chunks(table(spark, sf, "nation"), 7)]
+    return spark.createDataFrame([(sum(sizes),)], "n bigint")

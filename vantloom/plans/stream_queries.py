@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vantloom.functions import dsl
 from vantloom.queries import query
-from vantloom.runtime import ship, table
+from vantloom.runtime import scratch, ship, table
 from vantloom.sources import files
 from vantloom.streaming import streams
 
@@ -20,12 +19,6 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder, or a temporary one where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vantloom-io-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as a stream."""
     schema = _events(spark, sf).schema

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.functions import hashing, kernels
-from vantloom.operators import aggregates, ann, search, vectors
+from vantloom.operators import aggregates, ann, database, search, vectors
 from vantloom.plans.predicates import Composite, Property, QueryParams, compile_condition, parse_column_filter, parse_expression
 from vantloom.queries import query
-from vantloom.runtime import table
+from vantloom.runtime import scratch, table
 
 DIM = 64
 
@@ -134,6 +134,43 @@ def _rounded(df: DataFrame) -> DataFrame:
 _SCORE = "list_cosine_similarity(v, qv)"
 
 
+@query("s2_collection_search", f"{_Q} SELECT id, round(1 / (1 + {_L1V}), 6) AS score FROM e, q ORDER BY 1 / (1 + {_L1V}) DESC, id LIMIT 10")
+def s2(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_catalogued(spark, sf).search(_vector(spark, sf), search.SearchOptions(metric="manhattan", include_metadata=False)))
+
+
+@query("s9_score_threshold", f"{_Q} SELECT id, round({_SCORE}, 6) AS score FROM e, q WHERE {_SCORE} >= 0.4 ORDER BY {_SCORE} DESC, id LIMIT 100")
+def s9(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_catalogued(spark, sf).search(_vector(spark, sf), search.SearchOptions(limit=100, score_threshold=0.4, include_metadata=False)))
+
+
+@query("s10_sort_by_field", f"{_Q}, t AS (SELECT id, label, {_SCORE} AS s FROM e, q ORDER BY s DESC, id LIMIT 20) SELECT id, round(s, 6) AS score, (row_number() OVER (ORDER BY label::VARCHAR, id))::INTEGER AS place FROM t")
+def s10(spark: SparkSession, sf: str) -> DataFrame:
+    found = _rounded(_catalogued(spark, sf).search(_vector(spark, sf), search.SearchOptions(limit=20, sort="field:label", include_metadata=False))).collect()  # twenty rows, in order
+    return spark.createDataFrame([(r["id"], r["score"], k + 1) for k, r in enumerate(found)], "id bigint, score double, place int")
+
+
+@query("s11_metadata_filter", f"{_Q} SELECT id, round({_SCORE}, 6) AS score FROM e, q WHERE label IN (1, 4) ORDER BY {_SCORE} DESC, id LIMIT 10")
+def s11(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_catalogued(spark, sf).search(_vector(spark, sf), search.SearchOptions(filter=Property("label", "in", [1, 4]), include_metadata=False)))
+
+
+@query("s23_batch_changes", f"WITH {_E} SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM e WHERE id % 10 <> 3")
+def s23(spark: SparkSession, sf: str) -> DataFrame:
+    df = _catalogued(spark, sf).df.select("id", "vector", "metadata")
+    db = database.VectorDb(spark, scratch(spark, "vectors"))
+    db.create("e", DIM, rows=df)
+    db.change("e", "delete", df.filter("id % 10 = 3"))
+    db.change("e", "update", df.filter("id % 10 = 3"))  # unknown ids are passed over
+    return db.get("e").df.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query("i15_index_choice", "SELECT * FROM (VALUES (1000, 64, 'balanced', 'flat'), (50000, 64, 'balanced', 'ivf'), (5000000, 768, 'balanced', 'ivfpq'), (50000, 64, 'memory', 'pq'), (50000, 8, 'speed', 'vptree'), (50000, 64, 'build', 'lsh')) AS t(n, dim, target, kind)")
+def i15(spark: SparkSession, sf: str) -> DataFrame:
+    cases = [(1000, 64, "balanced"), (50000, 64, "balanced"), (5000000, 768, "balanced"), (50000, 64, "memory"), (50000, 8, "speed"), (50000, 64, "build")]
+    return spark.createDataFrame([(*c, ann.choose_index(*c)) for c in cases], "n int, dim int, target string, kind string")
+
+
 @query("s3_search_with_projection", f"{_Q} SELECT id, round({_SCORE}, 6) AS score, label FROM e, q ORDER BY {_SCORE} DESC, id LIMIT 10")
 def s3(spark: SparkSession, sf: str) -> DataFrame:
     c = _catalogued(spark, sf)
