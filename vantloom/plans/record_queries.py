@@ -481,3 +481,9 @@ def t24(spark: SparkSession, sf: str) -> DataFrame:
 def w5(spark: SparkSession, sf: str) -> DataFrame:
     sizes = [len(c) for c in database.chunks(table(spark, sf, "nation"), 7)]
     return spark.createDataFrame([(sum(sizes),)], "n bigint")
+
+
+@query("v11_parsed_types", "SELECT page_id, (CASE WHEN TRY_CAST(url AS TIMESTAMP) IS NULL THEN 1 ELSE 0 END)::INTEGER AS n FROM pages")
+def v11(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [V.Rule("url", "type", {"type": "datetime", "parse": True}), V.Rule("html", "type", {"type": "text", "allow_null": False})]
+    return V.validate(table(spark, sf, "pages"), rules).select("page_id", F.size("errors").alias("n"))

@@ -43,6 +43,14 @@ def w1(spark: SparkSession, sf: str) -> DataFrame:
     return _ran(spark, streams.file_stream(spark, out, "event_id bigint, user_id bigint, event_type string", "csv", 4, header=True), "append")
 
 
+@query("x12_json_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def x12(spark: SparkSession, sf: str) -> DataFrame:
+    out = scratch(spark, "json")
+    files.write(_events(spark, sf).select("event_id", "event_type"), out, "json")
+    found = streams.file_stream(spark, out, "event_id bigint, event_type string", "json", 4)
+    return _ran(spark, found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
 @query("w2_batch_processor", "SELECT event_type, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type")
 def w2(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch(spark, "processed")

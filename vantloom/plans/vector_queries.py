@@ -540,3 +540,55 @@ def h3(spark: SparkSession, sf: str) -> DataFrame:
 @query("h4_vector_hash", f"WITH {_E} SELECT id, sha256(list_aggregate(list_transform(v, lambda x: CAST(CAST(floor(x * 100 + 0.5) AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS hash FROM e")
 def h4(spark: SparkSession, sf: str) -> DataFrame:
     return _emb(spark, sf).select("id", hashing.vector_hash(F.col("vector"), 0.01).alias("hash"))
+
+
+# -- Other names of the same operations ------------------------------------------------------
+
+
+@query("k12_l2_norm", f"WITH {_E} SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM e")
+def k12(spark: SparkSession, sf: str) -> DataFrame:
+    return _emb(spark, sf).select("id", F.round(kernels.l2_norm(F.col("vector")), 6).alias("norm"))
+
+
+@query("s17_linear_search", f"{_Q} SELECT id, round(list_distance(v, qv), 6) AS distance FROM e, q ORDER BY list_distance(v, qv), id LIMIT 25")
+def s17(spark: SparkSession, sf: str) -> DataFrame:
+    return search.exact_knn(_emb(spark, sf), _vector(spark, sf), 25, "euclidean").withColumn("distance", F.round("distance", 6))
+
+
+@query("i1_flat_index", f"WITH {_E}, s AS (SELECT a.id AS query_id, b.id, round(-list_distance(a.v, b.v), 6) + 0.0 AS score FROM e a, e b WHERE a.id % 50 = 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM s QUALIFY rank <= 5")
+def i1(spark: SparkSession, sf: str) -> DataFrame:
+    df = _emb(spark, sf)
+    found = search.knn_join(df.filter("id % 50 = 0"), df, 5, "euclidean", digits=6)
+    return found.withColumn("score", F.col("score") + 0.0)
+
+
+@query("i6_exact_within_cells")
+def i6(spark: SparkSession, sf: str) -> DataFrame:
+    df = _emb(spark, sf)
+    return ann.Ivf(df, ann.IndexConfig("ivf", metric="euclidean", lists=12, probes=4)).join(df.filter("id % 50 = 0"), 5)
+
+
+@query("i10_cluster_members", f"WITH {_E} SELECT count(*) AS n, 10 AS cells FROM e")
+def i10(spark: SparkSession, sf: str) -> DataFrame:
+    df = _emb(spark, sf)
+    assigned = vectors.assign(df, vectors.fit_kmeans(df, 10))
+    return assigned.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").cast("int").alias("cells"))
+
+
+@query("i11_graph_both_ways", f"WITH {_E}, s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS score FROM e a, e b WHERE a.id <> b.id), g AS (SELECT src, dst FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 3) SELECT src, dst FROM g UNION SELECT dst, src FROM g")
+def i11(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.knn_graph(_emb(spark, sf), 3).select("src", "dst")
+
+
+@query("i14_index_defaults", "SELECT * FROM (VALUES (1000, 64, 24, 32, 8), (200000, 128, 42, 45, 10), (5000000, 768, 54, 111, 12)) AS t(n, dim, lists, subvectors, bits)")
+def i14(spark: SparkSession, sf: str) -> DataFrame:
+    rows = []
+    for n, dim in ((1000, 64), (200000, 128), (5000000, 768)):
+        c = ann.IndexConfig("ivfpq").resolved(n, dim)
+        rows.append((n, dim, c.lists, c.subvectors, c.bits))
+    return spark.createDataFrame(rows, "n int, dim int, lists int, subvectors int, bits int")
+
+
+@query("h5_murmur_buckets")
+def h5(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(F.pmod(F.hash("c_name"), F.lit(16)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
