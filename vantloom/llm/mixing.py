@@ -15,7 +15,8 @@ back is one row a leaf, broadcast when ``BROADCAST_LEAVES`` or fewer.
 Defined results: null or unlisted domains and languages have the default weight, null language
 and source are ``unknown``; null text has no tokens; weight 0 gives nothing; rows of equal id in
 a leaf stand or fall together; a leaf without tokens gives no rows; an empty table gives an
-empty table; a document that is read in several epochs gives a row for each.
+empty table; a document that is read in several epochs gives a row for each; columns of the input
+named like the helpers (_domain, _lang, _source, _epoch, _whole, _cut) are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from vantloom.runtime import checkpoint, table
 
 LEAF = ("_domain", "_lang", "_source")
 #: Hexadecimal digits of the order key that each round of sums goes on by.
-DIGITS = 3
+DIGITS = 2
 BROADCAST_LEAVES = 20_000
 
 
@@ -124,7 +125,7 @@ def cuts(counted: DataFrame, planned: DataFrame, mix: Mix, leaves: int, id_col:
     keyed = counted.join(_sized(planned.filter("rest > 0").select(*LEAF, "epochs", "rest"), leaves), list(LEAF))
     keyed = keyed.withColumn("_key", order_key(mix.seed, F.col("epochs"), id_col)).withColumn("before", F.lit(0).cast("bigint"))
     upto = Window.partitionBy(*LEAF).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    for digits in (DIGITS, 2 * DIGITS, 32):
+    for digits in (DIGITS, 2 * DIGITS, 3 * DIGITS, 32):
         sums = keyed.groupBy(*LEAF, "rest", "before", F.substring("_key", 1, digits).alias("_at")).agg(F.sum("_tokens").alias("t"), F.max("_key").alias("last"))
         inside = sums.withColumn("before", F.col("before") + F.sum("t").over(upto) - F.col("t")).filter("before < rest")
         edge = checkpoint(inside.groupBy(*LEAF).agg(F.max(F.struct("_at", "before", "last")).alias("e")).select(*LEAF, "e.*"))
