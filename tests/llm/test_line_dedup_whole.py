@@ -1,0 +1,82 @@
+import random
+import re
+from collections import defaultdict
+
+from vantloom.llm import line_dedup as L
+
+
+def _every_pair(rows):
+    """(id, text) -> text after deletion, from the alignments with all earlier documents."""
+    docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
+    items, holders = {}, defaultdict(list)
+    for d in docs:
+        worded = [(n, x, len(re.findall(r"[^ \t\n\x0b\f\r]+", x))) for n, x in enumerate(d[1].split("\n"))]
+        items[d] = [(k, n, x, words) for k, (n, x, words) in enumerate(w for w in worded if w[2])]
+        for line in {x[2] for x in items[d]}:
+            holders[line].append(d)
+    items = {d: [x for x in own if len(holders[x[2]]) > 1] for d, own in items.items()}
+    found = {}
+    for d in docs:
+        gone = set()
+        for other in {e for x in items[d] for e in holders[x[2]] if e < d}:
+            gone |= set(L.common_blocks(items[d], items[other]))
+        kept = "\n".join(x for n, x in enumerate(d[1].split("\n")) if n not in gone)
+        found[d] = d[1] if not gone else kept if kept.strip() else ""
+    return found
+
+
+def _whole(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return sorted((r.doc_id, r.text) for r in L.dedup_lines(docs, rare=None).collect())
+
+
+def test_all_earlier_documents_are_met(spark):
+    rnd = random.Random(7)
+    lines = [" ".join(rnd.choice("abcdef") + str(rnd.randint(0, 99)) for _ in range(rnd.randint(1, 9))) for _ in range(60)] + ["", " "]
+    rows = [(k, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 12)))) for k in range(150)]
+    few = [" ".join("pqrs"[k] + str(j) for j in range(2 + k)) for k in range(4)]  # every line hot, many repeats
+    rows += [(1000 + k, "\n".join(rnd.choice(few) for _ in range(rnd.randint(1, 6)))) for k in range(150)]
+    want = _every_pair(rows)
+    assert _whole(spark, rows) == sorted((i, want[i, t]) for i, t in rows)
+
+
+def test_crossing_passages_and_hot_short_lines(spark):
+    p, q = "one two three four five", "six seven eight nine ten"
+    crossed = [(1, f"{q}\n{p}")] + [(k, f"{p}\n{q}") for k in range(2, 41)]
+    assert [t for _, t in _whole(spark, crossed)][2:] == [""] * 38
+    short = ["a b", "c d", "e f"]
+    apart = [(k, "\nown words here\n".join(short)) for k in range(20)]
+    together = [(k, "\n".join(short)) for k in range(100, 120)]
+    found = dict(_whole(spark, apart + together))
+    assert found[100] == "\n".join(short) and all(found[k] == "" for k in range(101, 120))
+
+
+def test_windows_cover_every_block():
+    rnd = random.Random(3)
+    for _ in range(500):
+        ordinals = sorted(rnd.sample(range(12), rnd.randint(1, 10)))
+        items = [(o, o, 0, rnd.randint(1, 7)) for o in ordinals]
+        found = L._windows(items)
+        assert all(sum(x[3] for x in items[i:k]) >= L.BLOCK_WORDS and items[k - 1][0] - items[i][0] == k - 1 - i for i, k in found)
+        for i in range(len(items)):
+            for k in range(i + 1, len(items) + 1):
+                if items[k - 1][0] - items[i][0] == k - 1 - i and sum(x[3] for x in items[i:k]) >= L.BLOCK_WORDS:
+                    assert {j for a, b in found if i <= a and b <= k for j in range(a, b)} == set(range(i, k))
+
+
+def test_the_query_meets_all_earlier_documents(spark, tmp_path):
+    p, q = "one two three four five", "six seven eight nine ten"
+    rows = [(1, f"{q}\n{p}")] + [(k, f"{p}\n{q}") for k in range(2, 41)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.text for r in L.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert all(found[k] == "" for k in range(3, 41))
+
+
+def test_the_stage_meets_all_earlier_documents(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = _every_pair(rows)
+    found = corpus_pipeline.remove_lines(spark, docs, sf).select("doc_id", "text").collect()
+    assert sorted(map(tuple, found)) == sorted((i, want[i, t]) for i, t in rows if want[i, t] or not t)

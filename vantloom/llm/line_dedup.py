@@ -1,11 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed, and every line that two documents or more hold is shared. A shared line links
-each of its documents to the first one that holds it; a rare line (``RARE`` occurrences at
-most) also links each to the holder just before. So links grow with the lines, never with the
-square of a line's documents, and yet every line of a document that an earlier one holds has a
-partner that holds it. Linked documents are aligned with patience diff over their shared lines,
-and runs of aligned lines with ``BLOCK_WORDS`` words or more are deleted from the later one.
+Lines are hashed, and every line that two documents or more hold is shared. Linked documents are
+aligned with patience diff over their shared lines, and runs of aligned lines with
+``BLOCK_WORDS`` words or more are deleted from the later one.
+
+With ``rare=None``, as op4 and the pipeline ask, the deletions are those of alignments with all
+earlier documents. Documents of equal shared lines fold to the first of them. The shortest runs
+of ``BLOCK_WORDS`` words are windows; whatever an alignment deletes lies in windows that both
+documents hold. So each document meets the first holder of its windows, and for those windows
+that still have a line left the next holders, four times as many each round, until every line is
+deleted or every earlier holder has been met.
+
+With a number, a shared line links each of its documents to the first one that holds it, and a
+line of ``rare`` occurrences at most also to the holder just before; blocks that cross others in
+those partners stay.
 
 Documents are ordered by (id, text hash); lines without a word are never shared and don't break
 a run. Equality of lines is equality of their 64-bit hashes and word counts.
@@ -19,6 +27,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,16 +134,103 @@ def _key(prefix: str = "") -> Column:
     return F.struct(F.col("id").alias(f"{prefix}id"), F.col("th").alias(f"{prefix}th"))
 
 
-def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
-    """(id, th, gone array<boolean>): which lines of which documents go; line numbers beyond the array stay."""
-    kind = dict(docs.dtypes)[id_col]
-    lines = checkpoint(_lines(docs, id_col, text_col))
-    held = lines.groupBy("h", "words").agg(F.min(_key()).alias("first"), F.max(_key()).alias("final"), F.count(F.lit(1)).alias("n"))
-    # Written first: a join of two fresh exchanges is one whose crowded lines can be split.
-    common = checkpoint(held.filter("first <> final").select("h", "words", "first", "n"))
-    shared = checkpoint(lines.join(common, ["h", "words"]).dropDuplicates(["id", "th", "ordinal"]))
-    # Written before the joins for the same reason: one document may be the first of very many.
-    listed = checkpoint(shared.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line", "h", "words"))).alias("items")))
+def _windows(items: list[tuple], block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """(from, to) of the shortest runs of adjacent items with ``block_words`` words, from each item on and up to each.
+
+    A run of adjacent items with so many words is the union of the windows within it.
+    """
+    found: set[tuple[int, int]] = set()
+    start = 0
+    for end in range(1, len(items) + 1):
+        if end < len(items) and items[end][0] == items[end - 1][0] + 1:
+            continue
+        words, i = 0, start
+        for k in range(start, end):
+            words += items[k][3]
+            while words >= block_words:
+                found.add((i, k + 1))
+                words, i = words - items[i][3], i + 1
+        words, k = 0, end
+        for i in range(end - 1, start - 1, -1):
+            words += items[i][3]
+            while words >= block_words:
+                found.add((i, k))
+                words, k = words - items[k - 1][3], k - 1
+        start = end
+    return sorted(found)
+
+
+def _rows(items) -> list[tuple]:
+    return [(s["ordinal"], s["line"], s["h"], s["words"]) for s in items]
+
+
+def _digest(items: list[tuple]) -> bytes:
+    """Of hashes, word counts and where items are adjacent."""
+    numbers = np.array([(h, words, k > 0 and ordinal == items[k - 1][0] + 1) for k, (ordinal, _, h, words) in enumerate(items)], np.int64)
+    return xxhash.xxh128_digest(numbers.tobytes())
+
+
+def _window_hashes(items: list[tuple], gone: set[int], block_words: int) -> list[int]:
+    """Of the windows that have a line outside ``gone``."""
+    left = {_digest(items[i:k]) for i, k in _windows(items, block_words) if any(x[1] not in gone for x in items[i:k])}
+    return [int.from_bytes(x[:8], "little", signed=True) for x in left]
+
+
+def _every_partner(listed: DataFrame, kind: str, block_words: int) -> DataFrame:
+    """(id, th, gone array<int>) from the alignments with all earlier documents."""
+    key = f"id {kind}, th bigint"
+    shapes = checkpoint(map_rows(listed, lambda: lambda ids, hashes, items: (ids, hashes, [_digest(_rows(x)) for x in items]), f"{key}, shape binary"))
+    firsts = checkpoint(shapes.groupBy("shape").agg(F.min(_key()).alias("first")))
+    placed = shapes.join(firsts, "shape").withColumn("copy", _key() != F.col("first")).select("id", "th", "copy")
+    placed = checkpoint(listed.join(placed, ["id", "th"]))
+    heads = placed.filter("not copy").select("id", "th", "items")
+
+    def align():
+        def fn(ids, hashes, later, earlier):
+            return ids, hashes, [common_blocks(_rows(a), _rows(b), block_words) for a, b in zip(later, earlier)]
+
+        return fn
+
+    def left():
+        def fn(ids, hashes, items, gone):
+            return ids, hashes, [_window_hashes(_rows(x), set(g or ()), block_words) for x, g in zip(items, gone)]
+
+        return fn
+
+    def windows(df: DataFrame) -> DataFrame:
+        return map_rows(df, left, f"{key}, w array<bigint>").select("id", "th", F.explode(F.array_distinct("w")).alias("w"))
+
+    # A copy's alignment with its head is whole, so no other one can add to it.
+    own = placed.filter("copy").select("id", "th", "items", F.col("items").alias("same"))
+    found = [map_rows(own, align, f"{key}, gone array<int>")]
+    held = checkpoint(windows(heads.withColumn("gone", F.array().cast("array<int>"))))
+    many = held.groupBy("w").count().filter("count > 1").select("w")
+    order = Window.partitionBy("w").orderBy("id", "th")
+    ranked = checkpoint(held.join(many, "w").withColumn("rank", F.row_number().over(order)))
+    partner = heads.select(F.col("id").alias("other_id"), F.col("th").alias("other_th"), F.col("items").alias("other_items"))
+    at = ranked.select("w", F.col("rank").alias("at"), F.col("id").alias("other_id"), F.col("th").alias("other_th"))
+    low, high, asked = 1, 1, ranked.filter("rank > 1")
+    while not asked.isEmpty():
+        turns = asked.select("id", "th", "w", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("rank") - 1))).alias("at"))
+        pairs = turns.join(at, ["w", "at"]).select("id", "th", "other_id", "other_th").distinct()
+        both = pairs.join(partner, ["other_id", "other_th"]).join(heads, ["id", "th"]).select("id", "th", "items", "other_items")
+        found.append(checkpoint(map_rows(both, align, f"{key}, gone array<int>").filter(F.size("gone") > 0)))
+        low, high = high + 1, high * 4 + 1
+        so_far = found[1]
+        for part in found[2:]:
+            so_far = so_far.unionByName(part)
+        so_far = so_far.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        more = asked.filter(F.col("rank") > low).select("id", "th").distinct()
+        open_ = windows(heads.join(more, ["id", "th"]).join(so_far, ["id", "th"], "left").select("id", "th", "items", "gone"))
+        asked = checkpoint(ranked.filter(F.col("rank") > low).join(open_, ["id", "th", "w"]))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _linked_partners(shared: DataFrame, listed: DataFrame, kind: str, block_words: int, rare: int) -> DataFrame:
+    """(id, th, gone array<int>) from the alignments with each line's first holder, and rare lines' one before."""
     to_first = shared.filter(_key() != F.col("first")).select("id", "th", F.col("first.id").alias("other_id"), F.col("first.th").alias("other_th"))
     order = Window.partitionBy("h", "words").orderBy("id", "th")
     few = shared.filter(F.col("n") <= rare).select("h", "words", "id", "th").distinct()
@@ -144,12 +241,25 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def align():
         def fn(ids, hashes, later, earlier):
-            rows = lambda items: [(s["ordinal"], s["line"], s["h"], s["words"]) for s in items]
-            return ids, hashes, [common_blocks(rows(a), rows(b), block_words) for a, b in zip(later, earlier)]
+            return ids, hashes, [common_blocks(_rows(a), _rows(b), block_words) for a, b in zip(later, earlier)]
 
         return fn
 
-    found = map_rows(both, align, f"id {kind}, th bigint, gone array<int>").filter(F.size("gone") > 0)
+    return map_rows(both, align, f"id {kind}, th bigint, gone array<int>")
+
+
+def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = RARE) -> DataFrame:
+    """(id, th, gone array<boolean>): which lines of which documents go; line numbers beyond the array stay."""
+    kind = dict(docs.dtypes)[id_col]
+    lines = checkpoint(_lines(docs, id_col, text_col))
+    held = lines.groupBy("h", "words").agg(F.min(_key()).alias("first"), F.max(_key()).alias("final"), F.count(F.lit(1)).alias("n"))
+    # Written first: a join of two fresh exchanges is one whose crowded lines can be split.
+    common = checkpoint(held.filter("first <> final").select("h", "words", "first", "n"))
+    shared = checkpoint(lines.join(common, ["h", "words"]).dropDuplicates(["id", "th", "ordinal"]))
+    # Written before the joins for the same reason: one document may be the first of very many.
+    listed = checkpoint(shared.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line", "h", "words"))).alias("items")))
+    parts = _every_partner(listed, kind, block_words) if rare is None else _linked_partners(shared, listed, kind, block_words, rare)
+    found = parts.filter(F.size("gone") > 0)
     joined = found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     def mask():
@@ -164,7 +274,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return map_rows(joined, mask, f"id {kind}, th bigint, gone array<boolean>")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = RARE) -> DataFrame:
     """``docs`` with the deletions made, and columns _lines and _deleted (counts of lines) added."""
     gone = removals(docs, id_col=id_col, text_col=text_col, block_words=block_words, rare=rare)
     gone = gone.select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th"), F.col("gone").alias("_gone"))
@@ -179,4 +289,4 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
+    return dedup_lines(docs, rare=None).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
