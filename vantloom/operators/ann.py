@@ -3,12 +3,17 @@
 Inverted lists (IVF) put every row in the cell of its nearest centroid; a search reads the
 ``probes`` nearest cells only, which is partition pruning once the table is written by cell.
 Graph and tree indexes of single-machine engines map to the same idea with a recall knob.
+
+The ``*_join`` functions with ``certain`` or ``sure`` in their names answer many queries at once and
+read on until the k-th score is settled: by the triangle inequality over cells, by each row's own
+quantisation error, or (signatures only bound a score in probability) until each true neighbour
+is missed with a chance of ``miss`` at most. For cosine and Euclidean scores.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log10, sqrt
+from math import comb, log10, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -81,11 +86,74 @@ class Ivf:
             s = score_matrix(np.stack(v.to_numpy()).astype(float), sent.value, "euclidean")
             return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :probes].tolist())
 
-        asked = queries.select(F.col(self.id_col).alias("query_id"), F.col(self.vector_col).alias("q"), F.explode(near(self.vector_col)).alias("cell"))
-        met = asked.join(self.rows.select(F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v"), "cell"), "cell")
-        scored = met.select("query_id", "id", kernels.SIMILARITY[metric](F.col("q"), F.col("v")).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        return ranked(self.met(asked_of(queries, self.id_col, self.vector_col).withColumn("cell", F.explode(near("q")))), k, metric)
+
+    def met(self, asked: DataFrame) -> DataFrame:
+        """(query_id, q, id, v, ...): queries with a ``cell`` each, and the rows of those cells."""
+        rows = self.rows.withColumnsRenamed({self.id_col: "id", self.vector_col: "v"})
+        return asked.join(rows.select("id", "v", "cell"), "cell").drop("cell")
+
+    def certain_cells(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, q, cell): every cell that may hold one of the k nearest.
+
+        The k-th score within the nearest ``probes`` cells bounds the true one from below; a cell
+        goes only where its centroid's distance less its radius is beyond that.
+        """
+        metric = _bounded_metric(self.config.metric)
+        ship(queries.sparkSession)
+        sent = queries.sparkSession.sparkContext.broadcast(self.centroids)
+
+        @F.pandas_udf("double")
+        def away(v: pd.Series, cell: pd.Series) -> pd.Series:
+            x, known = _placed(v, metric)
+            d = np.linalg.norm(x - sent.value[cell.to_numpy()], axis=1)
+            return pd.Series(np.where(known, d, np.inf))
+
+        radius = {r.cell: r.r for r in self.rows.groupBy("cell").agg(F.max(away(self.vector_col, "cell")).alias("r")).collect()}
+        radii = np.array([radius.get(c, -np.inf) for c in range(len(self.centroids))])
+
+        @F.pandas_udf("array<int>")
+        def within(q: pd.Series, score: pd.Series) -> pd.Series:
+            x, known = _placed(q, metric)
+            least = -score_matrix(x, sent.value, "euclidean") - radii
+            most = np.sqrt(np.maximum(2 - 2 * score.to_numpy(), 0)) if metric == "cosine" else -score.to_numpy()
+            kept = (least <= most[:, None] + 1e-6) | (~known[:, None] & np.isfinite(radii)) | (radii == np.inf)
+            return pd.Series([np.flatnonzero(r).tolist() for r in kept])
+
+        asked = asked_of(queries, self.id_col, self.vector_col)
+        kth = self.join(queries, k).filter(F.col("rank") == k).select("query_id", "score")
+        wide = asked.join(kth, "query_id", "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
+        return wide.withColumn("cell", F.explode(within("q", "score"))).drop("score")
+
+    def certain_join(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, rank, id, score): the k nearest, all of them."""
+        return ranked(self.met(self.certain_cells(queries, k)), k, self.config.metric)
+
+
+def _bounded_metric(metric: str) -> str:
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"no bounds for metric {metric}")
+    return metric
+
+
+def _placed(v: pd.Series, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as points whose distance orders them by ``metric``, and whether they are (a zero vector has no direction)."""
+    x = np.stack(v.to_numpy()).astype(float)
+    if metric != "cosine":
+        return x, np.ones(len(x), bool)
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms != 0), norms[:, 0] != 0
+
+
+def asked_of(queries: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    return queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
+
+
+def ranked(met: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, rank, id, score): the k best of each query's (q, id, v), ties by id."""
+    scored = met.select("query_id", "id", kernels.SIMILARITY[metric](F.col("q"), F.col("v")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def planes(dim: int, hashes: int, seed: int = 42) -> np.ndarray:
@@ -113,6 +181,42 @@ def lsh_search(df: DataFrame, q: list[float], k: int, config: IndexConfig, *, id
     return found.select(id_col, "bit_distance", kernels.distance_with(F.col(vector_col), q, config.metric).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+def _agreement_limits(hashes: int, miss: float) -> list[float]:
+    """For 0, 1, ... differing bits: the largest chance of a bit to differ at which more bits differ with ``miss`` at most."""
+    out = []
+    for bits in range(hashes):
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            p = (low + high) / 2
+            beyond = sum(comb(hashes, j) * p**j * (1 - p) ** (hashes - j) for j in range(bits + 1, hashes + 1))
+            low, high = (p, high) if beyond <= miss else (low, p)
+        out.append(low)
+    return out
+
+
+def sure_lsh_join(df: DataFrame, queries: DataFrame, k: int, config: IndexConfig, *, id_col: str = "id", vector_col: str = "vector", miss: float = 0.01) -> DataFrame:
+    """(query_id, rank, id, score): each query's k nearest by exact cosine of the rows within enough bits.
+
+    A bit differs with a chance of angle over pi. The k rows of fewest differing bits bound the
+    k-th angle from above; bits are enough where a row within that angle is missed with a chance
+    of ``miss`` at most. Fewer than k rows are all read.
+    """
+    if config.metric != "cosine":
+        raise ValueError("signatures are of angles")
+    ship(queries.sparkSession)
+    p = planes(len(df.select(vector_col).head(1)[0][0]) if not df.isEmpty() else 1, config.hashes, config.seed)
+    asked = asked_of(queries, id_col, vector_col).withColumn("own", lsh_signature(F.col("q"), p))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("sig", lsh_signature(F.col("v"), p))
+    met = asked.crossJoin(rows).withColumn("differ", F.bit_count(F.col("own").bitwiseXOR(F.col("sig"))))
+    nearest = met.withColumn("near", F.row_number().over(Window.partitionBy("query_id").orderBy("differ", "id"))).filter(F.col("near") <= k)
+    kth = ranked(nearest, k, "cosine").filter(F.col("rank") == k)
+    chance = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))) / pi
+    limits = F.array(*(F.lit(x) for x in _agreement_limits(config.hashes, miss)))
+    bits = kth.withColumn("chance", chance).select("query_id", F.size(F.filter(limits, lambda x: x < F.col("chance"))).alias("bits"))
+    kept = met.join(bits, "query_id", "left").filter(F.col("bits").isNull() | (F.col("differ") <= F.col("bits")))
+    return ranked(kept, k, "cosine")
+
+
 class Pq:
     """Product quantisation: a code for each subvector, distances by table lookups."""
 
@@ -151,6 +255,66 @@ class Pq:
         return best.select(self.id_col, "adc", kernels.distance_with(F.col(self.vector_col), q, self.config.metric).alias("distance")).orderBy("distance", self.id_col).limit(k)
 
 
+    def with_error(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (v, codes) with column error: each vector's distance from the one its codes stand for."""
+        books, cuts = rows.sparkSession.sparkContext.broadcast(self.books), self.cuts
+
+        @F.pandas_udf("double")
+        def error(v: pd.Series, codes: pd.Series) -> pd.Series:
+            x, code = np.stack(v.to_numpy()).astype(float), np.stack(codes.to_numpy())
+            return pd.Series(np.sqrt(sum(((x[:, c] - b[code[:, j]]) ** 2).sum(axis=1) for j, (b, c) in enumerate(zip(books.value, cuts)))))
+
+        return rows.withColumn("error", error("v", "codes"))
+
+    def certain(self, met: DataFrame, k: int) -> DataFrame:
+        """(query_id, rank, id, score): the k nearest of each query's rows (q, id, v, codes, error), all of them.
+
+        Lookups give the score of what the codes stand for, and the error how far the true one
+        can be; a row is passed over only where its best is below the k-th of the worst ones.
+        """
+        metric = _bounded_metric(self.config.metric)
+        ship(met.sparkSession)
+        books, cuts = met.sparkSession.sparkContext.broadcast(self.books), self.cuts
+
+        @F.pandas_udf("struct<low:double,high:double>")
+        def bounds(query_id: pd.Series, q: pd.Series, v: pd.Series, codes: pd.Series, error: pd.Series) -> pd.DataFrame:
+            code, e = np.stack(codes.to_numpy()), error.to_numpy()
+            numbers, first = pd.factorize(query_id)[0], {}
+            for at, number in enumerate(numbers):
+                first.setdefault(number, at)
+            own = np.stack([q.iloc[first[n]] for n in range(len(first))]).astype(float)
+            near = np.zeros(len(code))
+            for j, (b, c) in enumerate(zip(books.value, cuts)):
+                table = own[:, c] @ b.T if metric == "cosine" else ((own[:, None, c] - b[None]) ** 2).sum(axis=2)
+                near += table[numbers, code[:, j]]
+            if metric == "euclidean":
+                near, spread = -np.sqrt(near), e
+            else:
+                norms = np.linalg.norm(np.stack(v.to_numpy()).astype(float), axis=1)
+                long = np.linalg.norm(own, axis=1)[numbers]
+                whole = norms * long
+                near = np.divide(near, whole, out=np.zeros_like(near), where=whole != 0)
+                spread = np.divide(e, norms, out=np.zeros_like(near), where=whole != 0)  # a zero vector scores 0
+            return pd.DataFrame({"low": near - spread - 1e-6, "high": near + spread + 1e-6})
+
+        met = met.withColumn("bound", bounds("query_id", "q", "v", "codes", "error"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("bound.low"), "id")
+        kth = met.withColumn("near", F.row_number().over(order)).filter(F.col("near") <= k).filter(F.col("near") == k).select("query_id", F.col("bound.low").alias("need"))
+        kept = met.join(kth, "query_id", "left").filter(F.col("need").isNull() | (F.col("bound.high") >= F.col("need")))
+        return ranked(kept, k, metric)
+
+    def certain_join(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, rank, id, score): the k nearest rows of each query, all of them."""
+        rows = self.with_error(self.codes.select(F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v"), "codes"))
+        return self.certain(asked_of(queries, self.id_col, self.vector_col).crossJoin(rows), k)
+
+
+def certain_ivfpq_join(ivf: Ivf, pq: Pq, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score): lookups in every cell that may hold one of the k nearest. ``pq`` is built on ``ivf.rows``."""
+    rows = pq.with_error(pq.codes.select(F.col(pq.id_col).alias("id"), F.col(pq.vector_col).alias("v"), "codes", "cell"))
+    return pq.certain(ivf.certain_cells(queries, k).join(rows, "cell"), k)
+
+
 def ivfpq_search(ivf: Ivf, pq: Pq, q: list[float], k: int, rerank: int = 4) -> DataFrame:
     """Inverted lists over coded rows: lookups in the probed cells only. ``pq`` is built on ``ivf.rows``."""
     return pq.search(q, k, rerank, pq.codes.filter(F.col("cell").isin(ivf.cells(q))))

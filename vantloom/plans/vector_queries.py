@@ -371,7 +371,8 @@ def f17(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("i2_ivf_search")
 def i2(spark: SparkSession, sf: str) -> DataFrame:
-    return ann.Ivf(_emb(spark, sf), ann.IndexConfig("ivf", lists=16, probes=6)).search(_vector(spark, sf), 10)
+    df = _emb(spark, sf)
+    return ann.Ivf(df, ann.IndexConfig("ivf", lists=16, probes=6)).certain_join(df.filter("id % 50 = 0"), 10)
 
 
 @query("i2_ivf_all_probes", f"WITH {_E}, s AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id % 50 = 0) SELECT query_id, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
@@ -382,18 +383,21 @@ def i2_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("i3_lsh_search")
 def i3(spark: SparkSession, sf: str) -> DataFrame:
-    return ann.lsh_search(_emb(spark, sf), _vector(spark, sf), 10, ann.IndexConfig("lsh"))
+    df = _emb(spark, sf)
+    return ann.sure_lsh_join(df, df.filter("id % 50 = 0"), 10, ann.IndexConfig("lsh"))
 
 
 @query("i4_pq_search")
 def i4(spark: SparkSession, sf: str) -> DataFrame:
-    return ann.Pq(_emb(spark, sf), ann.IndexConfig("pq", subvectors=8, bits=5)).search(_vector(spark, sf), 10)
+    df = _emb(spark, sf)
+    return ann.Pq(df, ann.IndexConfig("pq", subvectors=8, bits=5)).certain_join(df.filter("id % 50 = 0"), 10)
 
 
 @query("i5_ivfpq_search")
 def i5(spark: SparkSession, sf: str) -> DataFrame:
-    ivf = ann.Ivf(_emb(spark, sf), ann.IndexConfig("ivfpq", lists=8, probes=4))
-    return ann.ivfpq_search(ivf, ann.Pq(ivf.rows, ann.IndexConfig("ivfpq", subvectors=8, bits=5)), _vector(spark, sf), 10)
+    df = _emb(spark, sf)
+    ivf = ann.Ivf(df, ann.IndexConfig("ivfpq", lists=8, probes=4))
+    return ann.certain_ivfpq_join(ivf, ann.Pq(ivf.rows, ann.IndexConfig("ivfpq", subvectors=8, bits=5)), df.filter("id % 50 = 0"), 10)
 
 
 @query("i9_pivot_range_search", f"{_Q} SELECT id, round(list_distance(v, qv), 6) AS distance FROM e, q WHERE list_distance(v, qv) <= 1.15")
@@ -565,7 +569,7 @@ def i1(spark: SparkSession, sf: str) -> DataFrame:
 @query("i6_exact_within_cells")
 def i6(spark: SparkSession, sf: str) -> DataFrame:
     df = _emb(spark, sf)
-    return ann.Ivf(df, ann.IndexConfig("ivf", metric="euclidean", lists=12, probes=4)).join(df.filter("id % 50 = 0"), 5)
+    return ann.Ivf(df, ann.IndexConfig("ivf", metric="euclidean", lists=12, probes=4)).certain_join(df.filter("id % 50 = 0"), 5)
 
 
 @query("i10_cluster_members", f"WITH {_E} SELECT count(*) AS n, 10 AS cells FROM e")
