@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -36,6 +37,30 @@ def test_pieces_encode_as_the_whole_and_decode_to_its_bytes(enc):
         assert bpe.decode(enc, ids) == text.encode()
 
 
+def test_long_white_space_is_matched_as_the_pattern_does(enc):
+    import regex
+
+    rnd = random.Random(5)
+    blanks = [" ", "\n", "\t", "\r\n", "\x85", "\u3000", "\u2028"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            parts.append("".join(rnd.choice(blanks) for _ in range(rnd.choice([0, 3, 1023, 1024, 1500]))))
+            parts.append(rnd.choice(["", "word", "\x1c", "12", "!!", "é's", "a b"]))
+        text = "".join(parts)
+        want = [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in enc.encode_ordinary(m)]
+        assert bpe.encode(enc, text) == want
+        assert bpe.encode(enc, text, 60) == want
+
+
+def test_millions_of_blanks_encode_and_decode(spark, enc):
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_200_000 + "b", " \n" * 700_000 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in bpe.bpe_digests(docs, *bpe.production_ranks()).collect()}
+    assert all(found[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(texts))
+    assert found[0].n_tokens == 2_000_000
+
+
 def test_pieces_join_to_the_text():
     for text in _texts(20):
         assert "".join(bpe.safe_pieces(text, 30)) == text

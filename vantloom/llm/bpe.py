@@ -6,8 +6,15 @@ character, so every left-to-right scan ends a match there and starts afresh; enc
 pieces one by one gives the ids of the whole. Decoding joins the raw bytes of the ids, so ids
 that end inside a character are harmless.
 
+The library's pattern engine backtracks over white space and fails on very long runs of it, so
+runs of ``LONG_RUN`` characters or more never reach the pattern. What it would match there is
+known: the run without its last character if something follows, all of it at the text's end. That
+match goes to the library as one piece; the last character stays with what follows.
+
 Defined results: null text is empty (0 ids, hash of nothing); repeated rows give repeated rows;
-empty tables give empty tables; a text without any safe boundary is encoded in one piece.
+empty tables give empty tables; a text without any safe boundary is encoded in one piece; very
+long texts take memory in proportion to the longest text of a batch; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +31,10 @@ from vantloom.llm.batches import map_rows
 from vantloom.runtime import table
 
 PIECE = 16_384
+LONG_RUN = 1_024
 _CANDIDATE = re.compile(r"[^\W\d_][ \n]")
+#: White space as the split pattern's engine sees it; Python's own class has four characters more.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 @functools.cache
@@ -51,7 +61,7 @@ def safe_pieces(text: str, size: int = PIECE):
     yield text[begin:]
 
 
-def encode(enc, text: str, size: int = PIECE) -> list[int]:
+def _encode_run_free(enc, text: str, size: int) -> list[int]:
     if len(text) <= size:
         return enc.encode_ordinary(text)
     ids: list[int] = []
@@ -60,6 +70,16 @@ def encode(enc, text: str, size: int = PIECE) -> list[int]:
     return ids
 
 
+def encode(enc, text: str, size: int = PIECE) -> list[int]:
+    ids, begin = [], 0
+    for run in _LONG_RUN.finditer(text) if len(text) >= LONG_RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += _encode_run_free(enc, text[begin : run.start()], size)
+        ids += enc._encode_single_piece(text[run.start() : end])
+        begin = end
+    return ids + _encode_run_free(enc, text[begin:], size) if begin else _encode_run_free(enc, text, size)
+
+
 def decode(enc, ids: list[int]) -> bytes:
     return enc.decode_bytes(ids)
 
