@@ -40,6 +40,13 @@ def test_digests_against_plain_python(spark):
     assert chat.conversation_digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_large_ids_beside_a_null_stay_apart(spark):
+    rows = [(2**53, 0, "user", "a"), (2**53 + 1, 0, "user", "b"), (2**53 + 1, 1, "assistant", "c"), (None, 0, "user", "d")]
+    for df in (spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("'id' || conv_id AS conv_id", "turn", "role", "text")):
+        found = chat.conversation_digests(chat.format_turns(df.coalesce(1))).collect()
+        assert sorted((str(r.conv_id).removeprefix("id"), r.n_turns) for r in found) == [(str(2**53), 1), (str(2**53 + 1), 2), ("None", 1)]
+
+
 def test_query_holds_the_probe(spark, sf):
     rows = {r.conv_id: r for r in chat.op1_chat_format(spark, sf).collect()}
     assert rows[-1].n_turns == 2 and rows[-1].loss_chars == len(chat.PROBE)

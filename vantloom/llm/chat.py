@@ -13,7 +13,8 @@ reads a conversation streams over its rows. Nothing is gathered by conversation.
 
 Defined results: null text and null role are empty; null conv_id is a conversation of its own;
 turns go by (turn, role, text), nulls first; repeated rows are all kept; an empty table gives
-an empty table; other columns are not read.
+an empty table; ids are compared as they are, whatever their size; very long texts take memory in
+proportion to the longest texts of a batch; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from vantloom.llm.batches import map_rows
 from vantloom.runtime import ship, table
@@ -130,34 +133,38 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """Digests read back from ``format_turns``: rows stream by conversation in constant memory."""
     kind = dict(turns.dtypes)["conv_id"]
+    parsed = _parse_datatype_string(f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_start", "loss_end")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, begun, current = None, False, None
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(parsed)
+        state, current = None, None
+        for batch in batches:
             done = []
-            for conv, formatted, a, b in frame.itertuples(index=False):
-                conv = None if pd.isna(conv) else conv
-                if not begun or conv != current:
-                    if begun:
+            for conv, formatted, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or conv != current:
+                    if state is not None:
                         done.append(_close(current, state))
-                    begun, current, state = True, conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text, _, _ in parse(formatted):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(a):
-                    masked = unescape(formatted[int(a) : int(b)])
+                if a is not None:
+                    masked = unescape(formatted[a:b])
                     state[2] += len(masked)
                     state[3].update(masked.encode())
                 state[4] += len(formatted)
             if done:
-                yield pd.DataFrame(done, columns=names)
-        if begun:
-            yield pd.DataFrame([_close(current, state)], columns=names)
+                yield _rows(done, arrow)
+        if state is not None:
+            yield _rows([_close(current, state)], arrow)
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     ship(turns.sparkSession)
-    return ordered.mapInPandas(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return ordered.mapInArrow(run, parsed)
+
+
+def _rows(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
 def _close(conv, state):
