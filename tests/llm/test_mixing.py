@@ -72,6 +72,19 @@ def test_against_brute_force(spark):
         assert found.drop("_epoch", *mixing.LEAF).columns == docs.columns
 
 
+def test_long_numbers_and_clashing_names(spark):
+    sources = ["s" + "7" * 60, "s" + "9" * 400 + "6", "s5", "1234567890" * 9 + "12", "src0\n", "s07"]
+    rows = [(k, "w x y", "en", s) for k, s in enumerate(sources * 3)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs = plain.selectExpr("*", "doc_id AS _epoch", "'d' AS _DOMAIN", "'l' AS _lang", "'s' AS _source", "'w' AS _whole", "'c' AS _cut", "1 AS _own_cut")
+    found = mixing.mix_documents(docs)
+    assert found.columns == [*docs.columns, "__epoch", "__domain", "__lang", "__source"]
+    got = found.collect()
+    assert sorted((str(r.doc_id), r[11]) for r in got) == _brute(rows, mixing.PRODUCTION)
+    assert all(r._epoch == r.doc_id and r[5:11] == ("d", "l", "s", "w", "c", 1) and r[12] == _domain(r.source) for r in got)
+    assert all("_own" not in c for c in set(found.columns) - {"_own_cut"})
+
+
 def test_shortage_goes_to_siblings_before_ancestors(spark):
     # web/fr holds little: web/en takes what it leaves, though news has plenty of its own.
     rows = [(k, "w " * 10, "en", "src0") for k in range(200)] + [(500, "w " * 10, "fr", "src0")] + [(1000 + k, "w " * 10, "en", "src1") for k in range(200)]

@@ -12,6 +12,17 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from vantloom.runtime import ship
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from ``columns`` (case counts for nothing)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, step: int = 256) -> DataFrame:
     """Apply a function of column lists to ``df`` in slices of ``step`` rows.
 

@@ -15,8 +15,9 @@ back is one row a leaf, broadcast when ``BROADCAST_LEAVES`` or fewer.
 Defined results: null or unlisted domains and languages have the default weight, null language
 and source are ``unknown``; null text has no tokens; weight 0 gives nothing; rows of equal id in
 a leaf stand or fall together; a leaf without tokens gives no rows; an empty table gives an
-empty table; a document that is read in several epochs gives a row for each; columns of the input
-named like the helpers (_domain, _lang, _source, _epoch, _whole, _cut) are replaced, others kept.
+empty table; a document that is read in several epochs gives a row for each; all columns of the input
+are kept, and an added column whose name is taken gets one more underscore; a source may end in a
+number of any length; very long texts are only counted, within Spark's own string functions.
 """
 
 from __future__ import annotations
@@ -26,9 +27,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vantloom.llm.batches import fresh
 from vantloom.runtime import checkpoint, table
 
 LEAF = ("_domain", "_lang", "_source")
+#: Columns that the result has after those of the input.
+ADDED = ("_epoch", *LEAF)
+#: Names that the plan uses beside the input's.
+HELPERS = (*ADDED, "_whole", "_cut")
 #: Hexadecimal digits of the order key that each round of sums goes on by.
 DIGITS = 2
 BROADCAST_LEAVES = 20_000
@@ -52,9 +58,10 @@ PRODUCTION = Mix()
 
 def domain_of(source: Column) -> Column:
     """Domain of a source by the number its name ends with; ``other`` without one."""
-    number = F.regexp_extract(source, "([0-9]+)$", 1)
     kinds = F.array(F.lit("web"), F.lit("news"), F.lit("books"), F.lit("forum"))
-    return F.when(number == "", "other").otherwise(F.element_at(kinds, (number.cast("decimal(38,0)") % 4 + 1).cast("int")))
+    # The last two digits tell the rest by 4, however long the number is.
+    number = F.regexp_extract(source, r"([0-9]{1,2})\z", 1)
+    return F.when(number == "", "other").otherwise(F.element_at(kinds, number.cast("int") % 4 + 1))
 
 
 def tokens_of(text: Column) -> Column:
@@ -136,8 +143,14 @@ def cuts(counted: DataFrame, planned: DataFrame, mix: Mix, leaves: int, id_col:
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` by the targets: each row once for every epoch that takes it, with column _epoch and the leaf's columns."""
-    leafed = with_leaf(docs)
+    """``docs`` by the targets: each row once for every epoch that takes it, with column _epoch and the leaf's columns.
+
+    Added columns stand after the input's and get one more underscore where the input has their name.
+    """
+    # Columns of the input that are named like the helpers step aside until the end.
+    aside = [c for c in docs.columns if c.lower() in HELPERS]
+    kept = dict(zip(aside, fresh([*docs.columns, *HELPERS], *(f"_own{c}" for c in aside))))
+    leafed = with_leaf(docs.withColumnsRenamed(kept))
     counted = checkpoint(leafed.select(F.col(id_col), *LEAF, tokens_of(F.col(text_col)).alias("_tokens")))
     planned = checkpoint(plan(counted, mix))
     leaves = planned.count()
@@ -145,7 +158,9 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, *, id_col: str = "doc_
     joined = leafed.join(_sized(ends, leaves), list(LEAF))
     whole = F.when(F.col("_whole") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - 1)).otherwise(F.array().cast("array<bigint>"))
     part = F.when(order_key(mix.seed, F.col("_whole"), id_col) <= F.col("_cut"), F.array("_whole")).otherwise(F.array().cast("array<bigint>"))
-    return joined.withColumn("_epoch", F.explode(F.concat(whole, part))).drop("_whole", "_cut")
+    mixed = joined.withColumn("_epoch", F.explode(F.concat(whole, part)))
+    added = zip(ADDED, fresh(docs.columns, *ADDED))
+    return mixed.select(*(F.col(kept.get(c, c)).alias(c) for c in docs.columns), *(F.col(c).alias(name) for c, name in added))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +186,10 @@ OP2_SQL = rf"""
 WITH leafed AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
     coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS n_tokens,
-    regexp_extract(coalesce(source, 'unknown'), '([0-9]+)$', 1) AS number
+    regexp_extract(coalesce(source, 'unknown'), '([0-9]{{1,2}})\z', 1) AS number
   FROM documents
 ), counted AS (
-  SELECT *, CASE WHEN number = '' THEN 'other' ELSE ['web', 'news', 'books', 'forum'][CAST(CAST(number AS HUGEINT) % 4 + 1 AS BIGINT)] END AS domain FROM leafed
+  SELECT *, CASE WHEN number = '' THEN 'other' ELSE ['web', 'news', 'books', 'forum'][CAST(number AS BIGINT) % 4 + 1] END AS domain FROM leafed
 ), leaves AS (
   SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 5::BIGINT AS w, sum(n_tokens)::BIGINT * 2 AS cap FROM counted GROUP BY ALL
 ), c2 AS (
