@@ -54,3 +54,36 @@ def test_quantised_drops_what_is_not_finite(spark):
     rows = [(1, [0.5, -0.0001]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("-inf"), 1.0]), (6, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "3 AS v")
     assert [(r.vec_id, r.v) for r in bitsliced.quantised(df).collect()] == [(1, [512, -1])]
+
+
+def test_components_of_any_size_and_ids_of_any_type(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(int(i), rng.integers(-40, 40, 5).tolist()) for i in range(120)]
+    vectors += [(200 + i, rng.integers(-(2**62), 2**62, 5).tolist()) for i in range(30)] + [(300, [2**63 - 1] * 5), (400, [-(2**63)] * 5), (401, [2**21, 0, 0, 0, -1])]
+    exact = {i: np.array(v, object) for i, v in vectors}
+    clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for q in (i for i in exact if i % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(exact[q], exact[i])), i) for i in exact if i != q)
+        want += [(q, r + 1, i, clamp(-s)) for r, (s, i) in enumerate(scored[:10])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, v array<bigint>")
+    for rows, group in ((16_384, 1024), (37, 2)):
+        found = bitsliced.exact_topk(df, df.filter("vec_id % 100 = 0"), block_rows=rows, group_queries=group)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == sorted(want)
+    named = df.selectExpr("concat('n', vec_id) AS part", "v AS dim", "vec_id AS block")
+    found = bitsliced.exact_topk(named, named.filter("block % 100 = 0"), id_col="part", vector_col="dim")
+    assert found.columns == ["query_id", "rank", "part", "score"]
+    assert {(int(r.query_id[1:]), r["rank"], r.score) for r in found.collect()} == {(q, r, s) for q, r, _, s in want}
+
+
+def test_rows_repeated_beyond_k_crowd_no_block(spark):
+    df = spark.createDataFrame([(1, [1, 2])] * 500 + [(100, [1, 1]), (2, [0, 1])], "vec_id bigint, v array<bigint>")
+    found = bitsliced.exact_topk(df, df.filter("vec_id % 100 = 0")).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(k, 1, 3) for k in range(1, 11)]
+
+
+def test_query_takes_one_odd_vector(spark, tmp_path):
+    rows = [(100 * k, [0.25 * k, 1.0]) for k in range(5)] + [(7, [1e9, 1.0]), (8, [-1e30, 1.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bitsliced.op8_exact_topk(spark, str(tmp_path)).collect()}
+    assert found[100, 1] == (7, 256 * 1024 * 10**9 + 1024**2) and found[100, 6] == (8, -(2**63))

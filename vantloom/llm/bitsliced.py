@@ -10,14 +10,21 @@ worth no more than a bound known for each query and block, so the rows within th
 k-th sum are the boundary rows; they are resolved by their exact integer inner products.
 
 Rows are dealt into blocks of bounded size and queries into groups of bounded size; each block
-meets each group once, under a plain equi-join key. Each pair keeps k rows a query at most.
+meets each group once, under a plain equi-join key. Each pair keeps k rows a query at most. Rows
+equal in id and vector are folded first, to as many as k ranks can hold, so no repeated row crowds
+a block.
+
+Bitmap sums must stay in 64 bits. Vectors with a component beyond ``MAX_COMPONENT`` in size, and
+queries with one, are scored apart: components are split into limbs of ``LIMB`` bits, products of
+limbs are added in 64 bits, and carries make digits that compare exactly.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component, and rows
 without an id, take no part; only vectors of equal length are compared; a query meets no row of
 its own id; repeated query ids are one query (the smallest vector stands); repeated candidate
-rows are ranked each; ties go to the smaller id; components beyond 2**20 in size after
-quantisation are rejected with an error, since sums must stay in 64 bits; an empty table gives
-an empty table.
+rows are ranked each; ties go to the smaller id; ids are of any type that orders; components
+beyond a long after quantisation are the nearest long, and so is a score beyond one, though ranks
+go by the exact score; an empty table gives an empty table; other columns are not read, whatever
+their names; vectors may be long, as long as a block of them fits a task.
 """
 
 from __future__ import annotations
@@ -29,18 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantloom.runtime import ship, table
+from vantloom.runtime import checkpoint, ship, table
 
 K = 10
 SCALE = 1024
 QUERY_EVERY = 100
 #: Rows of a block, and queries of a group.
 BLOCK_ROWS = 16_384
-GROUP_QUERIES = 1_024
+GROUP_QUERIES = 16_384
 TOP_SLICES = 6
 #: Queries that one pass of bitmap arithmetic handles.
 PASS_QUERIES = 32
 MAX_COMPONENT = 1 << 20
+LIMB = 21
 
 
 class Slices:
@@ -165,6 +173,74 @@ def top_rows(index: Slices, query_ids: np.ndarray, queries: np.ndarray, k: int =
         yield qid[who[best]], ids[best], scores[best]
 
 
+def _limbs(values: np.ndarray) -> list[np.ndarray]:
+    """Digits of LIMB bits, the lowest first; the last one carries the sign."""
+    low = (1 << LIMB) - 1
+    return [values & low, values >> LIMB & low, values >> 2 * LIMB & low, values >> 3 * LIMB]
+
+
+def wide_products(queries: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Inner products of any longs as digits [query, row] of LIMB bits, the highest (signed) first."""
+    ours, theirs = _limbs(queries), _limbs(rows)
+    sums = [np.zeros((len(queries), len(rows)), np.int64) for _ in range(len(ours) + len(theirs) - 1)]
+    for i, a in enumerate(ours):
+        for j, b in enumerate(theirs):
+            if a.any() and b.any():
+                sums[i + j] += a @ b.T
+    for k in range(len(sums) - 1):
+        sums[k + 1] += sums[k] >> LIMB
+        sums[k] &= (1 << LIMB) - 1
+    return sums[::-1]
+
+
+def _as_long(digits: list[np.ndarray]) -> np.ndarray:
+    found = []
+    for parts in zip(*(d.tolist() for d in digits)):
+        value = 0
+        for part in parts:
+            value = (value << LIMB) + part
+        found.append(max(-(1 << 63), min((1 << 63) - 1, value)))
+    return np.array(found, np.int64)
+
+
+def wide_top_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K):
+    """(query id, row id, score, digits [row, digit]) as ``top_rows``, for vectors of any longs."""
+    step = max(1, 1_000_000 // max(1, len(rows)))
+    for at in range(0, len(queries), step):
+        qid = query_ids[at : at + step]
+        digits = wide_products(queries[at : at + step], rows)
+        who, row = np.nonzero(qid[:, None] != ids[None])
+        flat = [d[who, row] for d in digits]
+        order = np.lexsort((ids[row], *(-d for d in flat[::-1]), who))
+        who, row = who[order], row[order]
+        best = np.arange(len(who)) - np.searchsorted(who, who, "left") < k
+        chosen = [d[order][best] for d in flat]
+        yield qid[who[best]], ids[row[best]], _as_long(chosen), np.stack(chosen, axis=1)
+
+
+def _digits(scores: np.ndarray) -> np.ndarray:
+    """Digits of longs, as those of ``wide_products``."""
+    low = (1 << LIMB) - 1
+    sign = scores >> 63
+    return np.stack([sign, sign & low, sign & low, scores >> 3 * LIMB & low, scores >> 2 * LIMB & low, scores >> LIMB & low, scores & low], axis=1)
+
+
+def best_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K):
+    """(query id, row id, score, digits): sliced where sums stay in 64 bits, by limbs elsewhere; k each."""
+
+    def within(values: np.ndarray) -> np.ndarray:
+        return ((values <= MAX_COMPONENT) & (values >= -MAX_COMPONENT)).all(axis=1)
+
+    plain_rows, plain_queries = within(rows), within(queries)
+    if plain_rows.any() and plain_queries.any():
+        for qid, rid, score in top_rows(Slices(ids[plain_rows], rows[plain_rows]), query_ids[plain_queries], queries[plain_queries], k):
+            yield qid, rid, score, _digits(score)
+    if not plain_rows.all() and plain_queries.any():
+        yield from wide_top_rows(ids[~plain_rows], rows[~plain_rows], query_ids[plain_queries], queries[plain_queries], k)
+    if not plain_queries.all():
+        yield from wide_top_rows(ids, rows, query_ids[~plain_queries], queries[~plain_queries], k)
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(flat)
@@ -173,35 +249,46 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = K, block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
     """(query_id, rank, id, score) by integer inner product; ``vectors`` and ``queries`` hold arrays of bigint."""
-    spark = vectors.sparkSession
-    usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~F.exists(vector_col, lambda x: x.isNull())
-    rows = vectors.select(id_col, vector_col).filter(usable).withColumn("dim", F.size(vector_col))
-    asked = queries.select(id_col, vector_col).filter(usable).withColumn("dim", F.size(vector_col))
-    asked = asked.groupBy(id_col).agg(F.min(F.struct(vector_col, "dim")).alias("s")).select(id_col, f"s.{vector_col}", "s.dim")
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[id_col]
+
+    def usable(df: DataFrame) -> DataFrame:
+        named = df.select(F.col(id_col).cast(kind).alias("id"), F.col(vector_col).alias("v"))
+        return named.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+    rows = checkpoint(usable(vectors).groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n")))
+    asked = usable(queries).groupBy("id").agg(F.min(F.struct(F.size("v").alias("dim"), "v")).alias("s")).select("id", "s.v")
+    asked = checkpoint(asked)
     n_blocks = max(1, -(-rows.count() // block_rows))
     n_groups = max(1, -(-asked.count() // group_queries))
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         # One row in each block or group of its own, once for every group or block of the others.
-        return df.withColumn(own, F.pmod(F.xxhash64(id_col, vector_col), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
+        spread = df.withColumn("dim", F.size("v")).withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n_own)))
+        return spread.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
 
     left = dealt(rows, "block", n_blocks, "part", n_groups).groupBy("dim", "block", "part")
     right = dealt(asked, "part", n_groups, "block", n_blocks).groupBy("dim", "block", "part")
+    width = len(_digits(np.zeros(1, np.int64))[0])
 
     def search(key, own: pa.Table, other: pa.Table) -> pa.Table:
-        found: list = []
-        if own.num_rows and other.num_rows:
-            matrix, q = _matrix(own.column(vector_col)), _matrix(other.column(vector_col))
-            if max(np.abs(matrix).max(), np.abs(q).max()) > MAX_COMPONENT:
-                raise ValueError(f"a quantised component exceeds {MAX_COMPONENT}")
-            index = Slices(own.column(id_col).to_numpy(), matrix)
-            found = list(top_rows(index, other.column(id_col).to_numpy(), q, k))
-        out = [np.concatenate([f[c] for f in found]) if found else np.empty(0, np.int64) for c in range(3)]
-        return pa.table({"query_id": out[0].astype(np.int64), "id": out[1].astype(np.int64), "score": out[2]})
+        if not own.num_rows or not other.num_rows:
+            empty = own.schema.field("id").type
+            return pa.table({"query_id": pa.array([], empty), "id": pa.array([], empty), "score": pa.array([], pa.int64()), "digits": pa.array([], pa.list_(pa.int64()))})
+        theirs, ours = own.column("id").to_pylist(), other.column("id").to_pylist()
+        known = sorted({*theirs, *ours})
+        number = {x: i for i, x in enumerate(known)}  # orders and compares as the ids do
+        copies = own.column("n").to_numpy()
+        ids = np.repeat(np.array([number[x] for x in theirs], np.int64), copies)
+        matrix = np.repeat(_matrix(own.column("v")), copies, axis=0)
+        found = list(best_rows(ids, matrix, np.array([number[x] for x in ours], np.int64), _matrix(other.column("v")), k))
+        qid, rid, score, digits = (np.concatenate(x) if found else np.empty((0, width) if i == 3 else 0, np.int64) for i, x in enumerate(zip(*found) if found else [()] * 4))
+        names = pa.array(known, own.schema.field("id").type)
+        offsets = pa.array(np.arange(len(digits) + 1, dtype=np.int32) * width)
+        return pa.table({"query_id": names.take(pa.array(qid)), "id": names.take(pa.array(rid)), "score": pa.array(score), "digits": pa.ListArray.from_arrays(offsets, pa.array(digits.ravel()))})
 
     ship(spark)
-    best = left.cogroup(right).applyInArrow(search, "query_id bigint, id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = left.cogroup(right).applyInArrow(search, f"query_id {kind}, id {kind}, score bigint, digits array<bigint>")
+    order = Window.partitionBy("query_id").orderBy(F.desc("digits"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
