@@ -4,27 +4,24 @@ Lines are hashed, and every line that two documents or more hold is shared. Link
 aligned with patience diff over their shared lines, and runs of aligned lines with
 ``BLOCK_WORDS`` words or more are deleted from the later one.
 
-With ``rare=None``, as op4 and the pipeline ask, the deletions are those of alignments with all
-earlier documents. Documents of equal shared lines fold to the first of them. The shortest runs
-of ``BLOCK_WORDS`` words are windows; whatever an alignment deletes lies in windows that both
-documents hold. So each document meets the first holder of its windows, and for those windows
-that still have a line left the next holders, four times as many each round, until every line is
-deleted or every earlier holder has been met.
-
-With a number, a shared line links each of its documents to the first one that holds it, and a
-line of ``rare`` occurrences at most also to the holder just before; blocks that cross others in
-those partners stay.
+Deletions are those of the alignments with all earlier documents. Documents of equal shared lines
+fold to the first of them. The shortest runs of ``BLOCK_WORDS`` words are windows; whatever an
+alignment deletes lies in windows that both documents hold. So each document meets the first
+holder of its windows, and for those windows that still have a line left the next holders, four
+times as many each round, until every line is deleted or every earlier holder has been met.
 
 Documents are ordered by (id, text hash); lines without a word are never shared and don't break
 a run. Equality of lines is equality of their 64-bit hashes and word counts.
 
 Defined results: rows with null id or null text pass unchanged and lend no lines; a document
 whose every worded line is deleted gets the empty text; rows with equal id and text are one
-document and fare alike; an empty table gives an empty table; extra columns are kept.
+document and fare alike; an empty table gives an empty table; extra columns are kept, and an added
+column whose name is taken gets one more underscore; a very long text is one row of hashed lines.
 """
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 
 import numpy as np
@@ -32,11 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantloom.llm.batches import map_rows
-from vantloom.runtime import checkpoint, table
+from vantloom.llm.batches import fresh, map_rows
+from vantloom.runtime import checkpoint, shuffle_width, table
 
 BLOCK_WORDS = 5
-RARE = 16
+#: Holders that a window's documents meet are this many times more each round.
+WIDEN = 4
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,10 +168,20 @@ def _digest(items: list[tuple]) -> bytes:
     return xxhash.xxh128_digest(numbers.tobytes())
 
 
-def _window_hashes(items: list[tuple], gone: set[int], block_words: int) -> list[int]:
-    """Of the windows that have a line outside ``gone``."""
-    left = {_digest(items[i:k]) for i, k in _windows(items, block_words) if any(x[1] not in gone for x in items[i:k])}
-    return [int.from_bytes(x[:8], "little", signed=True) for x in left]
+def _window_hashes(items: list[tuple], gone: set[int], block_words: int, repeats: bool) -> list[int]:
+    """Of the windows that have a line outside ``gone``; with ``repeats`` also one for each further occurrence.
+
+    A document with a window twice thereby meets the first holder that has it twice, too.
+    """
+    times: dict[bytes, int] = {}
+    for i, k in _windows(items, block_words):
+        if any(x[1] not in gone for x in items[i:k]):
+            found = _digest(items[i:k])
+            times[found] = times.get(found, 0) + 1
+    out = [x[:8] for x in times]
+    if repeats:
+        out += [xxhash.xxh64_digest(x + n.to_bytes(8, "little")) for x, most in times.items() for n in range(1, most)]
+    return [int.from_bytes(x, "little", signed=True) for x in out]
 
 
 def _every_partner(listed: DataFrame, kind: str, block_words: int) -> DataFrame:
@@ -191,64 +199,62 @@ def _every_partner(listed: DataFrame, kind: str, block_words: int) -> DataFrame:
 
         return fn
 
-    def left():
-        def fn(ids, hashes, items, gone):
-            return ids, hashes, [_window_hashes(_rows(x), set(g or ()), block_words) for x, g in zip(items, gone)]
+    def windows(df: DataFrame, repeats: bool = False) -> DataFrame:
+        def left():
+            def fn(ids, hashes, items, gone):
+                return ids, hashes, [_window_hashes(_rows(x), set(g or ()), block_words, repeats) for x, g in zip(items, gone)]
 
-        return fn
+            return fn
 
-    def windows(df: DataFrame) -> DataFrame:
         return map_rows(df, left, f"{key}, w array<bigint>").select("id", "th", F.explode(F.array_distinct("w")).alias("w"))
 
     # A copy's alignment with its head is whole, so no other one can add to it.
     own = placed.filter("copy").select("id", "th", "items", F.col("items").alias("same"))
     found = [map_rows(own, align, f"{key}, gone array<int>")]
-    held = checkpoint(windows(heads.withColumn("gone", F.array().cast("array<int>"))))
-    many = held.groupBy("w").count().filter("count > 1").select("w")
-    order = Window.partitionBy("w").orderBy("id", "th")
-    ranked = checkpoint(held.join(many, "w").withColumn("rank", F.row_number().over(order)))
     partner = heads.select(F.col("id").alias("other_id"), F.col("th").alias("other_th"), F.col("items").alias("other_items"))
-    at = ranked.select("w", F.col("rank").alias("at"), F.col("id").alias("other_id"), F.col("th").alias("other_th"))
-    low, high, asked = 1, 1, ranked.filter("rank > 1")
-    while not asked.isEmpty():
-        turns = asked.select("id", "th", "w", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("rank") - 1))).alias("at"))
-        pairs = turns.join(at, ["w", "at"]).select("id", "th", "other_id", "other_th").distinct()
-        both = pairs.join(partner, ["other_id", "other_th"]).join(heads, ["id", "th"]).select("id", "th", "items", "other_items")
-        found.append(checkpoint(map_rows(both, align, f"{key}, gone array<int>").filter(F.size("gone") > 0)))
-        low, high = high + 1, high * 4 + 1
-        so_far = found[1]
-        for part in found[2:]:
-            so_far = so_far.unionByName(part)
-        so_far = so_far.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-        more = asked.filter(F.col("rank") > low).select("id", "th").distinct()
-        open_ = windows(heads.join(more, ["id", "th"]).join(so_far, ["id", "th"], "left").select("id", "th", "items", "gone"))
-        asked = checkpoint(ranked.filter(F.col("rank") > low).join(open_, ["id", "th", "w"]))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _linked_partners(shared: DataFrame, listed: DataFrame, kind: str, block_words: int, rare: int) -> DataFrame:
-    """(id, th, gone array<int>) from the alignments with each line's first holder, and rare lines' one before."""
-    to_first = shared.filter(_key() != F.col("first")).select("id", "th", F.col("first.id").alias("other_id"), F.col("first.th").alias("other_th"))
-    order = Window.partitionBy("h", "words").orderBy("id", "th")
-    few = shared.filter(F.col("n") <= rare).select("h", "words", "id", "th").distinct()
-    to_last = few.withColumn("other", F.lag(_key()).over(order)).filter("other is not null").select("id", "th", F.col("other.id").alias("other_id"), F.col("other.th").alias("other_th"))
-    links = to_first.unionByName(to_last).distinct()
-    partner = listed.select(F.col("id").alias("other_id"), F.col("th").alias("other_th"), F.col("items").alias("other_items"))
-    both = links.join(partner, ["other_id", "other_th"]).join(listed, ["id", "th"]).select("id", "th", "items", "other_items")
 
-    def align():
-        def fn(ids, hashes, later, earlier):
-            return ids, hashes, [common_blocks(_rows(a), _rows(b), block_words) for a, b in zip(later, earlier)]
-
-        return fn
-
-    return map_rows(both, align, f"id {kind}, th bigint, gone array<int>")
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(partner, ["other_id", "other_th"]).join(heads, ["id", "th"]).select("id", "th", "items", "other_items")
+        return checkpoint(map_rows(both, align, f"{key}, gone array<int>").filter(F.size("gone") > 0))
+
+    def still_open(docs: DataFrame) -> DataFrame:
+        so_far = functools.reduce(DataFrame.unionByName, found[1:]).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        return windows(heads.join(docs, ["id", "th"]).join(so_far, ["id", "th"], "left").select("id", "th", "items", "gone"))
+
+    held = checkpoint(windows(heads.withColumn("gone", F.array().cast("array<int>")), repeats=True))
+    # Written first, as elsewhere: the first holder of a window comes from partial sums, not from ordering its holders.
+    leading = checkpoint(held.groupBy("w").agg(F.min(_key()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    asked = checkpoint(held.join(leading, "w").filter(_key() != F.col("first")))
+    found.append(aligned(asked.select("id", "th", F.col("first.id").alias("other_id"), F.col("first.th").alias("other_th")).distinct()))
+    asked = checkpoint(still_open(asked.filter("n > 2").select("id", "th").distinct()).join(leading.filter("n > 2"), "w").filter(_key() != F.col("first")).select("id", "th", "w"))
+    if not asked.isEmpty():
+        ranked = _ranked(held.join(asked.select("w").distinct(), "w", "left_semi"))
+        at = ranked.select("w", F.col("rank").alias("at"), F.col("id").alias("other_id"), F.col("th").alias("other_th"))
+        low, high = 2, WIDEN + 1
+        asked = checkpoint(asked.join(ranked, ["id", "th", "w"]).filter(F.col("rank") > low))
+        while not asked.isEmpty():
+            turns = asked.select("id", "th", "w", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("rank") - 1))).alias("at"))
+            found.append(aligned(turns.join(at, ["w", "at"]).select("id", "th", "other_id", "other_th").distinct()))
+            low, high = high + 1, high * WIDEN + 1
+            more = asked.filter(F.col("rank") > low)
+            asked = checkpoint(more.join(still_open(more.select("id", "th").distinct()), ["id", "th", "w"]))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _ranked(held: DataFrame) -> DataFrame:
+    """``held`` with each holder's rank in its window, from 1; a window of any size is ranked by many tasks.
+
+    Rows are dealt out by ranges of (w, id, th); a rank is a row's place in its range after what earlier ranges hold.
+    """
+    spark = held.sparkSession
+    dealt = checkpoint(held.select("w", "id", "th").repartitionByRange(shuffle_width(spark), "w", "id", "th").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("w").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpoint(dealt.groupBy("w", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).select("w", "part", "before"))
+    place = F.row_number().over(Window.partitionBy("w", "part").orderBy("id", "th"))
+    return checkpoint(dealt.withColumn("place", place).join(starts, ["w", "part"]).select("w", "id", "th", (F.col("before") + F.col("place")).cast("int").alias("rank")))
 
 
-def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = RARE) -> DataFrame:
+def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, th, gone array<boolean>): which lines of which documents go; line numbers beyond the array stay."""
     kind = dict(docs.dtypes)[id_col]
     lines = checkpoint(_lines(docs, id_col, text_col))
@@ -258,8 +264,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = checkpoint(lines.join(common, ["h", "words"]).dropDuplicates(["id", "th", "ordinal"]))
     # Written before the joins for the same reason: one document may be the first of very many.
     listed = checkpoint(shared.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line", "h", "words"))).alias("items")))
-    parts = _every_partner(listed, kind, block_words) if rare is None else _linked_partners(shared, listed, kind, block_words, rare)
-    found = parts.filter(F.size("gone") > 0)
+    found = _every_partner(listed, kind, block_words).filter(F.size("gone") > 0)
     joined = found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     def mask():
@@ -274,19 +279,20 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return map_rows(joined, mask, f"id {kind}, th bigint, gone array<boolean>")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = RARE) -> DataFrame:
-    """``docs`` with the deletions made, and columns _lines and _deleted (counts of lines) added."""
-    gone = removals(docs, id_col=id_col, text_col=text_col, block_words=block_words, rare=rare)
-    gone = gone.select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th"), F.col("gone").alias("_gone"))
-    x = docs[text_col]
-    joined = docs.join(gone, (docs[id_col] == F.col("_gone_id")) & (F.xxhash64(x) == F.col("_gone_th")), "left")
-    kept = F.array_join(F.filter(F.split(x, "\n"), lambda s, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "\n")
-    kept = F.when(F.col("_gone").isNull(), x).when(kept.rlike(r"\S"), kept).otherwise(F.lit(""))
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with the deletions made, and columns _lines and _deleted (counts of lines) added at the end."""
+    lines, deleted, gone_id, gone_th, gone = fresh(docs.columns, "_lines", "_deleted", "_gone_id", "_gone_th", "_gone")
+    marks = removals(docs, id_col=id_col, text_col=text_col, block_words=block_words).toDF(gone_id, gone_th, gone)
+    x, mask = docs[text_col], F.col(gone)
+    joined = docs.join(marks, (docs[id_col] == F.col(gone_id)) & (F.xxhash64(x) == F.col(gone_th)), "left")
+    kept = F.array_join(F.filter(F.split(x, "\n"), lambda s, i: ~F.coalesce(F.get(mask, i), F.lit(False))), "\n")
+    kept = F.when(mask.isNull(), x).when(kept.rlike(r"\S"), kept).otherwise(F.lit(""))
     columns = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    deleted = F.coalesce(F.size(F.filter("_gone", lambda g: g)), F.lit(0)).cast("bigint")
-    return joined.select(*columns, F.coalesce(F.size(F.split(x, "\n")), F.lit(0)).cast("bigint").alias("_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(deleted).cast("bigint").alias("_deleted"))
+    total = F.coalesce(F.size(F.split(x, "\n")), F.lit(0)).cast("bigint")
+    removed = F.when(mask.isNull(), 0).otherwise(F.size(F.filter(mask, lambda g: g))).cast("bigint")
+    return joined.select(*columns, total.alias(lines), removed.alias(deleted))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, rare=None).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
+    return dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
