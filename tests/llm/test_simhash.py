@@ -57,6 +57,49 @@ def test_gray_index_finds_all_pairs():
         assert set(zip(a.tolist(), b.tolist())) == set(zip(*(w.tolist() for w in want)))
 
 
+def test_own_pairs_are_all_pairs_under_a_key():
+    rng = np.random.default_rng(5)
+    for n, keys in ((1, 1), (40, 9), (700, 3), (3000, 500)):
+        codes = _clustered(n, n)
+        key = np.sort(rng.integers(0, keys, len(codes)).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort((simhash.gray_rank(codes), key))
+        codes, key = codes[order], key[order]
+        for front in (10, 10_000, 1 << 20):
+            got = {(i, j) for a, b in simhash.GrayIndex(codes, key).own_pairs(2, front) for i, j in zip(a.tolist(), b.tolist())}
+            near = (np.bitwise_count(codes[:, None] ^ codes[None]) <= 2) & (key[:, None] == key[None])
+            assert got == {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(near))) if i < j}
+
+
+def test_turns_bring_a_block_to_the_top(spark):
+    values = np.random.default_rng(6).integers(0, 2**64, 50, dtype=np.uint64)
+    df = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fp bigint").selectExpr("1L AS turn", "fp AS code", "fp")
+    dealt, free = simhash._dealt(df, {1: 64})
+    assert sorted(free) == [4, 5, 6] and dealt.count() == 150
+    for r in dealt.collect():
+        by = simhash._cuts(64)[r.turn - 4]
+        x = r.fp % 2**64
+        code = (x << by | x >> (64 - by)) % 2**64 if by else x
+        assert r.code % 2**64 == code
+        rank = int(simhash.gray_rank(np.array([code], np.uint64))[0])
+        assert r["rank"] % 2**64 == rank and r.key == r.turn << 48 | rank >> free[r.turn]
+    deeper, left = simhash._dealt(dealt.select("turn", "code", "fp"), free)
+    assert len(left) == 9 and {bin(r.code % 2**64).count("1") - bin(r.fp % 2**64).count("1") for r in deeper.collect()} == {0}
+
+
+def test_the_query_looks_every_fingerprint_up_in_the_index(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    searched = spark.sparkContext.accumulator(0)
+    found = simhash.simhash_groups(docs, searched=searched).collect()
+    prints = {r.fp for r in found}
+    assert searched.value == 3 * len(prints)
+    codes = sorted(prints)
+    label = dict(zip(codes, _components(codes).tolist()))
+    head: dict = {}
+    for r in found:
+        head[label[r.fp]] = min(head.get(label[r.fp], r.doc_id), r.doc_id)
+    assert all(r.component_id == head[label[r.fp]] for r in found)
+
+
 def test_gray_neighbours_differ_in_one_bit():
     codes = np.arange(64, dtype=np.uint64)
     ordered = codes[np.argsort(simhash.gray_rank(codes))]

@@ -1,28 +1,32 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Fingerprints come from one narrow pass; equal ones are folded before any search, so a group of
-exact copies is one fingerprint however many rows it has. Two fingerprints within two bits
-agree on at least one of three blocks of their bits, so fingerprints meet under each of three
-block masks. Under one key they are sorted by Gray rank and indexed: runs of consecutive codes
-share masked bit patterns, which are factored into upper nodes; a search adds up differences
-from the top and prunes whole runs beyond the limit. A key with more than ``GROUP_BOUND``
-fingerprints is dealt out again by three blocks of its remaining bits, twice at most, after which
-19 bits are left: a task never holds more than 2**19 codes. Each group emits a spanning forest of
-its links, never its pairs, and components of the forest are those of all links.
+exact copies is one fingerprint however many rows it has. Two fingerprints within two bits agree
+on one of three blocks of their bits. So there are three Gray orders of all fingerprints, each
+over codes turned to begin with another block; codes of one block pattern stand together there.
+Each order is dealt out by ranges of Gray rank. Every range is indexed: runs of consecutive codes
+share masked bit patterns, which are factored into upper nodes; a search goes down from the top,
+drops whole nodes that differ in the block, adds up the other differences and prunes at the limit.
+Every fingerprint is found through that index, under keys of any size. A block pattern with more
+than ``GROUP_BOUND`` fingerprints is dealt out again by three blocks of the remaining bits, twice
+at most, after which 19 bits are left: no key has more than 2**19 codes. Each range emits a
+spanning forest of its links, never its pairs, and components of the forest are those of all links.
 
 Defined results: null text and texts without words have fingerprint zero, linked like any other;
 null doc_id counts for no component_id; repeated rows are all returned; an empty table gives an
-empty table; other columns are not read.
+empty table; a very long text is hashed in slices; other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
@@ -34,8 +38,10 @@ SEED = 42
 MAX_BITS = 2
 GROUP_BOUND = 8_192
 FANOUT = 16
-#: Groups up to this size are compared by shifting the sorted codes against themselves.
-SMALL = 24
+#: Codes that one index holds at least, if there are as many; a key is never cut.
+RUN = 1 << 18
+#: Pairs that a search holds at a time, about.
+FRONT = 1 << 20
 _SLICE = 1 << 16
 
 
@@ -76,15 +82,21 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over codes in Gray order; levels[0] are the codes, levels[-1] the top nodes.
+    """Hierarchy over (key, code) rows in order of key and Gray rank; levels[0] are the rows, levels[-1] the top nodes.
 
-    A level is (pattern, mask): the bits that all codes below a node share and the parent does
-    not already hold. A node's children are the FANOUT entries from FANOUT * its number on.
+    A level is (pattern, mask) of the codes and of the keys: the bits that all rows below a node
+    share and the parent does not already hold. A node's children are the FANOUT entries from
+    FANOUT * its number on.
     """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, keys: np.ndarray | None = None):
         self.codes = codes
-        patterns, masks = codes.astype(np.uint64), np.full(len(codes), ~np.uint64(0))
+        self.keys = np.zeros(len(codes), np.uint64) if keys is None else keys
+        self.levels = [(*code, *key) for code, key in zip(self._factor(codes), self._factor(self.keys))]
+
+    @staticmethod
+    def _factor(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        patterns, masks = words.astype(np.uint64), np.full(len(words), ~np.uint64(0))
         raw = [(patterns, masks)]
         while len(patterns) > FANOUT:
             cuts = np.arange(0, len(patterns), FANOUT)
@@ -92,20 +104,19 @@ class GrayIndex:
             masks = np.bitwise_and.reduceat(masks, cuts) & ~(low ^ high)
             patterns = low & masks
             raw.append((patterns, masks))
-        self.levels = []
-        for k, (p, m) in enumerate(raw):
-            if k + 1 < len(raw):
-                m = m & ~np.repeat(raw[k + 1][1], FANOUT)[: len(m)]
-            self.levels.append((p & m, m))
-
-    def search(self, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, code number) of every pair within ``limit`` bits."""
-        p, m = self.levels[-1]
-        who, node = (x.ravel() for x in np.indices((len(queries), len(p)), np.int64))
+        above = [np.repeat(m, FANOUT)[: len(p)] for (p, _), (_, m) in zip(raw, raw[1:])] + [np.uint64(0)]
+        return [(p & m & ~held, m & ~held) for (p, m), held in zip(raw, above)]
+
+    def search(self, codes: np.ndarray, limit: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, row number) of every row with the query's key and within ``limit`` bits of its code."""
+        keys = np.zeros(len(codes), np.uint64) if keys is None else keys
+        who, node = (x.ravel() for x in np.indices((len(codes), len(self.levels[-1][0])), np.int64))
         spent = np.zeros(len(who), np.int64)
         for k in range(len(self.levels) - 1, -1, -1):
-            p, m = self.levels[k]
-            spent = spent + np.bitwise_count((queries[who] ^ p[node]) & m[node])
+            p, m, kp, km = self.levels[k]
+            same = ((keys[who] ^ kp[node]) & km[node]) == 0
+            who, node, spent = who[same], node[same], spent[same]
+            spent = spent + np.bitwise_count((codes[who] ^ p[node]) & m[node])
             kept = spent <= limit
             who, node, spent = who[kept], node[kept], spent[kept]
             if k:
@@ -115,6 +126,22 @@ class GrayIndex:
                 who, spent, node = np.repeat(who, FANOUT)[inside], np.repeat(spent, FANOUT)[inside], child[inside]
         return who, node
 
+    def own_pairs(self, limit: int, front: int = FRONT):
+        """(row, later row) arrays of all pairs within ``limit`` bits under one key, about ``front`` at a time at most.
+
+        A row's pairs are no more than its key has rows, so rows are taken by that bound.
+        """
+        new = np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1]])
+        size = np.diff(np.r_[new, len(self.keys)])
+        most = np.cumsum(np.repeat(size, size) + FANOUT)
+        at = 0
+        while at < len(self.codes):
+            end = max(at + 1, int(np.searchsorted(most, (most[at - 1] if at else 0) + front, "right")))
+            who, node = self.search(self.codes[at:end], limit, self.keys[at:end])
+            later = node > who + at
+            yield who[later] + at, node[later]
+            at = end
+
 
 class Forest:
     """Union-find over numbered codes that takes links in arrays and keeps labels flat."""
@@ -122,13 +149,15 @@ class Forest:
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the links that joined two trees."""
         x, y = self.label[a], self.label[b]
-        differ = x != y
-        if not differ.any():
-            return
-        pairs = np.unique(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]]), axis=1)
+        differ = np.flatnonzero(x != y)
+        if not len(differ):
+            return differ
+        pairs, at = np.unique(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]]), axis=1, return_index=True)
         root: dict[int, int] = {}
+        used = []
 
         def find(v: int) -> int:
             while (up := root.get(v, v)) != v:
@@ -136,118 +165,130 @@ class Forest:
                 v = up
             return v
 
-        for u, v in pairs.T.tolist():
+        for k, (u, v) in zip(at.tolist(), pairs.T.tolist()):
             u, v = find(u), find(v)
             if u != v:
                 root[max(u, v)] = min(u, v)
+                used.append(k)
         moved = np.arange(len(self.label))
         for v in list(root):
             moved[v] = find(v)
         self.label = moved[self.label]
+        return differ[used]
+
+
+def link_run(keys: np.ndarray, codes: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (row, smaller row) of the links under equal keys; rows are in order of key and Gray rank."""
+    forest = Forest(len(codes))
+    for a, b in GrayIndex(codes, keys).own_pairs(limit):
+        forest.add(a, b)
+    child = np.flatnonzero(forest.label != np.arange(len(codes)))
+    return child, forest.label[child]
+
+
+def turned(x: Column, low: int, by: int) -> Column:
+    """``x`` with its ``low`` lowest bits rotated left by ``by``."""
+    if not by:
+        return x
+    if low == 64:
+        return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+    mask = F.lit((1 << low) - 1).cast("bigint")
+    part = x.bitwiseAND(mask)
+    return x.bitwiseAND(F.lit(-(1 << low)).cast("bigint")).bitwiseOR(F.shiftleft(part, by).bitwiseAND(mask)).bitwiseOR(F.shiftrightunsigned(part, low - by))
 
 
-def link_groups(keys: np.ndarray, codes: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (code, smaller-numbered code) of the links within runs of equal keys.
+def _cuts(bits: int) -> list[int]:
+    """Where three blocks of ``bits`` bits begin, from the highest on, and where the last ends."""
+    return [round(bits * k / 3) for k in range(4)]
 
-    ``codes`` are in Gray order within each run. Work arrays hold a few million pairs at most.
+
+def _dealt(rows: DataFrame, lows: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """Every row (turn, code, fp) under three further turns, with rank and key, and the low bits that each turn leaves free.
+
+    ``turn`` numbers the blocks chosen so far, which are the code's highest bits. The key is the
+    turn and the Gray rank without the free bits: it names the chosen blocks' pattern, and order
+    of (key, rank) is Gray order within a turn.
     """
-    n = len(codes)
-    forest = Forest(n)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, n])
-    run = np.repeat(np.arange(len(starts)), sizes)
-    small = sizes <= SMALL
-    for lag in range(1, int(sizes[small].max(initial=1))):
-        i = np.flatnonzero((run[:-lag] == run[lag:]) & small[run[:-lag]])
-        i = i[np.bitwise_count(codes[i] ^ codes[i + lag]) <= limit]
-        forest.add(i, i + lag)
-    for start, size in zip(starts[~small].tolist(), sizes[~small].tolist()):
-        own = codes[start : start + size]
-        index = GrayIndex(own)
-        step = max(1, 2_000_000 // size)
-        for at in range(0, size, step):
-            who, node = index.search(own[at : at + step], limit)
-            forest.add(start + at + who, start + node)
-    child = np.flatnonzero(forest.label != np.arange(n))
-    return codes[child], codes[forest.label[child]]
-
-
-def block_masks(free: list[int]) -> list[int]:
-    """Three masks that part the ``free`` bit positions."""
-    cuts = [round(len(free) * k / 3) for k in range(4)]
-    return [sum(1 << b for b in free[cuts[k] : cuts[k + 1]]) for k in range(3)]
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def _keyed(codes: DataFrame, level: dict[int | None, list[int]]) -> DataFrame:
-    """(mask, key, fp): every fingerprint under the child masks of the mask it came with."""
-    options = None
-    for parent, children in level.items():
-        found = F.array(*(F.lit(_signed(m)).cast("bigint") for m in children))
-        options = found if parent is None else (F if options is None else options).when(F.col("mask") == _signed(parent), found)
-    return codes.select(F.explode(options).alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-
-
-def _with_rank(df: DataFrame) -> DataFrame:
-    rank = F.col("fp")
+    after: dict[int, int] = {}
+    options = key = None
+    for turn, low in lows.items():
+        cuts = _cuts(low)
+        made = []
+        for k in range(3):
+            after[4 * turn + k] = low - (cuts[k + 1] - cuts[k])
+            made.append(F.struct(F.lit(4 * turn + k).cast("bigint").alias("turn"), turned(F.col("code"), low, cuts[k]).alias("code")))
+        options = (F if options is None else options).when(F.col("turn") == turn, F.array(*made))
+    df = rows.select(F.explode(options).alias("s"), "fp").select("s.turn", "s.code", "fp")
+    rank = F.col("code")
     for shift in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-        df = df.withColumn("rank", rank)
+        df = df.withColumn("rank", rank.bitwiseXOR(F.shiftrightunsigned(rank, shift)))
         rank = F.col("rank")
-    return df.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")))  # unsigned order
-
-
-def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    for turn, low in after.items():
+        key = (F if key is None else key).when(F.col("turn") == turn, F.shiftrightunsigned("rank", low))
+    return df.withColumn("key", F.shiftleft("turn", 48).bitwiseOR(key)), after
 
-    def links(mask, key, fp):
-        new = np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]
-        a, b = link_groups(np.cumsum(new), fp)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive rows, RUN at least if there are as many, cut where the first column changes."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
-        held = tuple(np.concatenate(x) for x in zip(held, now))
-        last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1])) if len(held[0]) else []
-        cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < RUN:
+            continue
+        whole = pa.Table.from_batches(held)
+        key = whole.column(0).to_numpy()
+        other = np.flatnonzero(key != key[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
         if cut:
-            yield links(*(x[:cut] for x in held))
-            held = tuple(x[cut:] for x in held)
-    if len(held[0]):
-        yield links(*held)
+            yield whole.slice(0, cut)
+        held, rows = whole.slice(cut).to_batches(), rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _linker(searched) -> Callable:
+    """Links of rows (key, code, fp) in order of key and Gray rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            key, code, fp = (c.to_numpy() for c in part.columns)
+            a, b = link_run(key.view(np.uint64), code.view(np.uint64))
+            if searched is not None:
+                searched.add(len(code))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
+
+    return run
 
 
-def fingerprint_links(codes: DataFrame, bound: int = GROUP_BOUND) -> DataFrame:
+def fingerprint_links(codes: DataFrame, bound: int = GROUP_BOUND, searched=None) -> DataFrame:
     """(a, b): links whose components are those of all pairs within MAX_BITS bits.
 
-    ``codes`` holds distinct fingerprints in column fp.
+    ``codes`` holds distinct fingerprints in column fp. ``searched`` is an accumulator that gets the
+    number of codes looked up in an index, one for each order that a fingerprint stands in.
     """
-    spark = codes.sparkSession
-    level: dict[int | None, list[int]] = {None: block_masks(list(range(64)))}
-    keyed, cold = _keyed(codes.select("fp"), level), []
+    rows, free = _dealt(codes.select(F.lit(1).cast("bigint").alias("turn"), F.col("fp").alias("code"), "fp"), {1: 64})
+    parts = []
     for _ in range(2):
-        full = checkpoint(keyed.groupBy("mask", "key").count().filter(F.col("count") > bound).select("mask", "key"))
+        full = checkpoint(rows.groupBy("key").count().filter(F.col("count") > bound).select("key"))
         if full.isEmpty():
             break
-        cold.append(keyed.join(full, ["mask", "key"], "left_anti"))
-        level = {m: [m | c for c in block_masks([b for b in range(64) if not m >> b & 1])] for ms in level.values() for m in ms}
-        keyed = _keyed(keyed.join(full, ["mask", "key"], "left_semi").select("mask", "fp"), level)
-    for part in cold:
-        keyed = keyed.unionByName(part)
-    ordered = _with_rank(keyed).repartition(shuffle_width(spark), "mask", "key").sortWithinPartitions("mask", "key", "rank")
-    ship(spark)
-    return ordered.select("mask", "key", "fp").mapInArrow(_link_partition, "a bigint, b bigint")
+        parts.append(rows.join(full, "key", "left_anti"))
+        rows, free = _dealt(rows.join(full, "key", "left_semi").select("turn", "code", "fp"), free)
+    placed = functools.reduce(DataFrame.unionByName, [part.select("key", "rank", "code", "fp") for part in [*parts, rows]])
+    unsigned = F.col("rank").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
+    ordered = placed.repartitionByRange(shuffle_width(codes.sparkSession), "key").sortWithinPartitions("key", unsigned)
+    ship(codes.sparkSession)
+    return ordered.select("key", "code", "fp").mapInArrow(_linker(searched), "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bound: int = GROUP_BOUND) -> DataFrame:
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bound: int = GROUP_BOUND, searched=None) -> DataFrame:
     """(id, fp bigint, component_id): component_id is the smallest id that links reach."""
     kind = dict(docs.dtypes)[id_col]
     prints = checkpoint(map_rows(docs.select(F.col(id_col), F.col(text_col)), lambda: lambda ids, texts: (ids, [fingerprint(t) for t in texts]), f"`{id_col}` {kind}, fp bigint"))
     codes = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("head")))
-    stars = components(fingerprint_links(codes, bound))
+    stars = components(fingerprint_links(codes, bound, searched))
     touched = stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
     heads = touched.join(codes, touched.node == codes.fp).groupBy("root").agg(F.min("head").alias("component_id"))
     linked = touched.join(heads, "root").select(F.col("node").alias("fp"), "component_id")
