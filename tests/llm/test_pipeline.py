@@ -3,10 +3,10 @@ import hashlib
 import numpy as np
 import test_line_dedup
 import test_mixing
-import test_simhash
+import test_near_copies
 
 import corpus_pipeline
-from vantloom.llm import bpe, mixing, quality, simhash
+from vantloom.llm import bpe, mixing, quality
 
 
 def test_every_stage_against_its_brute_force(spark, sf, tmp_path):
@@ -24,7 +24,7 @@ def test_every_stage_against_its_brute_force(spark, sf, tmp_path):
     texts = test_line_dedup._brute(rows[1])
     assert sorted(rows[2]) == sorted((i, texts[i, t]) for i, t in rows[1] if texts[i, t] or not t)
 
-    label = test_simhash._components([simhash.fingerprint(t) for _, t in rows[2]])
+    label = test_near_copies._labels([t for _, t in rows[2]])
     heads = {}
     for (i, _), k in zip(rows[2], label):
         heads[k] = min(heads.get(k, i), i)

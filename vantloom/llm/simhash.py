@@ -297,18 +297,6 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return prints.join(settled, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one whose id is the component's.
-
-    Rows of equal id are one document, of which one row stays; rows with null id can't be told
-    apart and all stay.
-    """
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col)
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
-
-
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
