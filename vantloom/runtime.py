@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,17 +18,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only where the session has none (local tests)
-    is a temporary one set. Files there survive the loss of any executor.
+    Only a local master may go without one; there it is a temporary folder, the same for the whole application.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _temporary:
+        _temporary[sc.applicationId] = tempfile.mkdtemp(prefix="vantloom-")
+    return _temporary[sc.applicationId]
+
+
+_temporary: dict[str, str] = {}
+_written = threading.local()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage; files there survive the loss of any executor."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vantloom-ckpt-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    out = df.checkpoint()
+    for held in getattr(_written, "lists", ()):
+        held.append(out._jdf.logicalPlan().rdd().getCheckpointFile().get())
+    return out
+
+
+@contextlib.contextmanager
+def passing_checkpoints(spark: SparkSession):
+    """Delete at the end what ``checkpoint`` wrote inside; nothing that reads it may be used after that."""
+    held: list[str] = []
+    _written.lists = [*getattr(_written, "lists", ()), held]
+    try:
+        yield
+    finally:
+        _written.lists = _written.lists[:-1]
+        for path in held:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -50,6 +90,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder, or a temporary one where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vantloom-io-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file to every executor, once for each application, and give the name that ``shipped_file`` takes."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _files:
+        sc.addFile(path)
+        _files.add((sc.applicationId, path))
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+_files: set[tuple[str, str]] = set()
+
+
+def shipped_file(name: str) -> str:
+    """Where a worker finds a file that ``ship_file`` sent."""
+    return SparkFiles.get(name)
