@@ -7,18 +7,22 @@ away than all but a small share of the language's own training texts, by a margi
 rejected: ``rejected`` is true, and ``language`` is ``und``.
 
 The fit reads every labelled row's language to set the sampling rates, and draws about
-``SAMPLE_PER_LANGUAGE`` rows of each by hash, ``SAMPLE_ROWS`` in all; vectors, not texts, come to the driver (at most
-``BUCKETS`` counts each). Languages are a label vocabulary: the model has
-languages x CLUSTERS x BUCKETS floats, and a fit over ``MAX_LANGUAGES`` is refused.
+``SAMPLE_PER_LANGUAGE`` rows of each by hash, ``SAMPLE_ROWS`` in all; their grams and counts, not
+their texts, come to the driver and stay sparse there but for one language's at a time. Languages
+are a label vocabulary: the ``MAX_LANGUAGES`` commonest (ties by name) are learned, so the model
+has MAX_LANGUAGES x CLUSTERS x BUCKETS floats at most.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any
-labelled row all are; rows with null language teach nothing; repeated rows give repeated rows;
-an empty table gives an empty table; other columns are not read.
+labelled row all are; rows with null language teach nothing; repeated rows teach once and give repeated rows;
+an empty table gives an empty table; a very long text is counted in parts; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,17 +123,28 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(samples: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from (language, gram counts) rows."""
-    samples = sorted(samples, key=lambda s: (s[0], s[1].tobytes()))
+def _dense(samples: list[tuple]) -> list[np.ndarray]:
+    out = []
+    for _, held, counts in samples:
+        row = np.zeros(BUCKETS, np.int64)
+        row[held] = counts
+        out.append(row)
+    return out
+
+
+def train(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """A model from (language, buckets, counts) rows."""
+    samples = sorted(samples, key=lambda s: (s[0], hashlib.sha256(s[1].tobytes() + s[2].tobytes()).digest()))
     languages = sorted({s[0] for s in samples})
     if not languages:
         return Model([], np.empty(0, int), np.empty((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), np.empty(0))
-    df = sum((s[1] > 0).astype(np.int64) for s in samples)
+    df = np.zeros(BUCKETS, np.int64)
+    for _, held, _ in samples:
+        df[held] += 1
     model = Model(languages, np.empty(0, int), np.empty(0), (np.log((1 + len(samples)) / (1 + df)) + 1).astype(np.float32), np.empty(0))
     owner, centroids, floor = [], [], []
-    for k, language in enumerate(languages):
-        v = model.vectors([s[1] for s in samples if s[0] == language])
+    for k, (_, own) in enumerate(itertools.groupby(samples, key=lambda s: s[0])):
+        v = model.vectors(_dense(list(own)))
         c = _cluster(v, CLUSTERS)
         owner += [k] * len(c)
         centroids.append(c)
@@ -138,17 +153,17 @@ def train(samples: list[tuple[str, np.ndarray]]) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on a sample of about ``per_language`` rows of each language, drawn by hash of the id."""
-    rows = labelled.filter(F.col(lang_col).isNotNull()).select(id_col, lang_col, text_col)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, languages: int = MAX_LANGUAGES) -> Model:
+    """Fit on a sample of about ``per_language`` rows of each language, drawn by hash of the id and the text."""
+    rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return train([])
     per_language = min(per_language, max(20, SAMPLE_ROWS // len(counts)))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000))
-    rate = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1_000_000, 1_000_000 * per_language // n + 1)))), F.col(lang_col))
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "id", "text"), F.lit(1_000_000))
+    rate = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1_000_000, 1_000_000 * per_language // n + 1)))), F.col("lang"))
+    # Equal rows have one draw and teach once, or very many of them could crowd the sample.
+    drawn = rows.filter(draw < rate).withColumn("th", F.xxhash64("text")).dropDuplicates(["lang", "id", "th"])
 
     def make():
         def fn(langs, texts):
@@ -158,13 +173,8 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
 
         return fn
 
-    sample = map_rows(rows.filter(draw < rate).select(lang_col, text_col), make, "lang string, buckets binary, counts binary")
-    samples = []
-    for r in sample.collect():  # bounded by the sampling rates
-        c = np.zeros(BUCKETS, np.int64)
-        c[np.frombuffer(r["buckets"], np.uint16)] = np.frombuffer(r["counts"], np.uint32)
-        samples.append((r["lang"], c))
-    return train(samples)
+    sample = map_rows(drawn.select("lang", "text"), make, "lang string, buckets binary, counts binary")
+    return train([(r["lang"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in sample.collect()])
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
