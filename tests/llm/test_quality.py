@@ -43,6 +43,74 @@ def test_codes_of_lines():
     assert (one == none).all() and len(one) == 1
 
 
+def _codes_by_hand(text):
+    """(codes, length) of each line, character by character."""
+    lines = (text or "").split("\n")
+    out = []
+    for line in lines:
+        words, word = [], ""
+        for ch in line + " ":
+            if ch.isspace():
+                words += [word] if word else []
+                word = ""
+            else:
+                word += ch
+        upper = sum(ch.isalpha() and ch.isupper() for ch in line)
+        lower = sum(ch.isalpha() and not ch.isupper() for ch in line)
+        digits = sum(not ch.isalpha() and ch.isdigit() for ch in line)
+        kinds = {k: sum(ch in k for ch in line) for k in ("!?", "|", "$%&*#@^~=+<>{}[]\\_`", ".,;:")}
+        bang, pipe, symbol, stop = kinds.values()
+        solid = sum(not ch.isspace() for ch in line)
+        chars, some, letters = max(1, solid), max(1, len(words)), max(1, upper + lower)
+        ratios = [upper / letters, digits / chars, bang / some, pipe / some, symbol / chars, stop / some,
+                  (solid - upper - lower - digits - bang - pipe - symbol - stop) / chars,
+                  sum(w[0].isalpha() and w[0].isupper() for w in words) / some, sum(not w[0].isalpha() for w in words) / some,
+                  sum(sorted(a) == sorted(b) for a, b in zip(words, words[1:])) / some, (upper + lower) / chars]
+        code = [sum(r >= e for e in quality.RATIO_EDGES) for r in ratios]
+        code += [sum(x >= e for e in quality.LENGTH_EDGES) for x in (len(words), chars / some * 4, len(lines))]
+        out.append(([*code[:-1], min(quality.BINS - 1, code[-1])], max(1, len(line))))
+    return out
+
+
+def test_query_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.fit(docs, quality.learnable(labels))
+    rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    found = {r.doc_id: r.score for r in quality.op5_quality(spark, sf).collect()}
+    seen = 0
+    for i, text in rows.items():
+        by_hand = _codes_by_hand(text)
+        codes, length = quality.line_codes(text)
+        assert codes.tolist() == [c for c, _ in by_hand] and length.tolist() == [n for _, n in by_hand]
+        if len(by_hand) > 10:
+            continue
+        seen += 1
+        weight = lambda k, line: sum(field.weights[k][f, c] for f, c in enumerate(by_hand[line][0]))  # noqa: B023, E731
+        last = len(by_hand) - 1
+        odds = [field.bias + weight(1, n) + (weight(0, n - 1) if n else field.edge[0]) + (weight(2, n + 1) if n < last else field.edge[1]) for n in range(last + 1)]
+        good, _ = _enumerated(odds, field.move)
+        share = np.clip(sum(g * n for g, (_, n) in zip(good, by_hand)) / sum(n for _, n in by_hand), 1e-6, 1 - 1e-6)
+        assert abs(found[i] - 1 / (1 + np.exp(-(field.slope * np.log(share / (1 - share)) + field.shift)))) < 1e-6
+    assert seen > 50
+
+
+def test_fit_holds_its_line_bound(spark):
+    rows = [(k, "\n".join(f"line {j} of {k}" for j in range(50))) for k in range(60)] + [(1, "same\nrow")] * 200
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    seen = []
+    whole, quality_train = quality.train, quality.train
+    try:
+        quality.train = lambda samples, prior: seen.append(samples) or whole(samples[:0], prior)
+        quality.fit(docs, labels, lines=520)
+        quality.fit(docs, labels)
+    finally:
+        quality.train = quality_train
+    assert 470 < sum(len(s[1]) for s in seen[0]) <= 520
+    assert sum(len(s[1]) for s in seen[1]) == 60 * 50 + 2
+
+
 def test_scores_do_not_depend_on_the_batch():
     rng = np.random.default_rng(1)
     field = quality.Field(rng.normal(0, 0.3, (3, quality.FEATURES, quality.BINS)), rng.normal(0, 1, 2), 0.1, rng.normal(0, 1, (2, 2)))

@@ -10,13 +10,14 @@ Labels mark documents, so line labels are learned in rounds: lines start with th
 label; after each fit, lines of bad documents that the field takes for good are relabelled good,
 but for the document's worst line. The fit uses a bounded sample: about ``SAMPLE_PER_CLASS``
 labelled documents of each class, drawn by hash, weighted back to all labelled rows. Their
-feature codes, one byte for each line and feature and ``FIT_LINES`` lines at most, come to the driver,
-not their texts.
+feature codes, one byte for each line and feature, come to the driver, not their texts: documents in
+order of a hash, as many as have ``FIT_LINES`` lines together.
 
 Defined results: null and empty texts are one empty line; a document labelled twice with
-different labels teaches both; without labels of both classes the score is the share of label 1
+different labels teaches both; equal rows teach once; without labels of both classes the score is the share of label 1
 (0.5 if there is no label); repeated rows give repeated rows; an empty table gives an empty
-table; other columns are not read.
+table; a very long text is a chain like any other, in memory in proportion to it; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
 from vantloom.llm.langid import fold
-from vantloom.runtime import table
+from vantloom.runtime import checkpoint, table
 
 SAMPLE_PER_CLASS = 1_500
-#: Documents of more lines teach nothing; they are scored like any other.
-FIT_LINES = 20_000
+#: Lines that the sample has at most; a document with more than DOCUMENT_LINES teaches nothing, though it is scored.
+FIT_LINES = 400_000
+DOCUMENT_LINES = 20_000
 THRESHOLD = 0.3
 ROUNDS = 3
 STEPS = 150
@@ -94,7 +96,7 @@ def line_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         owner = line[at]
         same = (sums[1:] == sums[:-1]) & (owner[1:] == owner[:-1])
         repeats += np.bincount(owner[1:][same], minlength=n)
-    chars, some = np.maximum(1, length - count[:, SPACE]), np.maximum(1, words)
+    chars, some = np.maximum(1, count.sum(axis=1) - count[:, SPACE]), np.maximum(1, words)
     letters = np.maximum(1, count[:, LOWER] + count[:, UPPER])
     ratios = np.stack(
         [
@@ -265,7 +267,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], prior: dict[int, fl
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, lines: int = FIT_LINES) -> Field:
     """Fit on about ``per_class`` labelled documents of each class; labels other than 0 and 1 are passed over."""
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label"))
     counts = {r[0]: r[1] for r in marked.groupBy("_label").count().collect()}
@@ -273,20 +275,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return train([], counts)
     draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("_label_id")), F.lit(1_000_000))
     rate = {k: min(1_000_000, 1_000_000 * per_class // n + 1) for k, n in counts.items()}
-    drawn = marked.filter(draw < F.when(F.col("_label") == 1, rate[1]).otherwise(rate[0]))
-    # The sample has about 2 * per_class rows of a few bytes, whatever the tables' sizes.
-    short = docs.select(id_col, text_col).filter(F.coalesce(F.regexp_count(text_col, F.lit("\n")), F.lit(0)) < FIT_LINES)
-    rows = short.join(F.broadcast(drawn), short[id_col] == F.col("_label_id")).select("_label", text_col)
+    drawn = marked.filter(draw < F.when(F.col("_label") == 1, rate[1]).otherwise(rate[0])).distinct()
+    # The drawn labels are about 2 * per_class rows of a few bytes, whatever the tables' sizes.
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = named.join(F.broadcast(drawn), F.col("id") == F.col("_label_id")).select(F.col("_label").alias("label"), F.xxhash64("id", "text").alias("key"), "text")
 
     def make():
-        def fn(marks, texts):
-            lines = [line_codes(t) for t in texts]
-            return marks, [c.tobytes() for c, _ in lines], [n.astype(np.int64).tobytes() for _, n in lines]
+        def fn(marks, keys, texts):
+            found = [(m, k, *line_codes(t)) for m, k, t in zip(marks, keys, texts) if (t or "").count("\n") < DOCUMENT_LINES]
+            return [f[0] for f in found], [f[1] for f in found], [len(f[2]) for f in found], [f[2].tobytes() for f in found], [f[3].astype(np.int64).tobytes() for f in found]
 
         return fn
 
-    sample = map_rows(rows, make, "label int, codes binary, lengths binary")
-    return train([(r["label"], np.frombuffer(r["codes"], np.uint8).reshape(-1, FEATURES), np.frombuffer(r["lengths"], np.int64)) for r in sample.collect()], counts)
+    sample = checkpoint(map_rows(rows, make, "label int, key bigint, n bigint, codes binary, lengths binary", step=64))
+    left, chosen = lines, []
+    for r in sample.select("key", "label", "n").distinct().orderBy("key", "label").limit(4 * per_class).collect():
+        if r.n <= left:
+            left -= r.n
+            chosen.append((r.key, r.label))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "key bigint, label int"))
+    taught = sample.join(picked, ["key", "label"]).dropDuplicates(["key", "label"])
+    return train([(r["label"], np.frombuffer(r["codes"], np.uint8).reshape(-1, FEATURES), np.frombuffer(r["lengths"], np.int64)) for r in taught.collect()], counts)
 
 
 def score_documents(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
