@@ -6,7 +6,9 @@ with track, timestamp, byte offset and size, keyframe flag, lacing kind, and clu
 
 Defined results: null text counts as empty, whose payload is 192 blanks; equal texts give equal
 files (nothing random or dated is written); malformed files give the packets before the fault
-and ``complete`` false; repeated rows give repeated rows; an empty table gives an empty table.
+and ``complete`` false; repeated rows give repeated rows; an empty table gives an empty table; a very
+long text is one file, and its packets are listed in parts of ``PACKETS_IN_PART``; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from vantloom.llm.batches import map_rows
 from vantloom.runtime import table
 
 # Element identifiers of the Matroska specification.
-EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
-SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
+EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
+DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
+SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
@@ -32,6 +35,10 @@ LACING = ("none", "xiph", "fixed", "ebml")
 #: Containers that the reader enters; clusters of unknown size end at the next of TOP_LEVEL.
 TOP_LEVEL = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 
+#: Named as the muxing and the writing application.
+APP = b"vantloom"
+#: Packets that one array holds on their way to rows.
+PACKETS_IN_PART = 4_096
 FRAME = 192
 RATE = 8000
 FRAMES_IN_BLOCK = 8
@@ -132,8 +139,8 @@ def simple_block(track: int, relative: int, frames: list[bytes], lacing: str) ->
 def write_pcm(payload: bytes, *, frame: int = FRAME, rate: int = RATE, lacing: str = "fixed") -> bytes:
     """A Matroska file whose samples are the bytes of ``payload``."""
     ms = frame * 1000 // rate
-    head = element(EBML, element(DOC_TYPE, b"matroska"))
-    info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000))
+    head = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 4) + uint(DOC_TYPE_READ_VERSION, 2))
+    info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, APP) + element(WRITING_APP, APP))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, _float(rate)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
     track = uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + uint(DEFAULT_DURATION, ms * 1_000_000) + audio
     body = bytearray(info + element(TRACKS, element(TRACK_ENTRY, track)))
@@ -318,13 +325,21 @@ PACKETS = "packets array<struct<track:bigint,timestamp_ns:bigint,offset:bigint,s
 def packet_table(files: DataFrame, *, id_col: str, media_col: str) -> DataFrame:
     """One row per packet of every file: (id, packet_no, track, timestamp_ns, offset, size, ...)."""
     kind = dict(files.dtypes)[id_col]
-    found = map_rows(
-        files.select(F.col(id_col), F.col(media_col)),
-        lambda: lambda ids, blobs: (ids, [[dict(zip(("track", "timestamp_ns", "offset", "size", "keyframe", "lacing", "cluster"), p)) for p in parse(bytes(b or b"")).packets] for b in blobs]),
-        f"`{id_col}` {kind}, {PACKETS}",
-        step=16,
-    )
-    return found.select(id_col, F.posexplode("packets").alias("packet_no", "p")).select(id_col, "packet_no", "p.*")
+    names = ("track", "timestamp_ns", "offset", "size", "keyframe", "lacing", "cluster")
+
+    def fn(ids, blobs):
+        out: tuple[list, list, list] = ([], [], [])
+        for i, blob in zip(ids, blobs):
+            packets = parse(bytes(blob or b"")).packets
+            for at in range(0, len(packets), PACKETS_IN_PART):
+                out[0].append(i)
+                out[1].append(at)
+                out[2].append([dict(zip(names, p)) for p in packets[at : at + PACKETS_IN_PART]])
+        return out
+
+    found = map_rows(files.select(F.col(id_col).alias("id"), F.col(media_col)), lambda: fn, f"id {kind}, part bigint, {PACKETS}", step=16)
+    numbered = found.select("id", "part", F.posexplode("packets").alias("at", "p"))
+    return numbered.select(F.col("id").alias(id_col), (F.col("part") + F.col("at")).alias("packet_no"), "p.*")
 
 
 def padded(raw: bytes, frame: int = FRAME) -> bytes:
@@ -354,7 +369,7 @@ def _digest(text: str | None):
     stored = write_pcm(padded(raw))
     media = parse(stored)
     payload = read_payload(stored, media)
-    indexed = all(c[2] in set(media.clusters) for c in media.cues)
+    indexed = {c[2] for c in media.cues} <= set(media.clusters)
     return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(media, payload), len(media.packets), indexed
 
 
