@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
-from vantloom.runtime import table
+from vantloom.runtime import ship_file, shipped_file, table
 
 PIECE = 16_384
 LONG_RUN = 1_024
@@ -88,8 +88,10 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "
     """(id, ids array<int>) of every whole text."""
     kind = dict(docs.dtypes)[id_col]
 
+    name = ship_file(docs.sparkSession, rank_file)
+
     def make():
-        enc = load_encoding(rank_file, pattern)
+        enc = load_encoding(shipped_file(name), pattern)
         return lambda ids, texts: (ids, [encode(enc, t or "") for t in texts])
 
     return map_rows(docs.select(F.col(id_col), F.col(text_col)), make, f"`{id_col}` {kind}, ids array<int>", step=64)
@@ -99,8 +101,10 @@ def bpe_decode(tokens: DataFrame, rank_file: str, pattern: str, *, id_col: str =
     """(id, bytes binary): the raw bytes of the ids; null ids are empty."""
     kind = dict(tokens.dtypes)[id_col]
 
+    name = ship_file(tokens.sparkSession, rank_file)
+
     def make():
-        enc = load_encoding(rank_file, pattern)
+        enc = load_encoding(shipped_file(name), pattern)
         return lambda ids, seqs: (ids, [decode(enc, s or []) for s in seqs])
 
     return map_rows(tokens.select(F.col(id_col), F.col(ids_col)), make, f"`{id_col}` {kind}, bytes binary", step=64)
@@ -110,8 +114,10 @@ def bpe_digests(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str =
     """Encode and decode in one pass; the ids never leave the worker, only their digests do."""
     kind = dict(docs.dtypes)[id_col]
 
+    name = ship_file(docs.sparkSession, rank_file)
+
     def make():
-        enc = load_encoding(rank_file, pattern)
+        enc = load_encoding(shipped_file(name), pattern)
         words = [str(i) for i in range(enc.n_vocab)]
 
         def one(text):

@@ -8,18 +8,20 @@ lookahead and special strings out of reach of the cut. Where an overlap holds no
 boundary it is doubled; where it would reach behind the last splice, the chunk is extended.
 
 Defined results: null text counts as empty (0 tokens, 0 bytes); repeated rows give repeated
-rows; an empty table gives an empty table; other columns of the input are not read.
+rows; an empty table gives an empty table; a very long text is encoded chunk by chunk; other columns
+of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
-from vantloom.runtime import table
+from vantloom.runtime import ship_file, shipped_file, table
 
 #: Longest special string or lookahead that may cross a cut, with room to spare.
 MARGIN = 64
@@ -28,7 +30,9 @@ OVERLAP = 1_024
 TOKEN_LIMIT = 512
 
 
+@functools.cache
 def load_tokenizer(path: str):
+    """The tokenizer stays in the worker process, which serves many tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -96,8 +100,10 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     """(id, n_bytes, n_tokens, over_limit) of every whole text; one narrow pass, no shuffle."""
     kind = dict(docs.dtypes)[id_col]
 
+    name = ship_file(docs.sparkSession, vocabulary)
+
     def make():
-        tok = load_tokenizer(vocabulary)
+        tok = load_tokenizer(shipped_file(name))
 
         def fn(ids, texts):
             texts = [t or "" for t in texts]
