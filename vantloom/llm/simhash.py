@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
-from vantloom.llm.components import components
+from vantloom.llm.components import components, heads_of
 from vantloom.runtime import checkpoint, ship, shuffle_width, table
 
 WIDTH = 3
@@ -289,9 +289,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     prints = checkpoint(map_rows(docs.select(F.col(id_col), F.col(text_col)), lambda: lambda ids, texts: (ids, [fingerprint(t) for t in texts]), f"`{id_col}` {kind}, fp bigint"))
     codes = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("head")))
     stars = components(fingerprint_links(codes, bound, searched))
-    touched = stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
-    heads = touched.join(codes, touched.node == codes.fp).groupBy("root").agg(F.min("head").alias("component_id"))
-    linked = touched.join(heads, "root").select(F.col("node").alias("fp"), "component_id")
+    linked = heads_of(stars, codes.select(F.col("fp").alias("node"), F.col("head").alias("component_id")), "component_id").withColumnRenamed("node", "fp")
     # Written first: a join of two fresh exchanges is one whose crowded fingerprints can be split.
     settled = checkpoint(codes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "head").alias("component_id")))
     return prints.join(settled, "fp").select(id_col, "fp", "component_id")
