@@ -1,30 +1,41 @@
 """Approximate indexes as layouts: a column to prune by, then exact scores over what is left.
 
-Inverted lists (IVF) put every row in the cell of its nearest centroid; a search reads the
-``probes`` nearest cells only, which is partition pruning once the table is written by cell.
-Graph and tree indexes of single-machine engines map to the same idea with a recall knob.
-
-The ``*_join`` functions with ``certain`` or ``sure`` in their names answer many queries at once and
-read on until the k-th score is settled: by the triangle inequality over cells, by each row's own
-quantisation error, or (signatures only bound a score in probability) until each true neighbour
-is missed with a chance of ``miss`` at most. For cosine and Euclidean scores.
+Inverted lists (IVF) put every row in the cell of its nearest centroid. ``save`` writes the rows
+partitioned by cell, with each cell's size and radius, and ``load`` reads them back: a search
+reads its cells' folders only. Hashes and product codes are columns of the rows. Many queries
+meet rows in blocks of bounded size under an equi-join key, where one matrix pass per block leaves
+each query's k best; nothing is joined row by row.
+
+The ``*_join`` functions with ``certain`` or ``sure`` in their names read on until the k-th score is
+settled: by the triangle inequality over cells, by each row's own quantisation error, or
+(signatures only bound a score in probability) until each true neighbour is missed with a chance
+of ``miss`` at most. For cosine and Euclidean scores.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import copy
+import heapq
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 from math import comb, log10, pi, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantloom.functions import kernels
 from vantloom.operators import vectors
-from vantloom.operators.search import exact_knn, knn_join, score_matrix
+from vantloom.operators.search import BLOCK_ROWS, GROUP_QUERIES, _dense, exact_knn, knn_join, score_matrix
 from vantloom.runtime import ship
 
+#: Query and row pairs that a kernel scores at a time.
+PASS_PAIRS = 1 << 22
+
 
 @dataclass(frozen=True)
 class IndexConfig:
@@ -58,59 +69,208 @@ def choose_index(n: int, dim: int, target: str = "balanced") -> str:
     return "ivfpq" if n >= 1_000_000 and dim > 100 else "ivf"
 
 
+# -- Queries meet blocks of rows -----------------------------------------------------------
+
+
+def exact_kernel(metric: str) -> Callable:
+    """Scores of every row of a block; (query number, row number, score) of those at ``need`` or above."""
+
+    def run(own: pa.Table, m: np.ndarray, q: np.ndarray, need: np.ndarray, k: int):
+        s = score_matrix(q, m, metric)
+        who, row = np.nonzero(s >= np.maximum(need, _kth(s, k))[:, None])
+        return who, row, s[who, row]
+
+    return run
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest of each row of ``scores``; minus infinity where there are fewer."""
+    n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k] if k <= n else np.full(len(scores), -np.inf)
+
+
+def _score_pairs(q: np.ndarray, m: np.ndarray, who: np.ndarray, row: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of chosen pairs, a bounded number at a time."""
+    out = np.empty(len(who))
+    step = max(1, PASS_PAIRS // max(1, m.shape[1]))
+    for at in range(0, len(who), step):
+        x, y = q[who[at : at + step]], m[row[at : at + step]]
+        if metric == "cosine":
+            size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+            out[at : at + step] = np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size != 0)
+        else:
+            out[at : at + step] = -np.sqrt(((x - y) ** 2).sum(axis=1))
+    return out
+
+
+def block_search(rows: DataFrame, asked: DataFrame, k: int, kernel: Callable, *, sizes: dict[int, int] | None = None, block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES, copies: bool = False) -> DataFrame:
+    """(query_id, rank, id, score): each query's k best of the rows that ``kernel`` finds in the blocks it meets.
+
+    ``rows`` (id, v, ...) and ``asked`` (query_id, q, need, ...) meet under ``cell`` if both have it.
+    Cells are parted into blocks by their ``sizes``, and each cell's queries into groups, so no task
+    holds more than one of both. With ``copies`` a row may stand in several cells and counts once.
+    """
+    spark = rows.sparkSession
+    rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull())
+    asked = asked.filter(F.col("query_id").isNotNull() & F.col("q").isNotNull())
+    if "cell" not in rows.columns:
+        rows, asked, sizes = rows.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)), None
+    wanted = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row a cell
+    if sizes is None:
+        sizes = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
+    cells = sorted(c for c in wanted if sizes.get(c))
+    rows = rows.filter(F.col("cell").isin(cells))
+    kind, other = dict(rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
+    schema = f"query_id {other}, id {kind}, score double"
+    if not cells:
+        return spark.createDataFrame([], schema.replace(", id", ", rank int, id"))
+
+    def parts(counts: dict[int, int], bound: int) -> Column:
+        many = {c: -(-counts[c] // bound) for c in cells if counts[c] > bound}
+        found = F.element_at(F.create_map(*(F.lit(x) for c, n in many.items() for x in (c, n))), F.col("cell")) if many else F.lit(None)
+        return F.coalesce(found, F.lit(1)).cast("bigint")
+
+    blocks, groups = parts(sizes, block_rows), parts(wanted, group_queries)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    left = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("part", every(groups))
+    right = asked.filter(F.col("cell").isin(cells)).withColumn("part", F.pmod(F.xxhash64("query_id"), groups)).withColumn("block", every(blocks))
+
+    def search(own: pa.Table, others: pa.Table) -> pa.Table:
+        found: list = []
+        if own.num_rows and others.num_rows:
+            m, q = _dense(own.column("v")), _dense(others.column("q"))
+            need = others.column("need").to_numpy() if "need" in others.column_names else np.full(len(q), -np.inf)
+            ids = own.column("id").combine_chunks() if isinstance(own.column("id"), pa.ChunkedArray) else own.column("id")
+            place = np.empty(len(ids), np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            step = max(1, PASS_PAIRS // len(m))
+            for at in range(0, len(q), step):
+                who, row, score = kernel(own, m, q[at : at + step], need[at : at + step], k)
+                order = np.lexsort((place[row], -score, who))
+                who, row, score = who[order], row[order], score[order]
+                best = np.arange(len(who)) - np.searchsorted(who, who, "left") < k
+                found.append((who[best] + at, row[best], score[best]))
+        who, row, score = (np.concatenate([f[c] for f in found]) if found else np.empty(0, t) for c, t in enumerate((np.int64, np.int64, float)))
+        return pa.table({"query_id": others.column("query_id").take(pa.array(who)), "id": own.column("id").take(pa.array(row)), "score": pa.array(score)})
+
+    ship(spark)
+    keys = ["cell", "block", "part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: search(a, b), schema)
+    return top_ranked(found.dropDuplicates(["query_id", "id"]) if copies else found, k)
+
+
+def top_ranked(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def asked_of(queries: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    return queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
+
+
+# -- Inverted lists -------------------------------------------------------------------------
+
+
 class Ivf:
-    """Centroids fitted on a bounded sample; every row is assigned."""
+    """Centroids fitted on a bounded sample; every row is assigned a cell.
 
-    def __init__(self, df: DataFrame, config: IndexConfig, *, id_col: str = "id", vector_col: str = "vector"):
-        self.config, self.id_col, self.vector_col = config, id_col, vector_col
-        self.centroids = vectors.fit_kmeans(df, config.lists, "euclidean", vector_col=vector_col, seed=config.seed)
-        self.rows = vectors.assign(df, self.centroids, "euclidean", vector_col=vector_col, out="cell")
+    ``cells_of`` takes vectors [n, dim] and gives each one's cells, the nearest first.
+    """
 
-    def write(self, path: str) -> None:
-        self.rows.write.mode("overwrite").partitionBy("cell").parquet(path)
+    def __init__(self, df: DataFrame, config: IndexConfig, *, id_col: str = "id", vector_col: str = "vector", centroids: np.ndarray | None = None, stats: dict | None = None):
+        self.config, self.id_col, self.vector_col = config, id_col, vector_col
+        if centroids is None:
+            self.centroids = vectors.fit_kmeans(df, config.lists, "euclidean", vector_col=vector_col, seed=config.seed)
+            self.rows = vectors.assign(df, self.centroids, "euclidean", vector_col=vector_col, out="cell")
+        else:
+            self.centroids, self.rows = centroids, df
+        self._stats = stats
+
+    @property
+    def stats(self) -> dict[int, tuple[int, float]]:
+        """Rows and radius of each cell that has rows; one row a cell comes to the driver."""
+        if self._stats is None:
+            ship(self.rows.sparkSession)
+            metric, centroids = self.config.metric, self.rows.sparkSession.sparkContext.broadcast(self.centroids)
+
+            @F.pandas_udf("double")
+            def away(v: pd.Series, cell: pd.Series) -> pd.Series:
+                x, known = _placed(v, metric)
+                return pd.Series(np.where(known, np.linalg.norm(x - centroids.value[cell.to_numpy()], axis=1), np.inf))
+
+            found = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(away(self.vector_col, "cell")).alias("r"))
+            self._stats = {r.cell: (r.n, r.r) for r in found.collect()}
+        return self._stats
+
+    def save(self, path: str) -> None:
+        """Rows partitioned by cell, and one row a cell with centroid, size and radius."""
+        spark = self.rows.sparkSession
+        self.rows.repartition("cell", F.pmod(F.xxhash64(self.id_col), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        cells = [(c, x.tolist(), *self.stats.get(c, (0, None)), json.dumps(asdict(self.config))) for c, x in enumerate(self.centroids)]
+        spark.createDataFrame(cells, "cell int, centroid array<double>, n bigint, radius double, config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, *, id_col: str = "id", vector_col: str = "vector") -> Ivf:
+        cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
+        stats = {r.cell: (r.n, r.radius) for r in cells if r.n}
+        return cls(spark.read.parquet(f"{path}/rows"), IndexConfig(**json.loads(cells[0].config)), id_col=id_col, vector_col=vector_col, centroids=np.array([r.centroid for r in cells]), stats=stats)
+
+    def probing(self, probes: int) -> Ivf:
+        """The same index with another number of probes."""
+        return Ivf(self.rows, replace(self.config, probes=probes), id_col=self.id_col, vector_col=self.vector_col, centroids=self.centroids, stats=self._stats)
+
+    def tuned(self, queries: DataFrame, k: int, target: float = 0.9) -> Ivf:
+        """With the fewest probes whose recall over ``queries`` (a bounded sample) is ``target`` or more."""
+        truth = self.certain_join(queries, k).cache()
+        try:
+            probes = 1
+            while probes < len(self.centroids) and recall(self.probing(probes).join(queries, k), truth).first().recall < target:
+                probes = min(len(self.centroids), probes * 2)
+        finally:
+            truth.unpersist()
+        return self.probing(probes)
+
+    def cells_of(self, q: np.ndarray) -> np.ndarray:
+        return np.argsort(-score_matrix(q, self.centroids, "euclidean"), axis=1, kind="stable")[:, : self.config.probes]
 
     def cells(self, q: list[float]) -> list[int]:
-        d = ((self.centroids - np.array(q)) ** 2).sum(axis=1)
-        return np.argsort(d, kind="stable")[: self.config.probes].tolist()
+        return self.cells_of(np.array([q], float))[0].tolist()
 
     def search(self, q: list[float], k: int) -> DataFrame:
         return exact_knn(self.rows.filter(F.col("cell").isin(self.cells(q))), q, k, self.config.metric, id_col=self.id_col, vector_col=self.vector_col)
 
-    def join(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, rank, id, score): each query meets the rows of its cells under the cell key."""
-        ship(queries.sparkSession)
-        sent, probes, metric = queries.sparkSession.sparkContext.broadcast(self.centroids), self.config.probes, self.config.metric
+    def near(self, asked: DataFrame) -> DataFrame:
+        """``asked`` once for each of a query's cells."""
+        ship(asked.sparkSession)
+        slim = Ivf(None, self.config, centroids=self.centroids) if type(self) is Ivf else self._slim()
+        sent = asked.sparkSession.sparkContext.broadcast(slim)
 
         @F.pandas_udf("array<int>")
-        def near(v: pd.Series) -> pd.Series:
-            s = score_matrix(np.stack(v.to_numpy()).astype(float), sent.value, "euclidean")
-            return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :probes].tolist())
+        def cells(v: pd.Series) -> pd.Series:
+            return pd.Series([c.tolist() for c in sent.value.cells_of(np.stack(v.to_numpy()).astype(float))])
 
-        return ranked(self.met(asked_of(queries, self.id_col, self.vector_col).withColumn("cell", F.explode(near("q")))), k, metric)
+        return asked.withColumn("cell", F.explode(cells("q")))
 
-    def met(self, asked: DataFrame) -> DataFrame:
-        """(query_id, q, id, v, ...): queries with a ``cell`` each, and the rows of those cells."""
-        rows = self.rows.withColumnsRenamed({self.id_col: "id", self.vector_col: "v"})
-        return asked.join(rows.select("id", "v", "cell"), "cell").drop("cell")
+    def own_rows(self) -> DataFrame:
+        return self.rows.withColumnsRenamed({self.id_col: "id", self.vector_col: "v"})
+
+    def sizes(self) -> dict[int, int]:
+        return {c: n for c, (n, _) in self.stats.items()}
+
+    def join(self, queries: DataFrame, k: int, kernel: Callable | None = None) -> DataFrame:
+        """(query_id, rank, id, score): each query meets the rows of its cells under the cell key."""
+        asked = self.near(asked_of(queries, self.id_col, self.vector_col))
+        return block_search(self.own_rows(), asked, k, kernel or exact_kernel(self.config.metric), sizes=self.sizes())
 
     def certain_cells(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, q, cell): every cell that may hold one of the k nearest.
+        """(query_id, q, need, cell): every cell that may hold one of the k nearest, and a score they have at least.
 
         The k-th score within the nearest ``probes`` cells bounds the true one from below; a cell
         goes only where its centroid's distance less its radius is beyond that.
         """
         metric = _bounded_metric(self.config.metric)
-        ship(queries.sparkSession)
         sent = queries.sparkSession.sparkContext.broadcast(self.centroids)
-
-        @F.pandas_udf("double")
-        def away(v: pd.Series, cell: pd.Series) -> pd.Series:
-            x, known = _placed(v, metric)
-            d = np.linalg.norm(x - sent.value[cell.to_numpy()], axis=1)
-            return pd.Series(np.where(known, d, np.inf))
-
-        radius = {r.cell: r.r for r in self.rows.groupBy("cell").agg(F.max(away(self.vector_col, "cell")).alias("r")).collect()}
-        radii = np.array([radius.get(c, -np.inf) for c in range(len(self.centroids))])
+        radii = np.array([self.stats[c][1] if c in self.stats else -np.inf for c in range(len(self.centroids))])
 
         @F.pandas_udf("array<int>")
         def within(q: pd.Series, score: pd.Series) -> pd.Series:
@@ -120,14 +280,66 @@ class Ivf:
             kept = (least <= most[:, None] + 1e-6) | (~known[:, None] & np.isfinite(radii)) | (radii == np.inf)
             return pd.Series([np.flatnonzero(r).tolist() for r in kept])
 
-        asked = asked_of(queries, self.id_col, self.vector_col)
-        kth = self.join(queries, k).filter(F.col("rank") == k).select("query_id", "score")
-        wide = asked.join(kth, "query_id", "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
-        return wide.withColumn("cell", F.explode(within("q", "score"))).drop("score")
+        kth = self.join(queries, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("need"))
+        wide = asked_of(queries, self.id_col, self.vector_col).join(kth, "query_id", "left").withColumn("need", F.coalesce("need", F.lit(float("-inf"))))
+        return wide.withColumn("cell", F.explode(within("q", "need"))).withColumn("need", F.col("need") - 1e-9)
 
     def certain_join(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, id, score): the k nearest, all of them."""
-        return ranked(self.met(self.certain_cells(queries, k)), k, self.config.metric)
+        return block_search(self.own_rows(), self.certain_cells(queries, k), k, exact_kernel(self.config.metric), sizes=self.sizes())
+
+
+class Hierarchy(Ivf):
+    """Cells under levels of clusters: a search descends by the ``beam`` nearest clusters of each level.
+
+    Levels merge the centroids bottom-up; a cluster is the mean of its cells weighted by their rows,
+    so merging is over cells and never over the rows.
+    """
+
+    def __init__(self, ivf: Ivf, levels: tuple[int, ...] = (4, 16), beam: int = 3, linkage: str = "centroid"):
+        super().__init__(ivf.rows, ivf.config, id_col=ivf.id_col, vector_col=ivf.vector_col, centroids=ivf.centroids, stats=ivf.stats)
+        self.beam = beam
+        weights = np.array([ivf.stats.get(c, (0, 0.0))[0] for c in range(len(ivf.centroids))], float)
+        self.levels: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        points, size = ivf.centroids, weights
+        for n in sorted({x for x in levels if x < len(ivf.centroids)}, reverse=True):
+            label = vectors.merge_points(points, n, linkage, size)
+            children = [np.flatnonzero(label == j) for j in range(label.max() + 1)]
+            points = np.array([np.average(points[c], axis=0, weights=size[c] if size[c].sum() else None) for c in children])
+            size = np.array([size[c].sum() for c in children])
+            self.levels.append((points, children))
+
+    def _slim(self) -> Hierarchy:
+        slim = object.__new__(Hierarchy)
+        slim.config, slim.centroids, slim.levels, slim.beam = self.config, self.centroids, self.levels, self.beam
+        return slim
+
+    def with_beam(self, beam: int) -> Hierarchy:
+        other = object.__new__(Hierarchy)
+        other.__dict__ = {**self.__dict__, "beam": beam}
+        return other
+
+    def tuned_beam(self, queries: DataFrame, k: int, target: float = 0.9) -> Hierarchy:
+        """With the least beam whose recall over ``queries`` (a bounded sample) is ``target`` or more."""
+        truth = self.certain_join(queries, k).cache()
+        most = max([len(points) for points, _ in self.levels], default=1)
+        beam = 1
+        try:
+            while beam < most and recall(self.with_beam(beam).join(queries, k), truth).first().recall < target:
+                beam = min(most, beam * 2)
+        finally:
+            truth.unpersist()
+        return self.with_beam(beam)
+
+    def cells_of(self, q: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for x in q:
+            at = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.centroids))
+            for points, children in reversed(self.levels):
+                near = at[np.argsort(((points[at] - x) ** 2).sum(axis=1), kind="stable")[: self.beam]]
+                at = np.concatenate([children[c] for c in near])
+            out.append(at[np.argsort(((self.centroids[at] - x) ** 2).sum(axis=1), kind="stable")[: self.config.probes]])
+        return out
 
 
 def _bounded_metric(metric: str) -> str:
@@ -145,15 +357,7 @@ def _placed(v: pd.Series, metric: str) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(x, norms, out=np.zeros_like(x), where=norms != 0), norms[:, 0] != 0
 
 
-def asked_of(queries: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    return queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-
-
-def ranked(met: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query_id, rank, id, score): the k best of each query's (q, id, v), ties by id."""
-    scored = met.select("query_id", "id", kernels.SIMILARITY[metric](F.col("q"), F.col("v")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+# -- Hyperplane signatures ------------------------------------------------------------------
 
 
 def planes(dim: int, hashes: int, seed: int = 42) -> np.ndarray:
@@ -194,27 +398,39 @@ def _agreement_limits(hashes: int, miss: float) -> list[float]:
     return out
 
 
-def sure_lsh_join(df: DataFrame, queries: DataFrame, k: int, config: IndexConfig, *, id_col: str = "id", vector_col: str = "vector", miss: float = 0.01) -> DataFrame:
+def with_signatures(df: DataFrame, config: IndexConfig, dim: int, *, vector_col: str = "vector") -> DataFrame:
+    """``df`` with its rows' ``signature``: the column that ``sure_lsh_join`` reads."""
+    ship(df.sparkSession)
+    return df.withColumn("signature", lsh_signature(F.col(vector_col), planes(dim, config.hashes, config.seed)))
+
+
+def sure_lsh_join(signed: DataFrame, queries: DataFrame, k: int, config: IndexConfig, *, id_col: str = "id", vector_col: str = "vector", miss: float = 0.01) -> DataFrame:
     """(query_id, rank, id, score): each query's k nearest by exact cosine of the rows within enough bits.
 
-    A bit differs with a chance of angle over pi. The k rows of fewest differing bits bound the
-    k-th angle from above; bits are enough where a row within that angle is missed with a chance
-    of ``miss`` at most. Fewer than k rows are all read.
+    A bit differs with a chance of angle over pi. In each block, the k rows of fewest differing bits
+    bound the k-th angle from above; bits are enough where a row within that angle is missed with
+    a chance of ``miss`` at most. Fewer than k rows are all read.
     """
     if config.metric != "cosine":
         raise ValueError("signatures are of angles")
-    ship(queries.sparkSession)
-    p = planes(len(df.select(vector_col).head(1)[0][0]) if not df.isEmpty() else 1, config.hashes, config.seed)
-    asked = asked_of(queries, id_col, vector_col).withColumn("own", lsh_signature(F.col("q"), p))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("sig", lsh_signature(F.col("v"), p))
-    met = asked.crossJoin(rows).withColumn("differ", F.bit_count(F.col("own").bitwiseXOR(F.col("sig"))))
-    nearest = met.withColumn("near", F.row_number().over(Window.partitionBy("query_id").orderBy("differ", "id"))).filter(F.col("near") <= k)
-    kth = ranked(nearest, k, "cosine").filter(F.col("rank") == k)
-    chance = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))) / pi
-    limits = F.array(*(F.lit(x) for x in _agreement_limits(config.hashes, miss)))
-    bits = kth.withColumn("chance", chance).select("query_id", F.size(F.filter(limits, lambda x: x < F.col("chance"))).alias("bits"))
-    kept = met.join(bits, "query_id", "left").filter(F.col("bits").isNull() | (F.col("differ") <= F.col("bits")))
-    return ranked(kept, k, "cosine")
+    limits, hashes, seed = np.array(_agreement_limits(config.hashes, miss)), config.hashes, config.seed
+
+    def kernel(own: pa.Table, m: np.ndarray, q: np.ndarray, need: np.ndarray, k: int):
+        p = planes(q.shape[1], hashes, seed)
+        mine = ((q @ p.T >= 0).astype(np.int64) << np.arange(hashes)).sum(axis=1)
+        differ = np.bitwise_count(mine[:, None] ^ own.column("signature").to_numpy()[None])
+        if len(m) <= k:
+            who, row = (x.ravel() for x in np.indices(differ.shape))
+            return who, row, _score_pairs(q, m, who, row, "cosine")
+        nearest = np.argpartition(differ, k - 1, axis=1)[:, :k]
+        first = _score_pairs(q, m, np.repeat(np.arange(len(q)), k), nearest.ravel(), "cosine").reshape(len(q), k).min(axis=1)
+        chance = np.arccos(np.clip(np.maximum(first, need), -1, 1)) / pi
+        bits = (limits[None] < chance[:, None]).sum(axis=1)
+        who, row = np.nonzero(differ <= bits[:, None])
+        return who, row, _score_pairs(q, m, who, row, "cosine")
+
+    rows = signed.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "signature")
+    return block_search(rows, asked_of(queries, id_col, vector_col), k, kernel)
 
 
 class Pq:
@@ -255,8 +471,26 @@ class Pq:
         return best.select(self.id_col, "adc", kernels.distance_with(F.col(self.vector_col), q, self.config.metric).alias("distance")).orderBy("distance", self.id_col).limit(k)
 
 
+    def save(self, path: str) -> None:
+        """Rows with codes and errors, and one row a subspace with its book."""
+        cells = ["cell"] if "cell" in self.codes.columns else []
+        self.with_error(self.codes).write.mode("overwrite").partitionBy(*cells).parquet(f"{path}/rows")
+        books = [(j, c.tolist(), b.tolist(), json.dumps(asdict(self.config))) for j, (c, b) in enumerate(zip(self.cuts, self.books))]
+        self.codes.sparkSession.createDataFrame(books, "part int, dims array<int>, book array<array<double>>, config string").coalesce(1).write.mode("overwrite").parquet(f"{path}/books")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, *, id_col: str = "id", vector_col: str = "vector") -> Pq:
+        found = object.__new__(cls)
+        books = spark.read.parquet(f"{path}/books").orderBy("part").collect()
+        found.id_col, found.vector_col, found.config = id_col, vector_col, IndexConfig(**json.loads(books[0].config))
+        found.cuts, found.books = [np.array(r.dims) for r in books], [np.array(r.book) for r in books]
+        found.codes = spark.read.parquet(f"{path}/rows")
+        return found
+
     def with_error(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (v, codes) with column error: each vector's distance from the one its codes stand for."""
+        """``rows`` with column error: each vector's distance from the one its codes stand for."""
+        if "error" in rows.columns:
+            return rows
         books, cuts = rows.sparkSession.sparkContext.broadcast(self.books), self.cuts
 
         @F.pandas_udf("double")
@@ -264,55 +498,45 @@ class Pq:
             x, code = np.stack(v.to_numpy()).astype(float), np.stack(codes.to_numpy())
             return pd.Series(np.sqrt(sum(((x[:, c] - b[code[:, j]]) ** 2).sum(axis=1) for j, (b, c) in enumerate(zip(books.value, cuts)))))
 
-        return rows.withColumn("error", error("v", "codes"))
+        return rows.withColumn("error", error(self.vector_col, "codes"))
 
-    def certain(self, met: DataFrame, k: int) -> DataFrame:
-        """(query_id, rank, id, score): the k nearest of each query's rows (q, id, v, codes, error), all of them.
+    def certain_kernel(self) -> Callable:
+        """Lookups give the score of what the codes stand for, and the error how far the true one can be.
 
-        Lookups give the score of what the codes stand for, and the error how far the true one
-        can be; a row is passed over only where its best is below the k-th of the worst ones.
+        A row is passed over only where its best is below the k-th of the worst ones.
         """
-        metric = _bounded_metric(self.config.metric)
-        ship(met.sparkSession)
-        books, cuts = met.sparkSession.sparkContext.broadcast(self.books), self.cuts
-
-        @F.pandas_udf("struct<low:double,high:double>")
-        def bounds(query_id: pd.Series, q: pd.Series, v: pd.Series, codes: pd.Series, error: pd.Series) -> pd.DataFrame:
-            code, e = np.stack(codes.to_numpy()), error.to_numpy()
-            numbers, first = pd.factorize(query_id)[0], {}
-            for at, number in enumerate(numbers):
-                first.setdefault(number, at)
-            own = np.stack([q.iloc[first[n]] for n in range(len(first))]).astype(float)
-            near = np.zeros(len(code))
-            for j, (b, c) in enumerate(zip(books.value, cuts)):
-                table = own[:, c] @ b.T if metric == "cosine" else ((own[:, None, c] - b[None]) ** 2).sum(axis=2)
-                near += table[numbers, code[:, j]]
+        metric, books, cuts = _bounded_metric(self.config.metric), self.books, self.cuts
+
+        def run(own: pa.Table, m: np.ndarray, q: np.ndarray, need: np.ndarray, k: int):
+            code, error = _dense(own.column("codes")).astype(np.int64), own.column("error").to_numpy()
+            near = np.zeros((len(q), len(m)))
+            for j, (b, c) in enumerate(zip(books, cuts)):
+                table = q[:, c] @ b.T if metric == "cosine" else ((q[:, None, c] - b[None]) ** 2).sum(axis=2)
+                near += table[:, code[:, j]]
             if metric == "euclidean":
-                near, spread = -np.sqrt(near), e
+                near, spread = -np.sqrt(near), error
             else:
-                norms = np.linalg.norm(np.stack(v.to_numpy()).astype(float), axis=1)
-                long = np.linalg.norm(own, axis=1)[numbers]
-                whole = norms * long
+                norms = np.linalg.norm(m, axis=1)
+                whole = np.linalg.norm(q, axis=1)[:, None] * norms
                 near = np.divide(near, whole, out=np.zeros_like(near), where=whole != 0)
-                spread = np.divide(e, norms, out=np.zeros_like(near), where=whole != 0)  # a zero vector scores 0
-            return pd.DataFrame({"low": near - spread - 1e-6, "high": near + spread + 1e-6})
+                spread = np.divide(error, norms, out=np.zeros(len(m)), where=norms != 0)  # a zero vector scores 0
+            least = np.maximum(need, _kth(near - spread - 1e-6, k))
+            who, row = np.nonzero(near + spread + 1e-6 >= least[:, None])
+            return who, row, _score_pairs(q, m, who, row, metric)
 
-        met = met.withColumn("bound", bounds("query_id", "q", "v", "codes", "error"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("bound.low"), "id")
-        kth = met.withColumn("near", F.row_number().over(order)).filter(F.col("near") <= k).filter(F.col("near") == k).select("query_id", F.col("bound.low").alias("need"))
-        kept = met.join(kth, "query_id", "left").filter(F.col("need").isNull() | (F.col("bound.high") >= F.col("need")))
-        return ranked(kept, k, metric)
+        return run
+
+    def own_rows(self) -> DataFrame:
+        return self.with_error(self.codes).withColumnsRenamed({self.id_col: "id", self.vector_col: "v"})
 
     def certain_join(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, id, score): the k nearest rows of each query, all of them."""
-        rows = self.with_error(self.codes.select(F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v"), "codes"))
-        return self.certain(asked_of(queries, self.id_col, self.vector_col).crossJoin(rows), k)
+        return block_search(self.own_rows().drop("cell"), asked_of(queries, self.id_col, self.vector_col), k, self.certain_kernel())
 
 
 def certain_ivfpq_join(ivf: Ivf, pq: Pq, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): lookups in every cell that may hold one of the k nearest. ``pq`` is built on ``ivf.rows``."""
-    rows = pq.with_error(pq.codes.select(F.col(pq.id_col).alias("id"), F.col(pq.vector_col).alias("v"), "codes", "cell"))
-    return pq.certain(ivf.certain_cells(queries, k).join(rows, "cell"), k)
+    return block_search(pq.own_rows(), ivf.certain_cells(queries, k), k, pq.certain_kernel(), sizes=ivf.sizes())
 
 
 def ivfpq_search(ivf: Ivf, pq: Pq, q: list[float], k: int, rerank: int = 4) -> DataFrame:
@@ -320,11 +544,14 @@ def ivfpq_search(ivf: Ivf, pq: Pq, q: list[float], k: int, rerank: int = 4) -> D
     return pq.search(q, k, rerank, pq.codes.filter(F.col("cell").isin(ivf.cells(q))))
 
 
+# -- Pivots ---------------------------------------------------------------------------------
+
+
 def pivot_range_search(df: DataFrame, pivots: list[list[float]], q: list[float], radius: float, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Exact range search pruned by the triangle inequality over distances from pivots.
 
-    ``df`` carries those distances in columns pivot_0, pivot_1, ... as ``with_pivots`` makes them,
-    so the pruning is a range predicate that reaches the scan.
+    ``df`` carries those distances in columns pivot_0, pivot_1, ...; read from where ``save_pivots``
+    wrote them, the pruning is a range predicate that reaches the scan and skips row groups.
     """
     for k, p in enumerate(pivots):
         d = float(np.linalg.norm(np.array(p) - np.array(q)))
@@ -336,19 +563,260 @@ def with_pivots(df: DataFrame, pivots: list[list[float]], vector_col: str = "vec
     return df.withColumns({f"pivot_{k}": kernels.distance_with(F.col(vector_col), p, "euclidean") for k, p in enumerate(pivots)})
 
 
-def projection_tree(df: DataFrame, depth: int, dim: int, seed: int = 42, vector_col: str = "vector") -> DataFrame:
-    """``df`` with ``leaf``: sides of ``depth`` random hyperplanes, a random-projection tree's leaf number."""
-    return df.withColumn("leaf", lsh_signature(F.col(vector_col), planes(dim, depth, seed)))
+def save_pivots(df: DataFrame, pivots: list[list[float]], path: str, *, vector_col: str = "vector", row_group_bytes: int = 1 << 20) -> None:
+    """Rows with their distances, in order of the first pivot's, in small row groups."""
+    placed = with_pivots(df, pivots, vector_col)
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed.repartitionByRange(width, "pivot_0").sortWithinPartitions("pivot_0").write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+# -- A forest of random-projection trees ----------------------------------------------------
 
 
-def knn_graph(df: DataFrame, degree: int, metric: str = "cosine", *, id_col: str = "id", vector_col: str = "vector", both_ways: bool = True) -> DataFrame:
-    """(src, dst, score): each row's ``degree`` nearest others, by the blocked k-NN join."""
-    near = knn_join(df, df, degree + 1, metric, id_col=id_col, vector_col=vector_col).filter("query_id <> id")
+class Trees:
+    """Trees whose nodes part the space halfway between two sampled points; rows stand in a leaf of each.
+
+    Trees are grown on a bounded sample; every row is assigned. A search pops nodes of all trees in
+    order of margin, the widest first, until it has ``leaves`` leaves, and scores their rows exactly.
+    """
+
+    def __init__(self, dim: int, trees: int = 6, leaf_rows: int = 64, leaves: int = 12, metric: str = "cosine", seed: int = 42):
+        self.dim, self.trees, self.leaf_rows, self.leaves, self.metric, self.seed = dim, trees, leaf_rows, leaves, metric, seed
+        self.normals, self.offsets, self.children = np.empty((0, dim)), np.empty(0), np.empty((0, 2), np.int64)
+        self.roots: list[int] = []
+        self.n_leaves = 0
+
+    @classmethod
+    def fit(cls, df: DataFrame, *, vector_col: str = "vector", fit_rows: int = 20_000, **options) -> Trees:
+        sample = vectors._bounded(df, vector_col, fit_rows, options.get("seed", 42))
+        found = cls(sample.shape[1] if sample.size else 1, **options)
+        sample = sample[np.lexsort(sample.T[::-1])] if len(sample) else sample
+        normals, offsets, children = [], [], []
+        rng = np.random.default_rng(found.seed)
+        for _ in range(found.trees):
+            found.roots.append(found._grow(sample, rng, normals, offsets, children))
+        if normals:
+            found.normals, found.offsets, found.children = np.array(normals), np.array(offsets), np.array(children)
+        return found
+
+    def _grow(self, x: np.ndarray, rng: np.random.Generator, normals: list, offsets: list, children: list) -> int:
+        """Number of the node over ``x``; leaves are numbered downward from -1."""
+        if len(x) > self.leaf_rows:
+            a, b = x[rng.choice(len(x), 2, replace=False)]
+            normal = a / (np.linalg.norm(a) or 1) - b / (np.linalg.norm(b) or 1) if self.metric == "cosine" else a - b
+            offset = 0.0 if self.metric == "cosine" else float(normal @ (a + b) / 2)
+            right = x @ normal >= offset
+            if 0 < right.sum() < len(x):
+                at = len(normals)
+                normals.append(normal)
+                offsets.append(offset)
+                children.append([0, 0])
+                children[at] = [self._grow(x[~right], rng, normals, offsets, children), self._grow(x[right], rng, normals, offsets, children)]
+                return at
+        self.n_leaves += 1
+        return -self.n_leaves
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        """[row, tree] leaf numbers from 0."""
+        out = np.empty((len(x), self.trees), np.int64)
+        for t, root in enumerate(self.roots):
+            node = np.full(len(x), root)
+            while (inner := np.flatnonzero(node >= 0)).size:
+                at = node[inner]
+                right = (x[inner] * self.normals[at]).sum(axis=1) >= self.offsets[at]
+                node[inner] = self.children[at, right.astype(int)]
+            out[:, t] = -node - 1
+        return out
+
+    def probed(self, q: np.ndarray) -> list[int]:
+        heap = [(-np.inf, root) for root in self.roots]
+        out: list[int] = []
+        while heap and len(out) < self.leaves:
+            margin, node = heapq.heappop(heap)
+            while node >= 0:
+                gap = float(self.normals[node] @ q - self.offsets[node])
+                near, far = self.children[node, int(gap >= 0)], self.children[node, int(gap < 0)]
+                heapq.heappush(heap, (max(margin, abs(gap)), int(far)))
+                node = int(near)
+            out.append(-node - 1)
+        return out
+
+    def tuned(self, assigned: DataFrame, queries: DataFrame, truth: DataFrame, k: int, target: float = 0.9, *, id_col: str = "id", vector_col: str = "vector") -> Trees:
+        """With the fewest leaves whose recall against ``truth`` over ``queries`` (a bounded sample) is ``target`` or more."""
+        truth, found = truth.cache(), copy.copy(self)
+        try:
+            while found.leaves < self.n_leaves and recall(found.join(assigned, queries, k, id_col=id_col, vector_col=vector_col), truth).first().recall < target:
+                found = copy.copy(found)
+                found.leaves = min(self.n_leaves, 2 * found.leaves)
+        finally:
+            truth.unpersist()
+        return found
+
+    def assign(self, df: DataFrame, *, vector_col: str = "vector") -> DataFrame:
+        """``df`` once for each tree, with ``cell``: the row's leaf there."""
+        ship(df.sparkSession)
+        sent = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("array<int>")
+        def leaves(v: pd.Series) -> pd.Series:
+            return pd.Series(sent.value.leaf_of(np.stack(v.to_numpy()).astype(float)).tolist())
+
+        return df.filter(F.col(vector_col).isNotNull()).withColumn("cell", F.explode(leaves(vector_col)))
+
+    def join(self, assigned: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+        """(query_id, rank, id, score) over the rows of each query's leaves."""
+        sent = queries.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("array<int>")
+        def leaves(q: pd.Series) -> pd.Series:
+            return pd.Series([sent.value.probed(np.asarray(x, float)) for x in q])
+
+        asked = asked_of(queries, id_col, vector_col).filter("q is not null").withColumn("cell", F.explode(leaves("q")))
+        rows = assigned.withColumnsRenamed({id_col: "id", vector_col: "v"})
+        return block_search(rows, asked, k, exact_kernel(self.metric), copies=True)
+
+
+# -- Neighbour graphs -----------------------------------------------------------------------
+
+
+def nearest_in(points: np.ndarray, m: int, metric: str) -> np.ndarray:
+    """[row, <= m] numbers of each row's nearest others, a bounded number of pairs at a time."""
+    n = len(points)
+    m = min(m, n - 1)
+    out = np.empty((n, m), np.int64)
+    step = max(1, PASS_PAIRS // max(1, n))
+    for at in range(0, n, step):
+        s = score_matrix(points[at : at + step], points, metric)
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
+        near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m else np.empty((len(s), 0), np.int64)
+        out[at : at + step] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
+    return out
+
+
+def _both_ways(near: np.ndarray, rng: np.random.Generator, most: int, strays: int) -> list[list[int]]:
+    """Lists of the nearest, of who names the row among theirs (``most`` in all), and a few strays that join far parts."""
+    n = len(near)
+    links = [list(x) for x in near.tolist()]
+    for i, row in enumerate(near.tolist()):
+        for j in row:
+            if len(links[j]) < most and i not in links[j]:
+                links[j].append(i)
+    for i, extra in enumerate(rng.integers(0, n, (n, strays)).tolist()):
+        links[i] += [j for j in dict.fromkeys(extra) if j != i and j not in links[i]]
+    return links
+
+
+@dataclass(frozen=True)
+class GraphConfig:
+    """``hnsw`` descends levels and keeps ``ef`` rows in view; ``graph`` has one level; ``ngt`` looks on within (1 + epsilon) times the k-th distance."""
+
+    kind: str = "hnsw"
+    metric: str = "cosine"
+    degree: int = 16
+    ef: int = 64
+    epsilon: float = 0.1
+    shard_rows: int = 16_384
+    seed: int = 42
+
+
+def build_graph(ivf: Ivf, config: GraphConfig) -> DataFrame:
+    """(id, v, cell, block, pos, links): each block's rows numbered, with their neighbours' numbers on every level.
+
+    A block is a cell, or a part of one of ``shard_rows`` rows or so; its graph is built by one task in
+    bounded memory. Levels halve by hash of the id, geometrically.
+    """
+    rows = ivf.own_rows().filter(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v", "cell")
+    many = {c: -(-n // config.shard_rows) for c, n in ivf.sizes().items()}
+    parts = F.element_at(F.create_map(*(F.lit(x) for c, n in many.items() for x in (c, n))), F.col("cell"))
+    draw = F.pmod(F.xxhash64(F.lit(config.seed), "id"), F.lit(1 << 30)).cast("double") / (1 << 30)
+    level = F.floor(-F.log(F.greatest(draw, F.lit(1e-9))) / float(np.log(config.degree))).cast("int") if config.kind == "hnsw" else F.lit(0)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), parts)).withColumn("level", level)
+    kinds = dict(rows.dtypes)
+
+    def build(block: pa.Table) -> pa.Table:
+        block = block.take(pc.sort_indices(block.column("id")))
+        points, levels = _dense(block.column("v")), block.column("level").to_numpy()
+        rng = np.random.default_rng(config.seed)
+        links: list[list[list[int]]] = [[] for _ in range(len(points))]
+        for depth in range(int(levels.max(initial=0)) + 1):
+            here = np.flatnonzero(levels >= depth)
+            m = config.degree if depth else 2 * config.degree
+            near = nearest_in(points[here], m, config.metric) if len(here) > 1 else np.empty((len(here), 0), np.int64)
+            for i, row in zip(here.tolist(), _both_ways(near, rng, 2 * m, 2 if len(here) > 1 else 0)):
+                links[i].append(here[row].tolist() if row else [])
+        return pa.table({**{c: block.column(c) for c in ("id", "v", "cell", "block")}, "pos": pa.array(np.arange(len(points), dtype=np.int32)), "links": pa.array(links, pa.list_(pa.list_(pa.int32())))})
+
+    ship(rows.sparkSession)
+    return rows.groupBy("cell", "block").applyInArrow(lambda t: build(t), f"id {kinds['id']}, v {kinds['v']}, cell int, block {kinds['block']}, pos int, links array<array<int>>")
+
+
+def best_first(points: np.ndarray, links: list[list[np.ndarray]], q: np.ndarray, k: int, config: GraphConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, scores) found by walking the graph from its top level's rows to the query's neighbours."""
+    sim = lambda at: score_matrix(q[None], points[at], config.metric)[0]
+    depth = max(len(x) for x in links) - 1
+    at = np.flatnonzero([len(x) > depth for x in links])[:1] if depth else np.arange(min(4, len(points)))
+    for d in range(depth, 0, -1):  # greedy on the upper levels
+        here = at[sim(at).argmax()]
+        while len(near := links[here][d]) and (s := sim(near)).max() > sim(np.array([here]))[0]:
+            here = near[s.argmax()]
+        at = np.array([here])
+    seen, opened = np.zeros(len(points), bool), np.zeros(len(points), bool)
+    seen[at] = True
+    rows, score = at, sim(at)
+    keep = max(k, config.ef)
+    while True:
+        if config.kind == "ngt" and len(rows) >= k:
+            kth = np.partition(score, len(score) - k)[len(score) - k]
+            reach = (1 + config.epsilon) * kth if kth < 0 else kth - config.epsilon * (1 - kth)
+            near = rows[score >= reach]
+        else:
+            near = rows
+        turn = near[~opened[near]]
+        if not len(turn):
+            return rows, score
+        opened[turn] = True
+        found = np.unique(np.concatenate([links[i][0] for i in turn.tolist()]))
+        found = found[~seen[found]]
+        seen[found] = True
+        rows, score = np.concatenate([rows, found]), np.concatenate([score, sim(found)]) if len(found) else score
+        if config.kind != "ngt" and len(rows) > keep:
+            best = np.argpartition(-score, keep - 1)[:keep]
+            rows, score = rows[best], score[best]
+
+
+def graph_kernel(config: GraphConfig) -> Callable:
+    def run(own: pa.Table, m: np.ndarray, q: np.ndarray, need: np.ndarray, k: int):
+        order = np.argsort(own.column("pos").to_numpy())
+        lists = own.column("links").to_pylist()
+        links = [[np.array(x, np.int64) for x in lists[i]] for i in order]
+        points = m[order]
+        found = [best_first(points, links, x, k, config) for x in q]
+        who = np.repeat(np.arange(len(q)), [len(f[0]) for f in found])
+        return who, order[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found])
+
+    return run
+
+
+def graph_join(graph: DataFrame, ivf: Ivf, queries: DataFrame, k: int, config: GraphConfig) -> DataFrame:
+    """(query_id, rank, id, score): each query walks the graphs of its cells' blocks."""
+    asked = ivf.near(asked_of(queries, ivf.id_col, ivf.vector_col))
+    return block_search(graph.drop("block"), asked, k, graph_kernel(config), sizes=ivf.sizes(), block_rows=config.shard_rows)
+
+
+def knn_graph(df: DataFrame, degree: int, metric: str = "cosine", *, id_col: str = "id", vector_col: str = "vector", both_ways: bool = True, ivf: Ivf | None = None) -> DataFrame:
+    """(src, dst, score): each row's ``degree`` nearest others.
+
+    Exact over all rows, which is quadratic; with ``ivf``, over the rows of each row's probed cells.
+    """
+    near = (knn_join(df, df, degree + 1, metric, id_col=id_col, vector_col=vector_col) if ivf is None else ivf.join(df, degree + 1)).filter("query_id <> id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     edges = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= degree).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")).dropDuplicates(["src", "dst"]) if both_ways else edges
 
 
+# -- Measures -------------------------------------------------------------------------------
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row, recall: the share of the true (query_id, id) pairs that were found."""
     hit = truth.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")).distinct(), ["query_id", "id"], "left")

@@ -82,9 +82,13 @@ def vector_average(df: DataFrame, by: list[str], vector_col: str = "vector") ->
 
 
 def random_projection(v: Column, dim: int, out_dim: int, seed: int = 42) -> Column:
-    """Product with a seeded Gaussian matrix scaled by 1/sqrt(out_dim)."""
-    matrix = np.random.default_rng(seed).normal(0, 1 / np.sqrt(out_dim), (out_dim, dim))
-    return F.array(*(kernels.dot_with(v, row.tolist()) for row in matrix))
+    """Product with the projection matrix."""
+    return F.array(*(kernels.dot_with(v, row.tolist()) for row in projection_matrix(dim, out_dim, seed)))
+
+
+def projection_matrix(dim: int, out_dim: int, seed: int = 42) -> np.ndarray:
+    """Seeded Gaussian numbers scaled by 1/sqrt(out_dim), [out_dim, dim]."""
+    return np.random.default_rng(seed).normal(0, 1 / np.sqrt(out_dim), (out_dim, dim))
 
 
 def _bounded(df: DataFrame, vector_col: str, rows: int, seed: int) -> np.ndarray:
@@ -155,6 +159,44 @@ def project(v: Column, mean: np.ndarray, components: np.ndarray) -> Column:
     return F.array(*(kernels.dot_with(v, c.tolist()) - F.lit(float(mean @ c)) for c in components))
 
 
+def merge_points(x: np.ndarray, clusters: int, linkage: str = "average", weights: np.ndarray | None = None) -> np.ndarray:
+    """Cluster number of each point after merging the closest clusters until ``clusters`` are left.
+
+    Distances between clusters are updated, not recomputed: a merge is one pass over a row of the
+    matrix. Weights count as so many rows at a point, in average and centroid linkage.
+    """
+    n = len(x)
+    size = np.ones(n) if weights is None else np.maximum(np.asarray(weights, float), 1e-12)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) if n * n * x.shape[1] <= 1 << 26 else np.array([((x - p) ** 2).sum(axis=1) for p in x])
+    d = d if linkage == "centroid" else np.sqrt(d)
+    np.fill_diagonal(d, np.inf)
+    label, live = np.arange(n), np.ones(n, bool)
+    nearest, gap = d.argmin(axis=1), d.min(axis=1)
+    for _ in range(n - max(1, clusters)):
+        a = int(np.where(live, gap, np.inf).argmin())
+        a, b = sorted((a, int(nearest[a])))
+        if linkage == "single":
+            row = np.minimum(d[a], d[b])
+        elif linkage == "complete":
+            row = np.maximum(d[a], d[b])
+        else:
+            row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            if linkage == "centroid":
+                row = row - size[a] * size[b] * d[a, b] / (size[a] + size[b]) ** 2
+        row[~live] = row[a] = row[b] = np.inf
+        size[a] += size[b]
+        d[a], d[:, a] = row, row
+        d[b], d[:, b] = np.inf, np.inf
+        live[b] = False
+        label[label == b] = a
+        stale = np.flatnonzero(live & ((nearest == a) | (nearest == b)))
+        nearest[stale], gap[stale] = d[stale].argmin(axis=1), d[stale].min(axis=1)
+        nearest[a], gap[a] = row.argmin(), row.min()
+        closer = live & (row < gap)
+        nearest[closer], gap[closer] = a, row[closer]
+    return np.unique(label, return_inverse=True)[1]
+
+
 def agglomerative(df: DataFrame, clusters: int, linkage: str = "average", *, id_col: str = "id", vector_col: str = "vector", group_cols: list[str] | None = None) -> DataFrame:
     """(group..., id, cluster): merges the closest clusters of each group until ``clusters`` are left.
 
@@ -166,22 +208,8 @@ def agglomerative(df: DataFrame, clusters: int, linkage: str = "average", *, id_
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col, ignore_index=True)
-        x = np.stack(pdf[vector_col].to_numpy()).astype(float)
-        members = {k: [k] for k in range(len(x))}
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-        fold = {"single": np.min, "complete": np.max, "average": np.mean}
-
-        def gap(a, b):
-            if linkage == "centroid":
-                return float(np.linalg.norm(x[members[a]].mean(axis=0) - x[members[b]].mean(axis=0)))
-            return float(fold[linkage](d[np.ix_(members[a], members[b])]))
-
-        while len(members) > clusters:
-            _, a, b = min((gap(a, b), a, b) for i, a in enumerate(members) for b in list(members)[i + 1 :])
-            members[a] += members.pop(b)
-        number = {k: j for j, key in enumerate(sorted(members)) for k in members[key]}
         out = pdf[[*keys, id_col]].copy()
-        out["cluster"] = [number[k] for k in range(len(x))]
+        out["cluster"] = merge_points(np.stack(pdf[vector_col].to_numpy()).astype(float), clusters, linkage).astype(np.int32)
         return out
 
     ship(df.sparkSession)
@@ -194,13 +222,14 @@ def mean_and_std(df: DataFrame, vector_col: str = "vector") -> DataFrame:
 
 
 def agglomerate_cells(df: DataFrame, cells: int, clusters: int, linkage: str = "average", *, vector_col: str = "vector", seed: int = 42) -> DataFrame:
-    """``df`` with ``cell`` and ``cluster``: cells by k-means, then their centroids merged bottom-up.
+    """``df`` with ``cell`` and ``cluster``: cells by k-means, then the cells merged bottom-up.
 
-    Merging is quadratic in the cells, never in the rows, so tables of any size have a hierarchy.
+    A cell stands for its rows at its centroid, so linkages weigh cells by their rows. Merging is
+    quadratic in the cells, never in the rows, so tables of any size have a hierarchy.
     """
     centroids = fit_kmeans(df, cells, vector_col=vector_col, seed=seed)
-    spark = df.sparkSession
-    small = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "id int, vector array<double>")
-    merged = {r["id"]: r["cluster"] for r in agglomerative(small, clusters, linkage).collect()}
-    lookup = F.array(*(F.lit(merged[k]) for k in range(len(centroids))))
-    return assign(df, centroids, vector_col=vector_col, out="cell").withColumn("cluster", F.get(lookup, F.col("cell")))
+    placed = assign(df, centroids, vector_col=vector_col, out="cell")
+    rows = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row a cell
+    merged = merge_points(centroids, clusters, linkage, np.array([rows.get(k, 0) for k in range(len(centroids))]))
+    lookup = F.array(*(F.lit(int(c)) for c in merged))
+    return placed.withColumn("cluster", F.get(lookup, F.col("cell")))
