@@ -228,14 +228,14 @@ def _dealt(rows: DataFrame, lows: dict[int, int]) -> tuple[DataFrame, dict[int,
     return df.withColumn("key", F.shiftleft("turn", 48).bitwiseOR(key)), after
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Consecutive rows, RUN at least if there are as many, cut where the first column changes."""
+def _runs(batches: Iterator[pa.RecordBatch], least: int = RUN) -> Iterator[pa.Table]:
+    """Consecutive rows, ``least`` or more if there are as many, cut where the first column changes."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < RUN:
+        if rows < least:
             continue
         whole = pa.Table.from_batches(held)
         key = whole.column(0).to_numpy()
