@@ -1,7 +1,9 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vantloom.functions import dsl, hashing, kernels
@@ -118,3 +120,37 @@ def test_scripts_refuse_what_they_do_not_know(spark):
     program = dsl.compile_program("a = softmax(x)\nm = reshape(x, 1, 2)\nb = matmul(m, a)\nout = concat(a, b)")
     out = spark.createDataFrame([([0.0, math.log(3)],)], "x array<double>").select(program({"x": F.col("x")})).first()[0]
     assert out == pytest.approx([0.25, 0.75, 0.75 * math.log(3)])
+
+
+def test_murmur3_gives_published_values():
+    texts = [b"", b"test", b"Hello, world!", b"The quick brown fox jumps over the lazy dog"]
+    assert hashing.murmur3_all(texts).tolist() == [0, 0xBA6BD213, 0xC0363E43, 0x2E4FF723]
+    assert hashing.murmur3_all(texts[:2], 0x9747B28C).tolist() == [0xEBB6C228, 0x704B81DC]
+    assert hashing.murmur3_all([]).tolist() == []
+
+
+def test_blake3_of_counted_bytes():
+    # Published test vectors: the input is 0, 1, ... 250, 0, 1, ... of the given length.
+    known = {
+        1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213",
+        1023: "10108970eeda3eb932baac1428c7a2163b0e924c9a9e25b35bba72b28f70bd11",
+        1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+        1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444",
+        2048: "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a",
+        3072: "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2",
+        8193: "bab6c09cb8ce8cf459261398d2e7aef35700bf488116ceb94a36d0f5f1b7bc3b",
+    }
+    texts = {n: bytes(k % 251 for k in range(n)) for n in known}
+    assert dict(zip(texts, hashing.blake3_all(list(texts.values())))) == known
+
+
+def test_digests_are_those_of_the_library(spark):
+    rows = [("",), ("abc",), (None,), ("é" * 900,)]
+    df = spark.createDataFrame(rows, "x string").select("x", *(hashing.digest(F.col("x"), k).alias(k) for k in hashing.ALGORITHMS))
+    for r in df.collect():
+        if r.x is None:
+            assert r[1:] == (None,) * 7
+            continue
+        raw = r.x.encode()
+        assert (r.md5, r.sha1, r.sha256, r.sha512) == tuple(getattr(hashlib, k)(raw).hexdigest() for k in ("md5", "sha1", "sha256", "sha512"))
+        assert r.blake3 == hashing.blake3_all([raw])[0] and r.city == r.xxh3 == xxhash.xxh3_64_digest(raw)[::-1].hex()

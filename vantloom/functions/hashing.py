@@ -1,4 +1,8 @@
-"""Hashes, a Bloom filter over integer words, a consistent-hash ring, vector hashes."""
+"""Hashes, a Bloom filter over integer words, a consistent-hash ring, vector hashes.
+
+Digests that the engine has are its own functions. BLAKE3, XXH3 and 32-bit murmur3 run over Arrow
+batches, with one lane of integer arrays for each row (for BLAKE3 each chunk of a row).
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,19 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from math import ceil, log
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The enumerated algorithms; ``city`` is computed as XXH3.
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512", "blake3", "xxh3", "city")
+
+
 def digest(c: Column, kind: str) -> Column:
-    """Lower-case hexadecimal digest; ``xxhash64`` is the engine's, with seed 42."""
+    """Lower-case hexadecimal digest; ``xxhash64`` is the engine's, with seed 42. Null for null."""
     raw = c.cast("binary")
     return {
         "md5": lambda: F.md5(raw),
@@ -21,9 +31,126 @@ def digest(c: Column, kind: str) -> Column:
         "sha512": lambda: F.sha2(raw, 512),
         "crc32": lambda: F.lower(F.hex(F.crc32(raw))),
         "xxhash64": lambda: F.lower(F.lpad(F.hex(F.xxhash64(c)), 16, "0")),
+        "blake3": lambda: _over_batches(blake3_all)(raw),
+        "xxh3": lambda: _over_batches(xxh3_all)(raw),
+        "city": lambda: _over_batches(xxh3_all)(raw),
     }[kind]()
 
 
+def _over_batches(fn):
+    """An Arrow function of binary values to text; nulls stay null."""
+
+    @F.arrow_udf("string")
+    def run(raw: pa.Array) -> pa.Array:
+        values = raw.to_pylist()
+        found = iter(fn([v for v in values if v is not None]))
+        return pa.array([None if v is None else next(found) for v in values], pa.string())
+
+    return run
+
+
+def xxh3_all(values: list[bytes]) -> list[str]:
+    """XXH3 of 64 bits, least significant byte first."""
+    return [xxhash.xxh3_64_intdigest(v).to_bytes(8, "little").hex() for v in values]
+
+
+# The initial words, the order of message words and the flags of BLAKE3.
+_IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
+_ORDER = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
+_START, _END, _PARENT, _ROOT = 1, 2, 4, 8
+_CHUNK, _BLOCK = 1024, 64
+
+
+def _compress(cv: np.ndarray, words: np.ndarray, counter: np.ndarray, size: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """New chaining values [8, lane] from values [8, lane] and message words [16, lane]."""
+    n = words.shape[1]
+    s = [*cv, *(np.full(n, w, np.uint32) for w in _IV[:4]), counter.astype(np.uint32), (counter >> 32).astype(np.uint32), size.astype(np.uint32), flags.astype(np.uint32)]
+    m = list(words)
+
+    def mix(a: int, b: int, c: int, d: int, x: np.ndarray, y: np.ndarray) -> None:
+        for word, r1, r2 in ((x, 16, 12), (y, 8, 7)):
+            s[a] = s[a] + s[b] + word
+            s[d] = _turn(s[d] ^ s[a], 32 - r1)
+            s[c] = s[c] + s[d]
+            s[b] = _turn(s[b] ^ s[c], 32 - r2)
+
+    for round_ in range(7):
+        for k in range(4):
+            mix(k, 4 + k, 8 + k, 12 + k, m[2 * k], m[2 * k + 1])
+        for k in range(4):
+            mix(k, 4 + (k + 1) % 4, 8 + (k + 2) % 4, 12 + (k + 3) % 4, m[8 + 2 * k], m[9 + 2 * k])
+        if round_ < 6:
+            m = [m[k] for k in _ORDER]
+    return np.array([s[k] ^ s[k + 8] for k in range(8)])
+
+
+def _turn(x: np.ndarray, left: int) -> np.ndarray:
+    return (x << np.uint32(left)) | (x >> np.uint32(32 - left))
+
+
+def blake3_all(values: list[bytes]) -> list[str]:
+    """BLAKE3 of 256 bits. Every chunk of every value is a lane; parents are folded level by level."""
+    lanes = [(i, at // _CHUNK, v[at : at + _CHUNK], len(v) <= _CHUNK) for i, v in enumerate(values) for at in range(0, max(1, len(v)), _CHUNK)]
+    if not lanes:
+        return []
+    blocks = np.array([max(1, -(-len(x[2]) // _BLOCK)) for x in lanes])
+    counter, alone = np.array([x[1] for x in lanes], np.int64), np.array([x[3] for x in lanes])
+    cv = np.repeat(np.array(_IV, np.uint32)[:, None], len(lanes), axis=1)
+    for b in range(int(blocks.max())):
+        on = np.flatnonzero(blocks > b)
+        parts = [lanes[k][2][b * _BLOCK : (b + 1) * _BLOCK] for k in on]
+        words = np.frombuffer(b"".join(p.ljust(_BLOCK, b"\0") for p in parts), "<u4").reshape(-1, 16).T.astype(np.uint32)
+        last = blocks[on] == b + 1
+        flags = (_START if b == 0 else 0) | np.where(last, _END, 0) | np.where(last & alone[on], _ROOT, 0)
+        cv[:, on] = _compress(cv[:, on], words, counter[on], np.array([len(p) for p in parts]), flags)
+    own: list[list[np.ndarray]] = [[] for _ in values]
+    for k, lane in enumerate(lanes):
+        own[lane[0]].append(cv[:, k])
+    while pairs := [(i, j) for i, nodes in enumerate(own) if len(nodes) > 1 for j in range(0, len(nodes) - 1, 2)]:
+        words = np.array([np.concatenate([own[i][j], own[i][j + 1]]) for i, j in pairs], np.uint32).T
+        start = np.repeat(np.array(_IV, np.uint32)[:, None], len(pairs), axis=1)
+        flags = np.array([_PARENT | (_ROOT if len(own[i]) == 2 else 0) for i, _ in pairs])
+        folded = _compress(start, words, np.zeros(len(pairs), np.int64), np.full(len(pairs), _BLOCK), flags)
+        above: dict[int, list[np.ndarray]] = {}
+        for k, (i, _) in enumerate(pairs):
+            above.setdefault(i, []).append(folded[:, k])
+        for i, nodes in above.items():
+            own[i] = nodes + (own[i][-1:] if len(own[i]) % 2 else [])
+    return [nodes[0].astype("<u4").tobytes().hex() for nodes in own]
+
+
+def murmur3_32(c: Column, seed: int = 0) -> Column:
+    """32-bit murmur3 of the value's bytes as a number from 0; null for null."""
+
+    @F.arrow_udf("bigint")
+    def run(raw: pa.Array) -> pa.Array:
+        values = raw.to_pylist()
+        found = iter(murmur3_all([v for v in values if v is not None], seed).tolist())
+        return pa.array([None if v is None else next(found) for v in values], pa.int64())
+
+    return run(c.cast("binary"))
+
+
+def murmur3_all(values: list[bytes], seed: int = 0) -> np.ndarray:
+    h = np.full(len(values), seed, np.uint32)
+    size = np.array([len(v) for v in values], np.uint32)
+    whole = size // 4
+
+    def scrambled(k: np.ndarray) -> np.ndarray:
+        return _turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+    for b in range(int(whole.max(initial=0))):
+        on = np.flatnonzero(whole > b)
+        k = np.frombuffer(b"".join(values[i][4 * b : 4 * b + 4] for i in on), "<u4").astype(np.uint32)
+        h[on] = _turn(h[on] ^ scrambled(k), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    tails = np.frombuffer(b"".join(v[len(v) // 4 * 4 :].ljust(4, b"\0") for v in values), "<u4").astype(np.uint32)
+    h ^= np.where(size % 4 != 0, scrambled(tails), np.uint32(0))
+    h ^= size
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h ^ (h >> np.uint32(16))
+
+
 def vector_hash(v: Column, precision: float = 1e-3) -> Column:
     """SHA-256 of the components as whole multiples of ``precision``."""
     steps = F.transform(v.cast("array<double>"), lambda x: F.floor(x * round(1 / precision) + 0.5).cast("string"))

@@ -676,17 +676,41 @@ def h1(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", *(hashing.digest(c, k).alias(k) for k in ("md5", "sha1", "sha256")))
 
 
-@query("h2_bloom_filter")
+@query("h1_published_digests", "SELECT kind, true AS right, n AS names FROM (SELECT count(DISTINCT c_name) AS n FROM customer), (VALUES ('blake3'), ('sha512'), ('xxh3')) AS k(kind)")
+def h1_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Published digests of the empty text and of abc, and distinct ones for all names."""
+    # Published digests.
+    known = {
+        "blake3": ("af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"),
+        "sha512": ("cf83e1357eefb8bdf1542850d66d8007d620e4050b5715dc83f4a921d36ce9ce47d0d13c5d85f2b0ff8318d2877eec2f63b931bd47417a81a538327af927da3e", "ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f"),
+        "xxh3": ("c294d3380580062d", "50392f89945faf78"),
+    }
+    names = table(spark, sf, "customer").select(F.col("c_name").alias("x")).distinct()
+    probes = spark.createDataFrame([("",), ("abc",)], "x string")
+    out = []
+    for kind, (empty, abc) in known.items():
+        right = probes.select((hashing.digest(F.col("x"), kind) == F.when(F.col("x") == "", empty).otherwise(abc)).alias("ok")).agg(F.every("ok").alias("right"))
+        counted = names.select(hashing.digest(F.col("x"), kind).alias("d")).agg(F.count_distinct("d").alias("names"))
+        out.append(right.crossJoin(counted).select(F.lit(kind).alias("kind"), "right", "names"))  # one row each
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("h2_bloom_filter", "SELECT count(*) FILTER (c_custkey % 2 = 0) AS members, 0::BIGINT AS missed, true AS few_false FROM customer")
 def h2(spark: SparkSession, sf: str) -> DataFrame:
+    """Members are never missed, and others rarely taken for members."""
     df = table(spark, sf, "customer")
     bloom = hashing.Bloom.build(df.filter("c_custkey % 2 = 0"), "c_name", 2_000)
-    return df.select((F.col("c_custkey") % 2).alias("odd"), bloom.might_contain(F.col("c_name")).alias("hit")).groupBy("odd", "hit").agg(F.count(F.lit(1)).alias("n"))
+    hit, member = bloom.might_contain(F.col("c_name")), F.col("c_custkey") % 2 == 0
+    return df.select(hit.alias("hit"), member.alias("member")).agg(F.count_if("member").alias("members"), F.count_if(F.col("member") & ~F.col("hit")).alias("missed"), (F.count_if(~F.col("member") & F.col("hit")) <= 0.05 * F.count_if(~F.col("member"))).alias("few_false"))
 
 
-@query("h3_consistent_ring")
+@query("h3_consistent_ring", "SELECT count(*) AS keys, 4::BIGINT AS nodes, true AS spread, true AS stable FROM customer")
 def h3(spark: SparkSession, sf: str) -> DataFrame:
-    ring = hashing.Ring(["a", "b", "c", "d"])
-    return table(spark, sf, "customer").select(ring.node_of(F.col("c_name")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    """Keys spread over the nodes; when a node goes, only its keys move."""
+    before, after = hashing.Ring(["a", "b", "c", "d"]), hashing.Ring(["a", "b", "c"])
+    df = table(spark, sf, "customer").select(before.node_of(F.col("c_name")).alias("x"), after.node_of(F.col("c_name")).alias("y"))
+    sizes = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.every((F.col("x") == "d") | (F.col("x") == F.col("y"))).alias("same"))
+    return sizes.agg(F.sum("n").alias("keys"), F.count("x").alias("nodes"), (F.max("n") <= 0.5 * F.sum("n")).alias("spread"), F.every("same").alias("stable"))
 
 
 @query("h4_vector_hash", f"WITH {_E} SELECT id, sha256(list_aggregate(list_transform(v, lambda x: CAST(CAST(floor(x * 100 + 0.5) AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS hash FROM e")
@@ -742,6 +766,30 @@ def i14(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "n int, dim int, lists int, subvectors int, bits int")
 
 
-@query("h5_murmur_buckets")
+_MUL32 = "(({0}) * {1}::HUGEINT) % 4294967296"
+_ROT32 = "(({0}) * {1} % 4294967296 + ({0}) // {2})"
+
+
+def _murmur_sql() -> str:
+    """The hash step by step in whole numbers of 128 bits, for names in ASCII."""
+    word = "list_reduce(list_transform(range(0, 4), lambda j: coalesce(ascii(substr(c_name, 4 * i + j + 1, 1)), 0)::HUGEINT * CAST(power(256, j) AS HUGEINT)), lambda a, b: a + b)"
+    fold = [("k1", _MUL32.format("w", 0xCC9E2D51)), ("k2", _ROT32.format("k1", 32768, 131072)), ("k3", _MUL32.format("k2", 0x1B873593))]
+    scrambled = "x"
+    for name, step in fold:
+        scrambled = step.replace(name.replace(name[-1], str(int(name[-1]) - 1)) if name != "k1" else "w", f"({scrambled})")
+    mixed = f"xor(h, ({scrambled}))"
+    rotated = f"({mixed} * 8192 % 4294967296 + {mixed} // 524288)"
+    final = "xor(h, length(c_name)::HUGEINT)"
+    for shift, factor in ((65536, 0x85EBCA6B), (8192, 0xC2B2AE35)):
+        final = f"(xor(({final}), ({final}) // {shift}) * {factor}::HUGEINT) % 4294967296"
+    final = f"xor(({final}), ({final}) // 65536)"
+    words = f"list_transform(range(0, length(c_name) // 4), lambda i: {word})"
+    tail = f"(SELECT {word.replace('4 * i', '4 * (length(c_name) // 4)')})"
+    return f"""WITH b AS (SELECT c_custkey, c_name, list_reduce(list_prepend(0::HUGEINT, {words}), lambda h, x: ({rotated} * 5 + 3864292196) % 4294967296) AS h, {tail} AS x FROM customer),
+    t AS (SELECT c_custkey, c_name, CASE WHEN length(c_name) % 4 > 0 THEN {mixed} ELSE h END AS h FROM b)
+    SELECT c_custkey, ({final})::BIGINT AS hash FROM t"""
+
+
+@query("h5_murmur3_32", _murmur_sql())
 def h5(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(F.pmod(F.hash("c_name"), F.lit(16)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "customer").select("c_custkey", hashing.murmur3_32(F.col("c_name")).alias("hash"))
