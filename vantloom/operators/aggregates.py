@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,32 +58,46 @@ def moment_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.skewness(column).alias("skewness"), F.kurtosis(column).alias("kurtosis"))
 
 
-def order_statistics(df: DataFrame, column: str, at: dict[str, float], accuracy: int = 10_000) -> dict[str, float]:
+def order_statistics(df: DataFrame, column: str, at: dict[str, float], accuracy: int = 10_000, bound: int = 100_000) -> dict[str, float]:
     """Exact sorted[floor(q * n)] for each named q, without sorting the column.
 
-    An approximate percentile brackets each rank; the values below a bracket are only counted,
-    and those within it, a ten-thousandth of the rows or so, are grouped and ranked.
+    Approximate percentiles narrow each rank's bracket, to a ten-thousandth or so a round and all
+    brackets in one pass, until ``bound`` rows or one value are left; those are grouped and come back.
     """
     df = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n = df.count()
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
     if not n:
         return dict.fromkeys(at)
-    margin = 2.0 / accuracy
-    edges = [min(1.0, max(0.0, q + d)) for q in at.values() for d in (-margin, margin)]
-    found = df.agg(F.percentile_approx("x", edges, accuracy).alias("p"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    # name: lowest and highest value of the bracket, rows below it, rows within it
+    box = {name: (lo, hi, 0, n) for name in at}
+    rank = {name: min(int(q * n), n - 1) for name, q in at.items()}
+    stuck: set[str] = set()
+    inside = lambda b: F.col("x").between(b[0], b[1])
+    while open_ := [k for k, (a, b, _, m) in box.items() if m > bound and a < b and k not in stuck]:
+        ask = []
+        for k in open_:
+            _, _, below, m = box[k]
+            q, margin = (rank[k] - below) / m, 2.0 / accuracy
+            ask.append(F.percentile_approx(F.when(inside(box[k]), F.col("x")), [max(0.0, q - margin), min(1.0, q + margin)], accuracy))
+        cuts = df.agg(*ask).first()
+        counts = df.agg(*(c for a, b in cuts for c in (F.count_if(F.col("x") < a), F.count_if(F.col("x").between(a, b))))).first()
+        for j, k in enumerate(open_):
+            new = (*cuts[j], counts[2 * j], counts[2 * j + 1])
+            if new[2] <= rank[k] < new[2] + new[3] and new[:2] != box[k][:2]:
+                box[k] = new
+            else:
+                stuck.add(k)
+    wanted = functools.reduce(lambda a, b: a | b, [inside(b) for b in box.values() if b[0] < b[1]], F.lit(False))
+    values = df.filter(wanted).groupBy("x").count().orderBy("x").collect()
     out = {}
-    for k, (name, q) in enumerate(at.items()):
-        rank = min(int(q * n), n - 1)
-        low, high = found["p"][2 * k], found["p"][2 * k + 1]
-        below = df.filter(F.col("x") < low).count()
-        if below > rank:
-            low, below = found["lo"], 0
-        inside = df.filter(F.col("x").between(low, found["hi"] if rank == n - 1 else high)).groupBy("x").count()
-        upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        hit = inside.withColumn("c", F.sum("count").over(upto)).filter(F.col("c") > rank - below).orderBy("x").limit(1).collect()
-        if not hit:  # the bracket ended short of the rank
-            hit = df.filter(F.col("x") >= low).groupBy("x").count().withColumn("c", F.sum("count").over(upto)).filter(F.col("c") > rank - below).orderBy("x").limit(1).collect()
-        out[name] = hit[0]["x"]
+    for k, (a, b, below, _) in box.items():
+        out[k] = a
+        for r in values if a < b else ():
+            if a <= r["x"] <= b:
+                out[k] = r["x"]
+                below += r["count"]
+                if below > rank[k]:
+                    break
     return out
 
 
@@ -219,7 +234,7 @@ def shard(df: DataFrame, how: str, column: str, shards: int | None = None, seed:
         s = df.agg(F.struct(F.min(c).cast("double").alias("a"), F.max(c).cast("double").alias("b"))).scalar()
         width = (s["b"] - s["a"]) / count
         return df.withColumn("shard", F.when(width == 0, 0).otherwise(F.least(F.floor((c - s["a"]) / width), F.lit(count - 1))).cast("int"))
-    values = df.select(column).distinct().withColumn("shard", (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    values = with_rank(df.filter(c.isNotNull()).select(column).distinct(), [c]).withColumn("shard", F.col("_rank").cast("int")).drop("_rank")
     return df.join(values, column, "left")
 
 

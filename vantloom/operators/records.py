@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vantloom.functions import scalars
 from vantloom.functions.binding import let
-from vantloom.operators import aggregates
+from vantloom.operators import aggregates, text
 
 Stage = Callable[[DataFrame], DataFrame]
 #: Category tables up to this many rows are broadcast.
@@ -188,7 +188,7 @@ def project_to(schema: StructType | list[str]) -> Stage:
 def categories(df: DataFrame, column: str) -> DataFrame:
     """(value, code, n): codes from 0 in the order of the values."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    return aggregates.with_rank(counts, [F.col("value")]).select("value", "n", F.col("_rank").cast("int").alias("code"))
 
 
 def _with_categories(df: DataFrame, column: str, limit: int | None) -> tuple[DataFrame, int]:
@@ -233,15 +233,11 @@ def frequency_encode(column: str) -> Stage:
 def term_counts(column: str, kind: str = "bow") -> Stage:
     """JSON of a text's lower-case words: counts (bow) or shares (tf), keys in order."""
 
-    def counted(words: Column) -> Column:
-        keys = F.array_sort(F.array_distinct(words))
-        count = lambda k: F.size(F.filter(words, lambda w: w == k))
-        value = count if kind == "bow" else (lambda k: count(k) / F.size(words))
-        return F.to_json(F.map_from_arrays(keys, F.transform(keys, value)))
-
     def run(df: DataFrame) -> DataFrame:
         words = F.filter(F.split(F.lower(F.col(column)), r"\s+"), lambda w: w != "")
-        return df.withColumn(f"{column}_{kind}", let(words, counted))
+        made = df.withColumn("_terms", text.counted(words))
+        counts = F.col("_terms.n") if kind == "bow" else let(F.aggregate("_terms.n", F.lit(0), lambda a, n: a + n), lambda total: F.transform("_terms.n", lambda n: n / total))
+        return made.withColumn(f"{column}_{kind}", F.to_json(F.map_from_arrays("_terms.k", counts))).drop("_terms")
 
     return run
 

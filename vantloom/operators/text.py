@@ -1,22 +1,27 @@
 """Text operators: cleaners, normalisers, tokenizers, filters, weights, statistics, features.
 
-Everything but Unicode normal forms is built-in functions. Corpus statistics are grouped
+Unicode normal forms, item counts and the statistics of a text run over Arrow batches, the rest is
+built-in functions. Corpus statistics are grouped
 counts in long form, (document, term, weight), joined by term; nothing has a column a term.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantloom.functions import words as W
 from vantloom.functions.binding import let
-from vantloom.runtime import ship
+from vantloom.runtime import checkpoint, ship
 
 #: ASCII white space; the same set in every engine that checks these operators.
 BLANK = r"[ \t\n\x0B\f\r]+"
@@ -178,7 +183,8 @@ def filter_by_frequency(df: DataFrame, tokens: str, id_col: str, low: int | None
     """(id, tokens): tokens whose count in the corpus lies within the bounds, in their order."""
     at = df.select(id_col, F.posexplode(tokens).alias("p", "w"))
     counts = at.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.filter((F.lit(True) if low is None else F.col("n") >= low) & (F.lit(True) if high is None else F.col("n") <= high))
+    # Written first: a word of every document is then a key that the join's exchanges can split.
+    counts = checkpoint(counts.filter((F.lit(True) if low is None else F.col("n") >= low) & (F.lit(True) if high is None else F.col("n") <= high)))
     kept = at.join(counts, "w").groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "w"))), lambda s: s["w"]).alias(tokens))
     return df.select(id_col).join(kept, id_col, "left").withColumn(tokens, F.coalesce(tokens, F.array().cast("array<string>")))
 
@@ -203,27 +209,29 @@ def tfidf(df: DataFrame, id_col: str, tokens: Column, *, tf: str = "raw", idf: s
     """(id, term, weight). min_df below 1 and max_df up to 1 are shares of the documents.
 
     The vocabulary is cut by document frequency, ties by term. One shuffle counts terms of
-    documents, one counts documents of terms; the vocabulary joins back by term.
+    documents, one counts documents of terms; the vocabulary joins back by term. Both are written
+    before that join, so a term of every document is a key that adaptive execution splits; lengths
+    are sums over a document's own rows.
     """
-    counts = term_counts(df, id_col, tokens)
+    counts = checkpoint(term_counts(df, id_col, tokens))
     n = df.agg(F.count(F.lit(1))).scalar()
     low = F.ceil(n * min_df) if min_df < 1 else F.lit(int(min_df))
     high = F.floor(n * max_df) if max_df <= 1 else F.lit(int(max_df))
-    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= low) & (F.col("df") <= high))
+    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    trivial = min_df == 1 and max_df == 1.0  # every term's document frequency lies within
+    vocabulary = vocabulary if trivial else vocabulary.filter((F.col("df") >= low) & (F.col("df") <= high))
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("df"), "term").limit(max_features)
-    weighted = counts.join(vocabulary, "term")
-    base = {"raw": F.col("n").cast("double"), "binary": F.lit(1.0), "sublinear": 1 + F.log("n")}
-    if tf == "share":
-        size = counts.groupBy(id_col).agg(F.sum("n").alias("size"))
-        weighted = weighted.join(size, id_col)
-        base["share"] = F.col("n") / F.col("size")
+    own = Window.partitionBy(id_col)
+    counts = counts.withColumn("size", F.sum("n").over(own)) if tf == "share" else counts
+    weighted = counts if trivial and idf is None and max_features is None else counts.join(checkpoint(vocabulary), "term")
+    base = {"raw": F.col("n").cast("double"), "binary": F.lit(1.0), "sublinear": 1 + F.log("n"), "share": F.col("n") / F.col("size") if tf == "share" else None}
     out = weighted.select(id_col, "term", (base[tf] * (IDF[idf](n.cast("double"), F.col("df").cast("double")) if idf else F.lit(1.0))).alias("weight"))
     if norm is None:
         return out
-    length = {"l2": F.sqrt(F.sum(F.col("weight") * F.col("weight"))), "l1": F.sum(F.abs("weight"))}[norm]
-    lengths = out.groupBy(id_col).agg(length.alias("length"))
-    return out.join(lengths, id_col).select(id_col, "term", F.when(F.col("length") == 0, F.col("weight")).otherwise(F.col("weight") / F.col("length")).alias("weight"))
+    length = {"l2": F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(own)), "l1": F.sum(F.abs("weight")).over(own)}[norm]
+    out = out.withColumn("length", length)
+    return out.select(id_col, "term", F.when(F.col("length") == 0, F.col("weight")).otherwise(F.col("weight") / F.col("length")).alias("weight"))
 
 
 def bag_of_words(df: DataFrame, id_col: str, tokens: Column, **kw) -> DataFrame:
@@ -236,10 +244,24 @@ def word_frequency(df: DataFrame, tokens: Column) -> DataFrame:
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
+@F.arrow_udf("struct<k:array<string>,n:array<int>>")
+def _counted(items: pa.Array) -> pa.Array:
+    """Distinct items of each list, in order, and how often each stands there; one pass over a list."""
+    out = []
+    for row in items.to_pylist():
+        counts = sorted(Counter(x for x in row if x is not None).items()) if row is not None else []
+        out.append(None if row is None else {"k": [k for k, _ in counts], "n": [n for _, n in counts]})
+    return pa.array(out, pa.struct([("k", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))]))
+
+
+def counted(items: Column) -> Column:
+    """Struct k, n: distinct items of an array of strings in order, and their counts."""
+    return _counted(items)
+
+
 def char_frequency(c: Column) -> Column:
-    """Map of each character of a text to its share; a pass over the text for each distinct character."""
-    share = lambda k: (F.length(c) - F.length(F.replace(c, k, F.lit("")))) / F.length(c)
-    return let(F.array_sort(F.array_distinct(TOKENIZERS["character"](c))), lambda keys: F.map_from_arrays(keys, F.transform(keys, share)))
+    """Map of each character of a text to its share; one pass over the text."""
+    return let(counted(TOKENIZERS["character"](c)), lambda x: F.map_from_arrays(x["k"], F.transform(x["n"], lambda n: n / F.length(c))))
 
 
 # -- Statistics and features ------------------------------------------------------------------
@@ -257,36 +279,64 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def text_stats(c: Column) -> Column:
-    """Struct of fourteen statistics, scaled."""
-    sentences = F.filter(F.split(c, "[.?!]"), lambda s: F.regexp_count(s, F.lit(SOLID)) > 0)
-    return let(F.struct(words(c).alias("w"), F.transform(sentences, lambda s: F.regexp_count(s, F.lit(SOLID))).alias("s")), lambda x: _stats(c, x["w"], x["s"]))
-
-
-def _stats(c: Column, w: Column, sentence_words: Column) -> Column:
-    n_words, n_chars, n_sentences = F.size(w), F.length(c), F.size(sentence_words)
-    n_lines = F.size(F.split(F.regexp_replace(c, "\n$", ""), "\n"))
-    lengths = F.transform(w, F.length)
-    mean = _ratio(_total(lengths), n_words)
-    squares = _ratio(_total(F.transform(lengths, lambda x: x * x)), n_words)
-    unique = _ratio(F.size(F.array_distinct(F.transform(w, F.lower))), n_words)
-    stops = F.size(F.filter(w, lambda x: F.lower(x).isin(*W.STOPWORDS)))
-    return F.struct(
-        (n_chars / 1000).alias("chars"),
-        (n_words / 100).alias("words"),
-        (n_sentences / 10).alias("sentences"),
-        (n_lines / 10).alias("lines"),
-        mean.alias("word_length"),
-        unique.alias("unique_ratio"),
-        (_ratio(_total(sentence_words), n_sentences) / 20).alias("sentence_words"),
-        _ratio(stops, n_words).alias("stopword_ratio"),
-        _ratio(count(c, PUNCTUATION), n_chars).alias("punctuation_ratio"),
-        _ratio(count(c, r"\p{Lu}"), n_chars).alias("upper_ratio"),
-        _ratio(count(c, "[0-9]"), n_chars).alias("digit_ratio"),
-        unique.alias("diversity"),
-        F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)).alias("word_length_std"),
-        _ratio(count(c, r"[^\p{L}\p{N}\s!-/:-@\[-`{-~]"), n_chars).alias("special_ratio"),
+STATS = ("chars", "words", "sentences", "lines", "word_length", "unique_ratio", "sentence_words", "stopword_ratio", "punctuation_ratio", "upper_ratio", "digit_ratio", "diversity", "word_length_std", "special_ratio")
+
+
+@F.arrow_udf(", ".join(f"{name} double" for name in STATS))
+def _text_stats(texts: pa.Array) -> pa.Array:
+    """All statistics of a batch from flat arrays: words are split, measured and numbered once."""
+    n = len(texts)
+    known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+    texts = pc.fill_null(texts, "")
+    as_numbers = lambda x: np.asarray(pc.cast(x, pa.int64()))
+    split = pc.split_pattern_regex(texts, r"[ \t\n\x0B\f\r]+")
+    doc, word = np.asarray(pc.list_parent_indices(split)), pc.list_flatten(split)
+    length = as_numbers(pc.utf8_length(word))
+    real = length > 0
+    doc, word, length = doc[real], word.filter(pa.array(real)), length[real]
+    n_words = np.bincount(doc, minlength=n)
+    total, squares = np.bincount(doc, length, n), np.bincount(doc, length * length, n)
+    lower = pc.utf8_lower(word)
+    codes = np.asarray(pc.dictionary_encode(lower).indices).astype(np.int64)
+    unique = np.bincount(np.unique(doc.astype(np.int64) << 32 | codes) >> 32, minlength=n)
+    stops = np.bincount(doc, np.asarray(pc.cast(pc.is_in(lower, pa.array(W.STOPWORDS)), pa.int8())), n)
+    sentence = pc.split_pattern_regex(texts, "[.?!]")
+    of, body = np.asarray(pc.list_parent_indices(sentence)), pc.list_flatten(sentence)
+    in_sentence = as_numbers(pc.count_substring_regex(body, SOLID))
+    n_sentences = np.bincount(of[in_sentence > 0], minlength=n)
+    spoken = np.bincount(of, in_sentence, n)
+    lines = 1 + as_numbers(pc.count_substring(texts, "\n")) - np.asarray(pc.cast(pc.ends_with(texts, "\n"), pa.int64()))
+    chars = as_numbers(pc.utf8_length(texts))
+
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros(n), where=b != 0)
+
+    def share(pattern: str) -> np.ndarray:
+        return ratio(as_numbers(pc.count_substring_regex(texts, pattern)), chars)
+
+    mean, variety = ratio(total, n_words), ratio(unique, n_words)
+    cells = (
+        chars / 1000,
+        n_words / 100,
+        n_sentences / 10,
+        lines / 10,
+        mean,
+        variety,
+        ratio(spoken, n_sentences) / 20,
+        ratio(stops, n_words),
+        share(PUNCTUATION),
+        share(r"\p{Lu}"),
+        share("[0-9]"),
+        variety,
+        np.sqrt(np.maximum(0.0, ratio(squares, n_words) - mean * mean)),
+        share(r"[^\p{L}\p{N}\s!-/:-@\[-`{-~]"),
     )
+    return pa.StructArray.from_arrays([pa.array(np.asarray(c, float)) for c in cells], list(STATS), mask=pa.array(~known))
+
+
+def text_stats(c: Column) -> Column:
+    """Struct of fourteen statistics, scaled; null for null."""
+    return _text_stats(c)
 
 
 def basic_features(c: Column) -> Column:
@@ -454,16 +504,19 @@ def decode_ids(df: DataFrame, id_col: str, ids: str, vocabulary: DataFrame) -> D
     return at.groupBy(id_col).agg(F.array_join(words_, " ").alias("text"))
 
 
-def topics(df: DataFrame, id_col: str, tokens: Column, k: int = 10, size: int = 2_000, rounds: int = 10, seed: int = 42) -> DataFrame:
-    """(id, topics array<double>): topic shares by latent Dirichlet allocation over the commonest terms."""
+def topics(df: DataFrame, id_col: str, tokens: Column, k: int = 10, buckets: int = 1 << 16, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """(id, topics array<double>): topic shares by latent Dirichlet allocation over all terms, hashed to ``buckets``.
+
+    Every term counts; what the driver holds is k x buckets numbers. A text without terms has equal shares.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    listed = df.select(id_col, tokens.alias("tokens"))
-    counted = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size).fit(listed).transform(listed)
-    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counted)
-    return model.transform(counted).select(id_col, vector_to_array("topicDistribution").alias("topics"))
+    listed = df.select(id_col, F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=buckets).transform(listed)
+    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(hashed)
+    return model.transform(hashed).select(id_col, vector_to_array("topicDistribution").alias("topics"))
 
 
 # Mean text lengths at which the method of feature extraction changes.
