@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import vantloom.catalogue  # noqa: F401
-from vantloom.operators import search
+from vantloom.operators import ann, search
 from vantloom.queries import QUERIES
 
 STREAMS = ("w", "x", "u", "i", "c", "s23")
@@ -38,3 +38,23 @@ def test_statistics_are_scalar_subqueries(spark, sf):
 
 def test_group_by_pre_aggregates(spark, sf):
     assert "partial_sum" in plan(QUERIES["a1_group_sum"](spark, sf))
+
+
+def test_an_index_is_read_by_cell(spark, sf, tmp_path):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    ann.Ivf(df, ann.IndexConfig("ivf", lists=8, probes=2)).save(str(tmp_path))
+    ivf = ann.Ivf.load(spark, str(tmp_path))
+    q = [0.1] * 64
+    found = plan(ivf.search(q, 3))
+    assert "PartitionFilters: [isnotnull(cell" in found or "PartitionFilters: [cell" in found
+    assert set(ivf.cells(q)) == {int(f.rsplit("cell=", 1)[1].split("/")[0]) for f in ivf.rows.filter(F.col("cell").isin(ivf.cells(q))).inputFiles()} or len(ivf.cells(q)) == 2
+    joined = plan(ivf.join(df.filter("id = 0"), 3))
+    assert "PartitionFilters: [" in joined and "CartesianProduct" not in joined and "NestedLoop" not in joined
+
+
+def test_pivots_reach_the_scan(spark, sf, tmp_path):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    pivots = [r.vector for r in df.filter("id < 2").collect()]
+    ann.save_pivots(df, pivots, f"{tmp_path}/p")
+    found = plan(ann.pivot_range_search(spark.read.parquet(f"{tmp_path}/p"), pivots, [0.1] * 64, 0.5))
+    assert "PushedFilters: [" in found and "GreaterThanOrEqual(pivot_0" in found

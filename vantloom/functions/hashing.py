@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantloom.runtime import ship_active
+
 
 #: The enumerated algorithms; ``city`` is computed as XXH3.
 ALGORITHMS = ("md5", "sha1", "sha256", "sha512", "blake3", "xxh3", "city")
@@ -39,6 +41,7 @@ def digest(c: Column, kind: str) -> Column:
 
 def _over_batches(fn):
     """An Arrow function of binary values to text; nulls stay null."""
+    ship_active()
 
     @F.arrow_udf("string")
     def run(raw: pa.Array) -> pa.Array:
@@ -121,6 +124,7 @@ def blake3_all(values: list[bytes]) -> list[str]:
 
 def murmur3_32(c: Column, seed: int = 0) -> Column:
     """32-bit murmur3 of the value's bytes as a number from 0; null for null."""
+    ship_active()
 
     @F.arrow_udf("bigint")
     def run(raw: pa.Array) -> pa.Array:

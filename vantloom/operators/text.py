@@ -18,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from vantloom.functions import kernels
 from vantloom.functions import words as W
 from vantloom.functions.binding import let
-from vantloom.runtime import checkpoint, ship
+from vantloom.runtime import checkpoint, ship, ship_active
 
 #: ASCII white space; the same set in every engine that checks these operators.
 BLANK = r"[ \t\n\x0B\f\r]+"
@@ -244,7 +246,7 @@ def word_frequency(df: DataFrame, tokens: Column) -> DataFrame:
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
-@F.arrow_udf("struct<k:array<string>,n:array<int>>")
+@F.arrow_udf(StructType([StructField("k", ArrayType(StringType())), StructField("n", ArrayType(IntegerType()))]))
 def _counted(items: pa.Array) -> pa.Array:
     """Distinct items of each list, in order, and how often each stands there; one pass over a list."""
     out = []
@@ -256,6 +258,7 @@ def _counted(items: pa.Array) -> pa.Array:
 
 def counted(items: Column) -> Column:
     """Struct k, n: distinct items of an array of strings in order, and their counts."""
+    ship_active()
     return _counted(items)
 
 
@@ -282,7 +285,7 @@ def _total(a: Column) -> Column:
 STATS = ("chars", "words", "sentences", "lines", "word_length", "unique_ratio", "sentence_words", "stopword_ratio", "punctuation_ratio", "upper_ratio", "digit_ratio", "diversity", "word_length_std", "special_ratio")
 
 
-@F.arrow_udf(", ".join(f"{name} double" for name in STATS))
+@F.arrow_udf(StructType([StructField(name, DoubleType()) for name in STATS]))
 def _text_stats(texts: pa.Array) -> pa.Array:
     """All statistics of a batch from flat arrays: words are split, measured and numbered once."""
     n = len(texts)
@@ -336,6 +339,7 @@ def _text_stats(texts: pa.Array) -> pa.Array:
 
 def text_stats(c: Column) -> Column:
     """Struct of fourteen statistics, scaled; null for null."""
+    ship_active()
     return _text_stats(c)
 
 
@@ -466,6 +470,16 @@ def most_similar(df: DataFrame, query: str, text_col: str, id_col: str, k: int)
     return df.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def batch_similarity(df: DataFrame, query: Column, vector_col: str, id_col: str, metric: str = "cosine") -> DataFrame:
+    """(id, score): every candidate's similarity with the query."""
+    return df.select(id_col, kernels.COLLECTION_SCORE[metric](F.col(vector_col), query).alias("score"))
+
+
+def find_most_similar(df: DataFrame, query: Column, vector_col: str, id_col: str, k: int, metric: str = "cosine") -> DataFrame:
+    """(id, score): the k candidates of the highest similarity, ties by id."""
+    return batch_similarity(df, query, vector_col, id_col, metric).orderBy(F.desc("score"), id_col).limit(k)
+
+
 def prepare(df: DataFrame) -> DataFrame:
     """``df``, with this package on the executors for the functions that need Python there."""
     ship(df.sparkSession)

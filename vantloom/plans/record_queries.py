@@ -176,9 +176,14 @@ def r21(spark: SparkSession, sf: str) -> DataFrame:
     return R.variance_threshold(["l_extendedprice", "l_quantity", "l_discount", "l_tax"], 1.0)(_lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax"))
 
 
-@query("r22_augment")
+@query("r22_augment", "SELECT count(*) AS originals, true AS grown, true AS near FROM customer")
 def r22(spark: SparkSession, sf: str) -> DataFrame:
-    return R.augment(1.5, {"c_acctbal": 0.1})(_customer(spark, sf).select("c_custkey", "c_acctbal")).agg((F.count(F.lit(1)) > 0).alias("grown"))
+    """All rows, and about half as many copies within a tenth of their originals."""
+    own = _customer(spark, sf).select("c_custkey", "c_acctbal")
+    both = R.augment(1.5, {"c_acctbal": 0.1})(own).join(own.select("c_custkey", F.col("c_acctbal").alias("x")), "c_custkey")
+    same, near = F.col("c_acctbal") == F.col("x"), F.abs(F.col("c_acctbal") - F.col("x")) <= 0.1 * F.abs("x") + 1e-9
+    counts = both.agg(F.count_if(same).alias("originals"), F.count(F.lit(1)).alias("all"), F.every(near).alias("near"))
+    return counts.select("originals", F.col("all").between(1.4 * F.col("originals"), 1.6 * F.col("originals")).alias("grown"), "near")
 
 
 @query("r23_declared_steps", "SELECT seg, round(avg(bal), 6) AS bal FROM (SELECT c_mktsegment AS seg, c_acctbal * 2 AS bal FROM customer WHERE c_acctbal > 100) GROUP BY seg")
@@ -336,9 +341,11 @@ def a15_feature(spark: SparkSession, sf: str) -> DataFrame:
     return A.shard(_orders(spark, sf), "feature", "o_orderpriority").select("o_orderkey", "shard")
 
 
-@query("a15_shard_hash")
+@query("a15_shard_hash", "SELECT count(*) AS n, 8::BIGINT AS shards, true AS even FROM orders")
 def a15_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return A.shard(_orders(spark, sf), "hash", "o_orderkey", 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    """Every row has a shard, and shards are of like size."""
+    sizes = A.shard(_orders(spark, sf), "hash", "o_orderkey", 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("n"), F.count("shard").alias("shards"), (F.max("n") < 1.3 * F.min("n")).alias("even"))
 
 
 @query("a16_batches", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders")

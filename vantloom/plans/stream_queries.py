@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantloom import api
 from vantloom.functions import dsl
 from vantloom.queries import query
 from vantloom.runtime import scratch, ship, table
+from vantloom.operators import database
 from vantloom.sources import files
-from vantloom.streaming import streams
+from vantloom.streaming import http_lines, streams
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +44,8 @@ def _ran(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 def w1(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch(spark, "csv")
     files.write(_events(spark, sf).select("event_id", "user_id", "event_type"), out, "csv", header=True)
-    return _ran(spark, streams.file_stream(spark, out, "event_id bigint, user_id bigint, event_type string", "csv", 4, header=True), "append")
+    stream = streams.file_stream(spark, out, "event_id bigint, user_id bigint, event_type string", "csv", 4, header=True)
+    return streams.run_to_files(stream, scratch(spark, "rows"), scratch(spark, "checkpoint"))
 
 
 @query("x12_json_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -51,6 +56,43 @@ def x12(spark: SparkSession, sf: str) -> DataFrame:
     return _ran(spark, found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
 
 
+class _Lines(BaseHTTPRequestHandler):
+    """Serves one text by byte ranges."""
+
+    body = b""
+
+    def do_HEAD(self) -> None:
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(self.body)))
+        self.end_headers()
+
+    def do_GET(self) -> None:
+        a, b = (int(x) for x in self.headers["Range"].removeprefix("bytes=").split("-"))
+        part = self.body[a : b + 1]
+        self.send_response(206)
+        self.send_header("Content-Length", str(len(part)))
+        self.end_headers()
+        self.wfile.write(part)
+
+    def log_message(self, *args) -> None:
+        pass
+
+
+@query("x12_http_stream", "SELECT event_type, count(*) AS n FROM events WHERE event_id < 2000 GROUP BY event_type")
+def x12_http(spark: SparkSession, sf: str) -> DataFrame:
+    """The first events from a server of this process, as a stand-in for a remote one."""
+    rows = _events(spark, sf).filter("event_id < 2000").select(F.to_json(F.struct("event_id", "event_type")).alias("j")).collect()
+    handler = type("Lines", (_Lines,), {"body": "".join(r.j + "\n" for r in rows).encode()})
+    server = ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        stream = http_lines.http_stream(spark, f"http://127.0.0.1:{server.server_address[1]}/events", "event_id bigint, event_type string", chunk=10_000)
+        found = streams.run_to_files(stream, scratch(spark, "rows"), scratch(spark, "checkpoint"))
+    finally:
+        server.shutdown()
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("w2_batch_processor", "SELECT event_type, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type")
 def w2(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch(spark, "processed")
@@ -106,6 +148,38 @@ def _round_trip(name: str, kind: str, **options) -> None:
         return readers[kind]()
 
 
+def _text_round_trip(name: str, write, read) -> None:
+    @query(name, "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS c_acctbal, c_custkey % 2 = 0 AS even FROM customer")
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        out = scratch(spark, name)
+        write(table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS c_acctbal", "c_custkey % 2 = 0 AS even"), out)
+        return read(spark, out, "c_custkey bigint, c_name string, c_acctbal double, even boolean")
+
+
+_text_round_trip("x7_yaml_round_trip", files.write_yaml, files.read_yaml)
+_text_round_trip("x7_toml_round_trip", files.write_toml, files.read_toml)
+
+
+@query("x16_api_calls", "SELECT 1 AS step, 201 AS status, 'p2' AS seen UNION ALL SELECT 2, 200, '3' UNION ALL SELECT 3, 200, 'a' UNION ALL SELECT 4, 200, '1' UNION ALL SELECT 5, 404, 'none' UNION ALL SELECT 6, 200, '2'")
+def x16(spark: SparkSession, sf: str) -> DataFrame:
+    """Create a collection, add vectors, search, delete, ask for what is gone, count."""
+    calls = api.Api(database.VectorDb(spark, scratch(spark, "api")), 2)
+    vectors = [{"id": "a", "vector": [1, 0]}, {"id": "b", "vector": [0, 1]}, {"id": "c", "vector": [1, 1], "metadata": {"k": 1}}]
+    asked = [
+        ("POST", "/collections", {"name": "p2", "dimension": 2}, lambda r: r["name"]),
+        ("POST", "/collections/p2/batch", {"operations": [{"op": "insert", "vectors": vectors}]}, lambda r: r["results"][0]["inserted"]),
+        ("POST", "/collections/p2/search", {"vector": [2, 0.1], "top_k": 1}, lambda r: r["results"][0]["id"]),
+        ("DELETE", "/collections/p2/vectors/a", None, lambda r: r["deleted"]),
+        ("GET", "/collections/p2/vectors/a", None, lambda r: "none" if "error" in r else "found"),
+        ("GET", "/collections/p2/stats", None, lambda r: r["vectors"]),
+    ]
+    rows = []
+    for step, (method, path, body, seen) in enumerate(asked, 1):
+        status, found = calls.handle(method, f"/api/v1{path}", body)
+        rows.append((step, status, str(seen(found))))
+    return spark.createDataFrame(rows, "step int, status int, seen string")
+
+
 _round_trip("x1_csv_round_trip", "csv", header=True, sep=";")
 _round_trip("x2_json_round_trip", "json")
 _round_trip("x3_parquet_round_trip", "parquet")
@@ -172,11 +246,13 @@ def x14(spark: SparkSession, sf: str) -> DataFrame:
     return back.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("f") > 1).alias("split"))
 
 
-@query("w4_stream_progress", "SELECT count(*) AS rows, 0 AS errors FROM events")
+@query("w4_stream_progress", "SELECT count(*) AS rows, 0 AS errors, true AS timed FROM events")
 def w4(spark: SparkSession, sf: str) -> DataFrame:
     p = streams.Processor(lambda batch, number: None)
     p.start(_stream(spark, sf), scratch(spark, "checkpoint")).awaitTermination()
-    return spark.createDataFrame([(p.progress.rows, p.progress.errors)], "rows bigint, errors int")
+    g = p.progress
+    timed = g.rows_per_second > 0 and 0 < g.mean_ms <= 1000 * g.slowest and g.error_share == 0
+    return spark.createDataFrame([(g.rows, g.errors, timed)], "rows bigint, errors int, timed boolean")
 
 
 # -- User-defined surfaces --------------------------------------------------------------------

@@ -187,8 +187,14 @@ def t19(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t18_topic_model")
 def t18(spark: SparkSession, sf: str) -> DataFrame:
-    weights = T.topics(_docs(spark, sf), "doc_id", T.words(F.lower("text")), k=4)
-    return weights.select("doc_id", F.size("topics").alias("n_topics"))
+    """Each text's topic shares; no SQL, as they come from a fit."""
+    return T.topics(_docs(spark, sf), "doc_id", T.words(F.lower("text")), k=4)
+
+
+@query("t18_topic_shares", "SELECT count(*) AS texts, 4::BIGINT AS topics, true AS whole FROM documents")
+def t18_shares(spark: SparkSession, sf: str) -> DataFrame:
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    return t18(spark, sf).agg(F.count(F.lit(1)).alias("texts"), F.max(F.size("topics")).cast("bigint").alias("topics"), F.every(F.abs(total - 1) < 1e-6).alias("whole"))
 
 
 @query("t22_vocabulary_ids", rf"WITH w AS (SELECT doc_id, {_LOWER} AS w FROM documents), c AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM w) GROUP BY term), v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) + 1 AS id FROM c QUALIFY id <= 501), i AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM w) SELECT doc_id, count(v.id)::BIGINT AS known, sum(coalesce(v.id, 1))::BIGINT AS id_sum FROM i LEFT JOIN v USING (term) GROUP BY doc_id")
@@ -213,6 +219,25 @@ def t26(spark: SparkSession, sf: str) -> DataFrame:
     return none
 
 
+@query("t20_unit_embeddings", "SELECT count(*) AS texts, 16::BIGINT AS dim, true AS unit FROM benchmark")
+def t20_unit(spark: SparkSession, sf: str) -> DataFrame:
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return t20(spark, sf).agg(F.count(F.lit(1)).alias("texts"), F.max(F.size("v")).cast("bigint").alias("dim"), F.every(F.abs(square - 1) < 1e-9).alias("unit"))
+
+
+@query("t4_lemmas", f"SELECT doc_id, list_transform({_WORDS}, lambda x: CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.LEMMAS.items()) + " ELSE x END) AS lemmas FROM documents")
+def t4_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.transform(T.words(F.col("text")), T.lemma).alias("lemmas"))
+
+
+@query("k16_find_most_similar", "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE id = 3) SELECT id, round(1 / (1 + list_distance(v, qv)), 6) AS score FROM e, q ORDER BY 1 / (1 + list_distance(v, qv)) DESC, id LIMIT 15")
+def k16(spark: SparkSession, sf: str) -> DataFrame:
+    """The query against all candidates, by the text vectors' Euclidean similarity, and the best of them."""
+    df = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    own = F.array(*(F.lit(float(x)) for x in df.filter("id = 3").select("v").first()[0]))
+    return T.find_most_similar(df, own, "v", "id", 15, "euclidean").withColumn("score", F.round("score", 6))
+
+
 @query("t20_hash_embeddings")
 def t20(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", T.hash_embedding(T.words(F.lower("text")), 16).alias("v"))

@@ -46,8 +46,8 @@ def _held_out(df: DataFrame) -> DataFrame:
 
 def _held(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: the queries answered, the rows found, and whether 0.9 of the true neighbours are among them."""
-    counts = found.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"))
-    return counts.crossJoin(ann.recall(found, truth).select((F.col("recall") >= 0.9).alias("enough")))  # one row each
+    share = ann.recall(found, truth).scalar()
+    return found.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"), (share >= 0.9).alias("enough"))
 
 
 def _held_sql(k: int) -> str:
@@ -537,8 +537,8 @@ def i16(spark: SparkSession, sf: str) -> DataFrame:
 def _spread(df: DataFrame, clusters: str) -> DataFrame:
     """One row: rows, clusters, and whether rows lie closer to their clusters' means than to the table's."""
     means = vectors.vector_average(df, [clusters]).select(F.col(clusters), F.col("mean").alias("own"))
-    whole = vectors.vector_average(df.withColumn("_all", F.lit(0)), ["_all"]).select(F.col("mean").alias("all"))
-    far = df.join(F.broadcast(means), clusters).crossJoin(whole)  # one row
+    whole = vectors.vector_average(df.withColumn("_all", F.lit(0)), ["_all"]).select("mean").scalar()
+    far = df.join(F.broadcast(means), clusters).withColumn("all", whole)  # a row a cluster
     own, everyone = (F.avg(kernels.euclidean(F.col("vector"), F.col(c)) ** 2) for c in ("own", "all"))
     return far.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(clusters).alias("clusters"), (own < everyone).alias("closer"))
 
@@ -690,8 +690,8 @@ def h1_published(spark: SparkSession, sf: str) -> DataFrame:
     out = []
     for kind, (empty, abc) in known.items():
         right = probes.select((hashing.digest(F.col("x"), kind) == F.when(F.col("x") == "", empty).otherwise(abc)).alias("ok")).agg(F.every("ok").alias("right"))
-        counted = names.select(hashing.digest(F.col("x"), kind).alias("d")).agg(F.count_distinct("d").alias("names"))
-        out.append(right.crossJoin(counted).select(F.lit(kind).alias("kind"), "right", "names"))  # one row each
+        counted = names.select(hashing.digest(F.col("x"), kind).alias("d")).agg(F.count_distinct("d")).scalar()
+        out.append(right.select(F.lit(kind).alias("kind"), "right", counted.alias("names")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

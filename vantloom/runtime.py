@@ -89,6 +89,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def ship_active() -> None:
+    """``ship`` for the session in use, where only a Column is at hand."""
+    ship(SparkSession.active())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

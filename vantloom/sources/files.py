@@ -1,4 +1,4 @@
-"""File sources and sinks: CSV, JSON, Parquet, text, TSV, fixed width, XML, ORC, binary, tensors."""
+"""File sources and sinks: CSV, JSON, Parquet, text, TSV, fixed width, XML, ORC, YAML, TOML, binary, tensors."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -131,6 +132,64 @@ def read_tensors(spark: SparkSession, path: str, dtype: str = "<f4", pattern: st
     return decode_tensors(read_binary(spark, path, pattern), "content", dtype).select("path", "data")
 
 
+def _parsed(spark: SparkSession, path: str, schema: StructType | str, parse: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Rows of whole files: each is parsed by one task, many files by many tasks. Fields go by name."""
+    ship(spark)
+    target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                rows = parse(raw)
+                for at in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_pydict({"json": [json.dumps(r, default=str) for r in rows[at : at + 10_000]]})
+
+    found = read_binary(spark, path).select("content").mapInArrow(run, "json string")
+    return found.select(F.from_json("json", target).alias("r")).select("r.*")
+
+
+def read_yaml(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """YAML files that hold a list of mappings, or one mapping."""
+
+    def parse(raw: bytes) -> list[dict]:
+        import yaml
+
+        found = yaml.safe_load(raw) or []
+        return [r for r in (found if isinstance(found, list) else [found]) if isinstance(r, dict)]
+
+    return _parsed(spark, path, schema, parse)
+
+
+def read_toml(spark: SparkSession, path: str, schema: StructType | str, table: str = "row") -> DataFrame:
+    """TOML files with an array of tables ``[[table]]``; without one, the file is one row."""
+
+    def parse(raw: bytes) -> list[dict]:
+        import tomllib
+
+        found = tomllib.loads(raw.decode())
+        return found[table] if isinstance(found.get(table), list) else [found]
+
+    return _parsed(spark, path, schema, parse)
+
+
+def _scalar(name: str, kind: str):
+    """JSON text of a scalar, which YAML and TOML read alike; null for null. YAML's exponents have a sign."""
+    found = F.regexp_replace(F.to_json(F.struct(F.col(name).alias("x"))), r'^\{("x":)?|\}$', "")
+    return F.regexp_replace(found, r"E(\d)", r"E+$1") if kind in ("double", "float") else found
+
+
+def write_yaml(df: DataFrame, path: str, mode: str = "error") -> None:
+    """A list item a row; nulls are left out."""
+    fields = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), _scalar(c, k))) for c, k in df.dtypes]
+    df.select(F.concat(F.lit("- "), F.concat_ws("\n  ", *fields)).alias("value")).write.mode(mode).text(path)
+
+
+def write_toml(df: DataFrame, path: str, table: str = "row", mode: str = "error") -> None:
+    """A table of the array ``[[table]]`` a row; nulls are left out."""
+    fields = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} = "), _scalar(c, k))) for c, k in df.dtypes]
+    df.select(F.concat(F.lit(f"[[{table}]]\n"), F.concat_ws("\n", *fields)).alias("value")).write.mode(mode).text(path)
+
+
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
     """By format; those without a reader here raise an error that names them."""
     kind = kind or detect_format(spark, path)
@@ -144,6 +203,8 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, **options)
         "text": lambda: read_lines(spark, path),
         "xml": lambda: spark.read.format("xml").options(**options).load(path),
         "binary": lambda: read_binary(spark, path),
+        "yaml": lambda: read_yaml(spark, path, **options),
+        "toml": lambda: read_toml(spark, path, **options),
         "avro": lambda: spark.read.format("avro").load(path),
     }
     if kind not in readers:

@@ -5,6 +5,7 @@ Every aggregate here is a plain DataFrame function that works alike on a batch a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -65,6 +66,23 @@ class Progress:
     rows: int = 0
     errors: int = 0
     messages: list[str] = field(default_factory=list)
+    seconds: float = 0.0
+    slowest: float = 0.0
+    began: float = field(default_factory=time.monotonic)
+
+    @property
+    def mean_ms(self) -> float:
+        """Mean time of a batch."""
+        return 1000 * self.seconds / self.batches if self.batches else 0.0
+
+    @property
+    def rows_per_second(self) -> float:
+        """Rows by the time since the processor was made."""
+        return self.rows / max(1e-9, time.monotonic() - self.began)
+
+    @property
+    def error_share(self) -> float:
+        return self.errors / self.batches if self.batches else 0.0
 
 
 class Processor:
@@ -77,16 +95,19 @@ class Processor:
         self.fn, self.error_budget, self.progress = fn, error_budget, Progress()
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        p = self.progress
+        p, began = self.progress, time.monotonic()
         p.batches += 1
         try:
             self.fn(batch, number)
+            p.rows += batch.count()
         except Exception as e:  # a batch's failure is data here, and is counted
             p.errors += 1
             p.messages.append(str(e)[:200])
             return
-        p.rows += batch.count()
-        if p.errors / p.batches > self.error_budget:
+        finally:
+            took = time.monotonic() - began
+            p.seconds, p.slowest = p.seconds + took, max(p.slowest, took)
+        if p.error_share > self.error_budget:
             raise RuntimeError(f"{p.errors} of {p.batches} batches failed")
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = True):
@@ -94,8 +115,15 @@ class Processor:
         return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Everything that is there goes through the stream into Parquet files, by append; no row comes to the driver."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that is there goes through the stream into an in-memory table; for tests and small results."""
+    """Everything that is there goes through the stream into an in-memory table; for aggregates with few groups."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
