@@ -685,8 +685,10 @@ def nearest_in(points: np.ndarray, m: int, metric: str) -> np.ndarray:
     m = min(m, n - 1)
     out = np.empty((n, m), np.int64)
     step = max(1, PASS_PAIRS // max(1, n))
+    half = (points * points).sum(axis=1) / 2
     for at in range(0, n, step):
-        s = score_matrix(points[at : at + step], points, metric)
+        # For distances one product orders rows as well, to rounding, which is enough for links.
+        s = points[at : at + step] @ points.T - half if metric == "euclidean" else score_matrix(points[at : at + step], points, metric)
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m else np.empty((len(s), 0), np.int64)
         out[at : at + step] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vantloom.functions import words as W
 from vantloom.operators import text as T
 from vantloom.queries import query
-from vantloom.runtime import table
+from vantloom.runtime import spread, table
 from vantloom.streaming import streams
 
 _SOLID = r"[^ \t\n\x0B\f\r]+"
@@ -17,7 +17,7 @@ _LOWER = rf"regexp_extract_all(lower(text), '{_SOLID}')"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return T.prepare(table(spark, sf, "documents").select("doc_id", "text"))
+    return T.prepare(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def _text_query(name: str, sql: str, fn) -> None:

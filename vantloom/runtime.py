@@ -72,6 +72,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly where it is a plain scan of fewer splits than the cluster has cores.
+
+    For work that is heavy by the row. What is moved is small by that rule: fewer splits than cores.
+    A plan with exchanges of its own is left as it is.
+    """
+    made = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in made.executedPlan().nodeName() or "Exchange" in made.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < made.toRdd().getNumPartitions() < cores else df
+
+
 _shipped: set[str] = set()
 
 
