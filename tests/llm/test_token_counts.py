@@ -88,3 +88,20 @@ def test_queries_on_nulls_repeats_and_empty_tables(spark, tok, enc):
     assert sorted(bytes(r.bytes).decode() for r in back) == sorted(t or "" for _, t, _ in rows)
     assert bpe.bpe_digests(docs, *bpe.production_ranks()).count() == len(rows)
     assert bpe.bpe_digests(docs.limit(0), *bpe.production_ranks()).count() == 0
+
+
+def test_queries_on_every_document(spark, sf, tok, enc):
+    """The library on each whole text, and each match of the pattern by itself."""
+    import regex
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    counted = {r.doc_id: r for r in token_counts.op7_token_counts(spark, sf).collect()}
+    coded = {r.doc_id: r for r in bpe.op9_bpe_round_trip(spark, sf).collect()}
+    assert set(counted) == set(coded) == set(docs)
+    for i, text in docs.items():
+        n = len(tok.encode(text, add_special_tokens=False).ids)
+        assert (counted[i].n_bytes, counted[i].n_tokens, counted[i].over_limit) == (len(text.encode()), n, n > 512)
+        ids = [x for m in regex.findall(public_tokenizers.PATTERN, text) for x in enc._encode_single_piece(m)]
+        assert coded[i].n_tokens == len(ids)
+        assert coded[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert coded[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()

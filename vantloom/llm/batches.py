@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from vantloom.runtime import ship
+from vantloom.runtime import ship, spread
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -28,7 +28,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
 
     ``make`` runs once in each Python task (models and vocabularies load there) and returns
     a function that takes one list for each column of ``df`` and returns one list for each
-    column of ``schema``. No shuffle; memory is bounded by one Arrow batch plus one slice.
+    column of ``schema``. Memory is bounded by one Arrow batch plus one slice. No shuffle, but for a
+    scan of fewer splits than the cluster has cores, whose rows are dealt out first.
     """
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
@@ -43,4 +44,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
 
     ship(df.sparkSession)
-    return df.mapInArrow(run, parsed)
+    return spread(df).mapInArrow(run, parsed)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantloom.llm.batches import fresh, map_rows
-from vantloom.runtime import checkpoint, shuffle_width, table
+from vantloom.runtime import checkpoint, shuffle_width, spread, table
 
 BLOCK_WORDS = 5
 #: Holders that a window's documents meet are this many times more each round.
@@ -257,7 +257,7 @@ def _ranked(held: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, th, gone array<boolean>): which lines of which documents go; line numbers beyond the array stay."""
     kind = dict(docs.dtypes)[id_col]
-    lines = checkpoint(_lines(docs, id_col, text_col))
+    lines = checkpoint(_lines(spread(docs.select(id_col, text_col)), id_col, text_col))
     held = lines.groupBy("h", "words").agg(F.min(_key()).alias("first"), F.max(_key()).alias("final"), F.count(F.lit(1)).alias("n"))
     # Written first: a join of two fresh exchanges is one whose crowded lines can be split.
     common = checkpoint(held.filter("first <> final").select("h", "words", "first", "n"))

@@ -26,12 +26,13 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.llm.batches import map_rows
 from vantloom.llm.langid import fold
-from vantloom.runtime import checkpoint, table
+from vantloom.runtime import checkpoint, ship, spread, table
 
 SAMPLE_PER_CLASS = 1_500
 #: Lines that the sample has at most; a document with more than DOCUMENT_LINES teaches nothing, though it is scored.
@@ -330,10 +331,6 @@ def label_lines(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_c
 
 def drop_rejected(docs: DataFrame, field: Field, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score is below the threshold, in one narrow pass."""
-    import pyarrow as pa
-
-    from vantloom.runtime import ship
-
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
     where = docs.columns.index(text_col)
@@ -345,7 +342,7 @@ def drop_rejected(docs: DataFrame, field: Field, *, text_col: str = "text", thre
                 kept = scores(sent.value, [line_codes(t) for t in part.column(where).to_pylist()]) >= threshold
                 yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
