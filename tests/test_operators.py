@@ -169,7 +169,7 @@ def test_files(spark, tmp_path):
     np.array([1.5, 2.5], "<f4").tofile(tmp_path / "t.bin")
     assert files.read_tensors(spark, str(tmp_path / "t.bin")).first().data == [1.5, 2.5]
     with pytest.raises(ValueError, match="no reader"):
-        files.read_any(spark, str(tmp_path / "a.xlsx"))
+        files.read_any(spark, str(tmp_path / "a.xlsx"), "hdf5")
 
 
 def test_error_budget(spark):

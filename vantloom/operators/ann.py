@@ -342,6 +342,23 @@ class Hierarchy(Ivf):
         return out
 
 
+def sharded_join(df: DataFrame, queries: DataFrame, shards: int, k: int, metric: str = "cosine", *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(query_id, rank, id, score): rows routed to shards by id, every query sent to every shard, answers merged."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    asked = asked_of(queries, id_col, vector_col).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return block_search(rows, asked, k, exact_kernel(metric))
+
+
+def best_layer(layers: list[Ivf], sample: DataFrame, k: int, target: float = 0.9) -> Ivf:
+    """Of indexes of several granularities, each tuned to the recall, the one that reads the fewest centroids and rows."""
+
+    def cost(ivf: Ivf) -> float:
+        sizes = [n for n, _ in ivf.stats.values()]
+        return len(ivf.centroids) + ivf.config.probes * sum(sizes) / max(1, len(sizes))
+
+    return min((layer.tuned(sample, k, target) for layer in layers), key=cost)
+
+
 def _bounded_metric(metric: str) -> str:
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"no bounds for metric {metric}")

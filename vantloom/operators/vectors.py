@@ -233,3 +233,57 @@ def agglomerate_cells(df: DataFrame, cells: int, clusters: int, linkage: str = "
     merged = merge_points(centroids, clusters, linkage, np.array([rows.get(k, 0) for k in range(len(centroids))]))
     lookup = F.array(*(F.lit(int(c)) for c in merged))
     return placed.withColumn("cluster", F.get(lookup, F.col("cell")))
+
+
+def nonlinear(v: Column) -> Column:
+    """A vector followed by tanh(2x) and the logistic of x / 2 of each component: what a projection's features gain."""
+    bent = [F.transform(kernels.as_double(v), lambda x: F.tanh(2 * x)), F.transform(kernels.as_double(v), lambda x: 1 / (1 + F.exp(-x / 2)))]
+    return F.concat(kernels.as_double(v), *bent)
+
+
+def _affinities(x: np.ndarray, perplexity: float) -> np.ndarray:
+    """Symmetric neighbour probabilities whose rows have the given perplexity."""
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    p, want = np.zeros_like(d), np.log(perplexity)
+    for i in range(len(x)):
+        near = np.delete(d[i], i) - np.delete(d[i], i).min()
+        low, high, beta = 0.0, np.inf, 1.0
+        for _ in range(60):
+            w = np.exp(-near * beta)
+            entropy = np.log(w.sum()) + beta * (near * w).sum() / w.sum()
+            if abs(entropy - want) < 1e-6:
+                break
+            low, high = (beta, high) if entropy > want else (low, beta)
+            beta = beta * 2 if high == np.inf else (low + high) / 2
+        p[i, np.arange(len(x)) != i] = w / w.sum()
+    return np.maximum((p + p.T) / (2 * len(x)), 1e-12)
+
+
+def _spread_of(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(w, 0)
+    return w, np.maximum(w / w.sum(), 1e-12)
+
+
+def tsne(df: DataFrame, dims: int = 2, *, id_col: str = "id", vector_col: str = "vector", rows: int = 500, perplexity: float = 20.0, steps: int = 300, seed: int = 42) -> tuple[DataFrame, float, float]:
+    """((id, y array<double>), divergence at first, divergence at last): a t-SNE map of a sample.
+
+    Every row's place depends on every other's, so the map is of ``rows`` rows drawn by hash, and is
+    computed on the driver in memory quadratic in that bound.
+    """
+    found = df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(rows).select(id_col, kernels.as_double(F.col(vector_col))).collect()
+    ids, x = [r[0] for r in found], np.array([r[1] for r in found], float)
+    p = _affinities(x, min(perplexity, max(2.0, (len(x) - 1) / 3)))
+    y = np.random.default_rng(seed).normal(0, 1e-2, (len(x), dims))
+    divergence = lambda: float((p * np.log(p / _spread_of(y)[1])).sum())
+    first, speed, gain = divergence(), np.zeros_like(y), np.ones_like(y)
+    for step in range(steps):
+        w, q = _spread_of(y)
+        force = (p * (4 if step < steps // 3 else 1) - q) * w
+        slope = 4 * (force.sum(axis=1)[:, None] * y - force @ y)
+        gain = np.maximum(0.01, np.where(np.sign(slope) == np.sign(speed), gain * 0.8, gain + 0.2))
+        speed = (0.5 if step < steps // 3 else 0.8) * speed - max(len(x) / 12, 20.0) * gain * slope
+        y = y + speed
+        y -= y.mean(axis=0)
+    kind = dict(df.dtypes)[id_col]
+    return df.sparkSession.createDataFrame(list(zip(ids, y.tolist())), f"`{id_col}` {kind}, y array<double>"), first, divergence()

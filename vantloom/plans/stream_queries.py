@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sqlite3
+import tempfile
 import threading
 import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -15,7 +18,7 @@ from vantloom.functions import dsl
 from vantloom.queries import query
 from vantloom.runtime import scratch, ship, table
 from vantloom.operators import database
-from vantloom.sources import files
+from vantloom.sources import files, formats
 from vantloom.streaming import http_lines, streams
 
 
@@ -158,6 +161,22 @@ def _text_round_trip(name: str, write, read) -> None:
 
 _text_round_trip("x7_yaml_round_trip", files.write_yaml, files.read_yaml)
 _text_round_trip("x7_toml_round_trip", files.write_toml, files.read_toml)
+_text_round_trip("x5_excel_round_trip", formats.write_excel, formats.read_excel)
+_text_round_trip("x4_avro_round_trip", formats.write_avro, lambda spark, out, schema: formats.read_avro(spark, out))
+
+
+@query("x10_database_upsert", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN -1 ELSE n_regionkey END::INTEGER AS n_regionkey FROM nation")
+def x10(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of a table into a database, then all of it by key, and read back in ranges: a local file stands in for a server."""
+    path = f"{tempfile.mkdtemp(prefix='vantloom-db-')}/t.db"
+    connect = functools.partial(sqlite3.connect, path, timeout=60)
+    with connect() as c:
+        c.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
+    df = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1)
+    formats.write_database(df.filter("n_nationkey < 12"), connect, "nation", "replace")
+    even = df.withColumn("n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, -1).otherwise(F.col("n_regionkey")))
+    formats.write_database(even, connect, "nation", "upsert", ["n_nationkey"])
+    return formats.read_database(spark, connect, "SELECT * FROM nation", "n_nationkey int, n_name string, n_regionkey int", column="n_nationkey", low=0, high=25, parts=4)
 
 
 @query("x16_api_calls", "SELECT 1 AS step, 201 AS status, 'p2' AS seen UNION ALL SELECT 2, 200, '3' UNION ALL SELECT 3, 200, 'a' UNION ALL SELECT 4, 200, '1' UNION ALL SELECT 5, 404, 'none' UNION ALL SELECT 6, 200, '2'")

@@ -531,6 +531,35 @@ def i16(spark: SparkSession, sf: str) -> DataFrame:
     return _held(ivf.join(_asked(spark, sf), 10), search.knn_join(_asked(spark, sf), _emb(spark, sf), 10))
 
 
+@query("s27_sharded_search", _near_sql(10, _COS))
+def s27(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(ann.sharded_join(_emb(spark, sf), _asked(spark, sf), 4, 10))
+
+
+@query("s28_best_layer_recall", _held_sql(10))
+def s28(spark: SparkSession, sf: str) -> DataFrame:
+    """A coarse and a fine layer, and the cheaper of the two at a recall of 0.95 on a sample that no query asks."""
+
+    def build(df: DataFrame, path: str) -> None:
+        ann.best_layer([_ivf(spark, sf, lists, 1) for lists in (8, 32)], _held_out(df), 10, 0.95).save(path)
+
+    layer = ann.Ivf.load(spark, _built(spark, sf, "layer", build))
+    return _held(layer.join(_asked(spark, sf), 10), search.knn_join(_asked(spark, sf), _emb(spark, sf), 10))
+
+
+@query("c5_tsne_map", "SELECT least(count(*), 300) AS n, true AS closer FROM embeddings")
+def c5(spark: SparkSession, sf: str) -> DataFrame:
+    """A map of at most 300 rows, and whether it is closer to the rows' neighbourhoods than the start."""
+    found, first, last = vectors.tsne(_emb(spark, sf), rows=300, steps=150)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.lit(last < 0.7 * first).alias("closer"))
+
+
+@query("c6_nonlinear_features", f"WITH {_E} SELECT id, list_transform(list_concat(v[1:8], list_transform(v[1:8], lambda x: (exp(4 * x) - 1) / (exp(4 * x) + 1)), list_transform(v[1:8], lambda x: exp(x / 2) / (1 + exp(x / 2)))), lambda x: round(x, 6) + 0.0) AS z FROM e")
+def c6(spark: SparkSession, sf: str) -> DataFrame:
+    z = vectors.nonlinear(F.slice("vector", 1, 8))
+    return _emb(spark, sf).select("id", F.transform(z, lambda x: F.round(x, 6) + 0.0).alias("z"))
+
+
 # -- Vector transforms --------------------------------------------------------------------
 
 

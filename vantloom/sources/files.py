@@ -192,6 +192,8 @@ def write_toml(df: DataFrame, path: str, table: str = "row", mode: str = "error"
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
     """By format; those without a reader here raise an error that names them."""
+    from vantloom.sources import formats
+
     kind = kind or detect_format(spark, path)
     readers = {
         "csv": lambda: read_csv(spark, path, **options),
@@ -205,7 +207,8 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, **options)
         "binary": lambda: read_binary(spark, path),
         "yaml": lambda: read_yaml(spark, path, **options),
         "toml": lambda: read_toml(spark, path, **options),
-        "avro": lambda: spark.read.format("avro").load(path),
+        "avro": lambda: formats.read_avro(spark, path, **options),
+        "excel": lambda: formats.read_excel(spark, path, **options),
     }
     if kind not in readers:
         raise ValueError(f"no reader for {kind}")
