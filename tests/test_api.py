@@ -70,6 +70,7 @@ def test_over_http(calls):
 @pytest.fixture()
 def lines():
     handler = type("Lines", (_Lines,), {"body": b""})
+    handler.read, handler.size = staticmethod(lambda a, b: handler.body[a:b]), staticmethod(lambda: len(handler.body))
     server = ThreadingHTTPServer(("127.0.0.1", 0), handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield handler, f"http://127.0.0.1:{server.server_address[1]}/x"

@@ -60,18 +60,19 @@ def x12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 class _Lines(BaseHTTPRequestHandler):
-    """Serves one text by byte ranges."""
+    """Serves one text by byte ranges: what ``read(begin, end)`` gives of ``size()`` bytes."""
 
-    body = b""
+    read = staticmethod(lambda begin, end: b"")
+    size = staticmethod(lambda: 0)
 
     def do_HEAD(self) -> None:
         self.send_response(200)
-        self.send_header("Content-Length", str(len(self.body)))
+        self.send_header("Content-Length", str(self.size()))
         self.end_headers()
 
     def do_GET(self) -> None:
         a, b = (int(x) for x in self.headers["Range"].removeprefix("bytes=").split("-"))
-        part = self.body[a : b + 1]
+        part = self.read(a, b + 1)
         self.send_response(206)
         self.send_header("Content-Length", str(len(part)))
         self.end_headers()
@@ -81,15 +82,17 @@ class _Lines(BaseHTTPRequestHandler):
         pass
 
 
-@query("x12_http_stream", "SELECT event_type, count(*) AS n FROM events WHERE event_id < 2000 GROUP BY event_type")
+@query("x12_http_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def x12_http(spark: SparkSession, sf: str) -> DataFrame:
-    """The first events from a server of this process, as a stand-in for a remote one."""
-    rows = _events(spark, sf).filter("event_id < 2000").select(F.to_json(F.struct("event_id", "event_type")).alias("j")).collect()
-    handler = type("Lines", (_Lines,), {"body": "".join(r.j + "\n" for r in rows).encode()})
+    """All events from a server of this process, as a stand-in for a remote one: it hands on the bytes of written files."""
+    out = scratch(spark, "lines")
+    _events(spark, sf).select(F.to_json(F.struct("event_id", "event_type")).alias("j")).write.text(out)
+    joined = files.JoinedFiles(spark, out)
+    handler = type("Lines", (_Lines,), {"read": staticmethod(joined.read), "size": staticmethod(lambda: joined.size)})
     server = ThreadingHTTPServer(("127.0.0.1", 0), handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
-        stream = http_lines.http_stream(spark, f"http://127.0.0.1:{server.server_address[1]}/events", "event_id bigint, event_type string", chunk=10_000)
+        stream = http_lines.http_stream(spark, f"http://127.0.0.1:{server.server_address[1]}/events", "event_id bigint, event_type string", chunk=1 << 18)
         found = streams.run_to_files(stream, scratch(spark, "rows"), scratch(spark, "checkpoint"))
     finally:
         server.shutdown()
