@@ -823,11 +823,11 @@ def graph_join(graph: DataFrame, ivf: Ivf, queries: DataFrame, k: int, config: G
 
 
 def knn_graph(df: DataFrame, degree: int, metric: str = "cosine", *, id_col: str = "id", vector_col: str = "vector", both_ways: bool = True, ivf: Ivf | None = None) -> DataFrame:
-    """(src, dst, score): each row's ``degree`` nearest others.
+    """(src, dst, score): each row's ``degree`` nearest others, exactly.
 
-    Exact over all rows, which is quadratic; with ``ivf``, over the rows of each row's probed cells.
+    Without ``ivf`` every row meets every other; with it, only the cells that may hold one of its nearest.
     """
-    near = (knn_join(df, df, degree + 1, metric, id_col=id_col, vector_col=vector_col) if ivf is None else ivf.join(df, degree + 1)).filter("query_id <> id")
+    near = (knn_join(df, df, degree + 1, metric, id_col=id_col, vector_col=vector_col) if ivf is None else ivf.certain_join(df, degree + 1)).filter("query_id <> id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     edges = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= degree).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")).dropDuplicates(["src", "dst"]) if both_ways else edges

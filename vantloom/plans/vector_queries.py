@@ -518,7 +518,7 @@ _graph_query("i13_graph_recall", ann.GraphConfig("graph"), 1, 1, 10)
 
 @query("i13_knn_graph", f"WITH {_E}, s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS score FROM e a, e b WHERE a.id <> b.id) SELECT src, dst, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 4")
 def i13(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ann.knn_graph(_emb(spark, sf), 4, both_ways=False))
+    return _rounded(ann.knn_graph(_emb(spark, sf), 4, both_ways=False, ivf=_ivf(spark, sf)))
 
 
 @query("i16_ivf_recall", _held_sql(10))
@@ -783,7 +783,7 @@ def i10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("i11_graph_both_ways", f"WITH {_E}, s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS score FROM e a, e b WHERE a.id <> b.id), g AS (SELECT src, dst FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 3) SELECT src, dst FROM g UNION SELECT dst, src FROM g")
 def i11(spark: SparkSession, sf: str) -> DataFrame:
-    return ann.knn_graph(_emb(spark, sf), 3).select("src", "dst")
+    return ann.knn_graph(_emb(spark, sf), 3, ivf=_ivf(spark, sf)).select("src", "dst")
 
 
 @query("i14_index_defaults", "SELECT * FROM (VALUES (1000, 64, 24, 32, 8), (200000, 128, 42, 45, 10), (5000000, 768, 54, 111, 12)) AS t(n, dim, lists, subvectors, bits)")
