@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vantloom.functions import dsl, hashing, kernels
 from vantloom.operators import vectors
+from vantloom.plans import vector_queries
 
 A, B = [1.0, 2.0, 3.0], [4.0, 5.0, 6.0]
 
@@ -112,6 +113,19 @@ def test_bloom_has_no_false_negatives(spark):
     assert all(r.h for r in hits if r.k < "3") and sum(r.h for r in hits if r.k >= "3") < 30
 
 
+def test_large_bloom_filters_are_probed_alike(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("k"))
+    bloom = hashing.Bloom.build(df.filter("k < '3'"), "k", 1500)
+    plain = df.select("k", bloom.might_contain(F.col("k")).alias("h")).collect()
+    monkeypatch.setattr(hashing, "PLAN_WORDS", 0)
+    assert df.select("k", bloom.might_contain(F.col("k")).alias("h")).collect() == plain
+
+
+def test_bloom_query_keeps_its_rate_on_more_members(spark, tmp_path):
+    spark.range(20_000).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    assert vector_queries.h2(spark, str(tmp_path)).first().asDict() == {"members": 10_000, "missed": 0, "few_false": True}
+
+
 def test_scripts_refuse_what_they_do_not_know(spark):
     df = spark.createDataFrame([(2.0,)], "x double")
     assert df.select(dsl.script(F.col("x"), "abs(-value) ** 2 if value > 1 else 0")).first()[0] == 4.0

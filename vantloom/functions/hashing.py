@@ -11,9 +11,10 @@ from dataclasses import dataclass
 from math import ceil, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantloom.runtime import ship_active
@@ -161,6 +162,10 @@ def vector_hash(v: Column, precision: float = 1e-3) -> Column:
     return F.sha2(F.array_join(steps, ","), 256)
 
 
+#: Words of a filter that a plan holds as literals at most; larger filters are broadcast.
+PLAN_WORDS = 512
+
+
 @dataclass
 class Bloom:
     """Bits set by two hashes combined; held as 64-bit words, at a size fixed when it is built."""
@@ -170,8 +175,12 @@ class Bloom:
     hashes: int
 
     @staticmethod
-    def positions(c: Column, bits: int, hashes: int) -> Column:
-        a, b = F.pmod(F.xxhash64(c), F.lit(bits)), F.pmod(F.xxhash64(F.lit(17), c), F.lit(bits))
+    def pair(c: Column, bits: int) -> tuple[Column, Column]:
+        return F.pmod(F.xxhash64(c), F.lit(bits)), F.pmod(F.xxhash64(F.lit(17), c), F.lit(bits))
+
+    @classmethod
+    def positions(cls, c: Column, bits: int, hashes: int) -> Column:
+        a, b = cls.pair(c, bits)
         return F.array(*((a + b * k) % bits for k in range(hashes)))
 
     @classmethod
@@ -181,14 +190,29 @@ class Bloom:
         hashes = max(1, round(bits / expected * log(2)))
         at = df.select(F.explode(cls.positions(F.col(column), bits, hashes)).alias("p"))
         word = at.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("x"))
-        found = {r["w"]: r["x"] for r in word.collect()}
-        return cls(tuple(found.get(k, 0) for k in range(bits // 64)), bits, hashes)
+        found, words = word.toArrow(), np.zeros(bits // 64, np.int64)
+        words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        return cls(tuple(words.tolist()), bits, hashes)
 
     def might_contain(self, c: Column) -> Column:
+        if len(self.words) > PLAN_WORDS:
+            return self._probe()(*self.pair(c, self.bits))
         words = F.array(*(F.lit(w).cast("bigint") for w in self.words))
         hit = lambda p: F.getbit(F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
         return F.forall(self.positions(c, self.bits, self.hashes), hit)
 
+    def _probe(self):
+        ship_active()
+        sent = SparkSession.active().sparkContext.broadcast(np.array(self.words, np.int64))  # the filter
+        bits, hashes = self.bits, self.hashes
+
+        @F.pandas_udf("boolean")
+        def hit(a: pd.Series, b: pd.Series) -> pd.Series:
+            at = (a.to_numpy()[:, None] + b.to_numpy()[:, None] * np.arange(hashes)) % bits
+            return pd.Series(((sent.value[at >> 6] >> (at & 63)) & 1).all(axis=1))
+
+        return hit
+
 
 class Ring:
     """Consistent hashing: each node owns ``replicas`` points, a key goes to the next point's node."""
