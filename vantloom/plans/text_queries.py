@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantloom.functions import kernels
 from vantloom.functions import words as W
 from vantloom.operators import text as T
 from vantloom.queries import query
@@ -266,7 +267,7 @@ def t23_gated(spark: SparkSession, sf: str) -> DataFrame:
 @query("t23_fusion_attention", f"{_HALVES} SELECT vec_id, list_transform(list_concat(a, b), lambda x: round(x * 0.5, 6)) AS v FROM e")
 def t23_attention(spark: SparkSession, sf: str) -> DataFrame:
     df, a, b = _pair(spark, sf)
-    return df.select("vec_id", F.transform(T.fuse([a, b], "attention"), lambda x: F.round(x, 6)).alias("v"))
+    return df.select("vec_id", F.transform(T.fuse([a, b], "attention"), kernels.rounded).alias("v"))
 
 
 @query("s26_text_similarity", rf"WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '{_SOLID}')) AS q FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), d AS (SELECT doc_id, list_distinct({_LOWER}) AS w FROM documents) SELECT doc_id, round(len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q)))::DOUBLE, 6) AS score FROM d, q ORDER BY len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q)))::DOUBLE DESC, doc_id LIMIT 10")
