@@ -255,7 +255,7 @@ _HALVES = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:32] AS a, CAS
 @query("t23_fusion_average", f"{_HALVES} SELECT vec_id, list_transform(list_zip(a, b), lambda p: round((p[1] * 0.7 + p[2] * 0.3) / 1.0, 6)) AS v FROM e")
 def t23(spark: SparkSession, sf: str) -> DataFrame:
     df, a, b = _pair(spark, sf)
-    return df.select("vec_id", F.transform(T.fuse([a, b], "average", [0.7, 0.3]), lambda x: F.round(x, 6)).alias("v"))
+    return df.select("vec_id", F.transform(T.fuse([a, b], "average", [0.7, 0.3]), kernels.rounded).alias("v"))
 
 
 @query("t23_fusion_gated", f"{_HALVES}, g AS (SELECT *, 1 / (1 + exp(-list_avg(a))) AS ga, 1 / (1 + exp(-list_avg(b))) AS gb FROM e) SELECT vec_id, list_concat(CASE WHEN ga > 0.5 THEN list_transform(a, lambda x: round(x * ga, 6)) ELSE [] END, CASE WHEN gb > 0.5 THEN list_transform(b, lambda x: round(x * gb, 6)) ELSE [] END) AS v FROM g")
