@@ -14,7 +14,7 @@ from vantloom.queries import ORACLE_SQL, QUERIES
 
 #: Queries whose SQL rounds components without adding 0.0.
 SIGNED = """c11_weighted c7_transform_chain c8_normalize_l1 c8_normalize_max c8_normalize_mean c9_standard_scaler k6_normalize_l2
-t23_fusion_attention t23_fusion_average""".split()
+t23_fusion_attention t23_fusion_average t23_fusion_gated""".split()
 
 A, B = [1.0, 2.0, 3.0], [4.0, 5.0, 6.0]
 

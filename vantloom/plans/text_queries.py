@@ -261,7 +261,7 @@ def t23(spark: SparkSession, sf: str) -> DataFrame:
 @query("t23_fusion_gated", f"{_HALVES}, g AS (SELECT *, 1 / (1 + exp(-list_avg(a))) AS ga, 1 / (1 + exp(-list_avg(b))) AS gb FROM e) SELECT vec_id, list_concat(CASE WHEN ga > 0.5 THEN list_transform(a, lambda x: round(x * ga, 6)) ELSE [] END, CASE WHEN gb > 0.5 THEN list_transform(b, lambda x: round(x * gb, 6)) ELSE [] END) AS v FROM g")
 def t23_gated(spark: SparkSession, sf: str) -> DataFrame:
     df, a, b = _pair(spark, sf)
-    return df.select("vec_id", F.transform(T.fuse([a, b], "gated"), lambda x: F.round(x, 6)).alias("v"))
+    return df.select("vec_id", F.transform(T.fuse([a, b], "gated"), kernels.rounded).alias("v"))
 
 
 @query("t23_fusion_attention", f"{_HALVES} SELECT vec_id, list_transform(list_concat(a, b), lambda x: round(x * 0.5, 6)) AS v FROM e")
