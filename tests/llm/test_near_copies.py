@@ -69,6 +69,39 @@ def test_a_large_group_of_near_copies(spark):
         assert found == dict(enumerate(label))
 
 
+def test_no_similar_pair_is_lost_behind_candidates_that_are_not(spark):
+    """Eight changed words of 600 each: most pairs are candidates and few of them similar, many more than the forests hold."""
+    rnd = random.Random(1)
+    base, texts = [f"w{rnd.randint(0, 5000)}" for _ in range(600)], []
+    for k in range(150):
+        words = list(base)
+        for at in rnd.sample(range(600), 8):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    label = _labels(texts)
+    assert 10 < len(set(label)) < 140
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for bound, set_bytes in ((near_copies.KEY_BOUND, near_copies.SET_BYTES), (40, 100_000)):
+        found = {r.id: r["first"]["id"] for r in near_copies.near_components(docs, bound=bound, set_bytes=set_bytes).collect()}
+        assert found == dict(enumerate(label))
+
+
+def test_links_across_classes():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    for n in (1, 2, 40):
+        sets = [np.unique(np.r_[base[rng.random(60) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 5)), dtype=np.uint64)]) for _ in range(n)] + [np.empty(0, np.uint64)]
+        classes = rng.integers(0, 9, len(sets))
+        found, whole = simhash.Forest(len(sets)), simhash.Forest(len(sets))
+        same = [(a, b) for a in range(len(sets)) for b in range(a) if classes[a] == classes[b]]
+        links = near_copies.similar_across(sets, classes)
+        assert all(near_copies.similarity(sets[a], sets[b]) >= near_copies.SIMILARITY and classes[a] != classes[b] for a, b in links)
+        similar = [(a, b) for a in range(len(sets)) for b in range(a) if near_copies.similarity(sets[a], sets[b]) >= near_copies.SIMILARITY]
+        for forest, pairs in ((found, same + links), (whole, same + similar)):
+            forest.add(*np.array(pairs, np.int64).reshape(-1, 2).T)
+        assert len({*zip(found.label.tolist(), whole.label.tolist())}) == len(set(found.label.tolist())) == len(set(whole.label.tolist()))
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b c d e f"), (None, "q"), (3, "a b c d e f"), (3, "a b c d e f"), (3, "another text"), (9, "ANOTHER text"), (9, "w " * 300_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS _text_hash", "2 AS id", "3 AS th", "4 AS _kept_id", "5 AS node")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantloom.runtime import checkpoint
+from vantloom.runtime import checkpoint, without_estimates
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     Only nodes that some edge touches are returned, and not the roots themselves. Pairs of
     equal ends and repeated pairs are harmless; an empty table gives an empty table.
     """
-    edges = checkpoint(edges.select("a", "b").filter("a <> b").distinct())
+    edges = without_estimates(checkpoint(edges.select("a", "b").filter("a <> b").distinct()))
     state = None
     while True:
-        edges = checkpoint(_small_star(checkpoint(_large_star(edges))))
+        edges = without_estimates(checkpoint(_small_star(checkpoint(_large_star(edges)))))
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
